@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from lipimala.llm.byte_bpe import encode_texts
 from lipimala.llm.components import same_shape_groups
+from lipimala.llm.lookalike import same_look
 from lipimala.llm.term_frequency import corpus_terms, useless_terms
 from lipimala.runtime import table
 
@@ -15,11 +17,20 @@ def p1_terms(spark, sf_dir):
     return corpus_terms(*(table(spark, sf_dir, t) for t in ("occurrences", "scan_pages", "glyph_stats")))
 
 
+def p4_found(spark, sf_dir):
+    return same_look(*(table(spark, sf_dir, t) for t in ("word_comparisons", "mapping_entries", "lexicon")))
+
+
 def p6_found(spark, sf_dir):
     return same_shape_groups(table(spark, sf_dir, "atlas_rows"), table(spark, sf_dir, "shape_catalog"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_terms": p1_terms, "p6_found": p6_found}
+def p7_ids(spark, sf_dir):
+    once = table(spark, sf_dir, "documents").select("doc_id", "text").dropDuplicates(["doc_id"])
+    return encode_texts(once, "doc_id", "text")
+
+
+QUERIES = {"p1_found": p1_found, "p1_terms": p1_terms, "p4_found": p4_found, "p6_found": p6_found, "p7_ids": p7_ids}
 
 _TERMS = """WITH o AS (SELECT DISTINCT book, page, line, word, position, shape_id FROM occurrences),
 g AS (SELECT DISTINCT book, glyph, "count" AS n FROM glyph_stats),
