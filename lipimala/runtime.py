@@ -58,6 +58,22 @@ def maybe_broadcast(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if small(df, limit) else df
 
 
+def hot_join(left: DataFrame, right: DataFrame, key: str, degree: str, total: float, *, share: float = 0.002) -> DataFrame:
+    """Inner join on ``key``, where ``right`` has one row per key and ``degree`` says how many left rows meet it.
+
+    The degrees sum up to ``total`` at most, so no more than 1 / ``share`` keys can have more than that share
+    of the rows. Those few are broadcast and their left rows stay where they are; the rest is joined by a
+    shuffle in which no key is large. ``degree`` is not in the result.
+    """
+    limit = max(1000.0, total * share)
+    few = F.broadcast(right.where(F.col(degree) > limit).drop(degree).withColumn("is_hot", F.lit(True)))
+    rest = right.where(F.col(degree) <= limit).drop(degree)
+    marked = left.join(few, key, "left")
+    hot = marked.where("is_hot").drop("is_hot")
+    cold = marked.where("is_hot is null").select(*left.columns).join(rest, key)
+    return hot.unionByName(cold.select(*hot.columns))
+
+
 def column(df: DataFrame, name: str):
     """A column by its exact name, also where other columns' names hold dots or differ by case only."""
     return df[f"`{name}`"]
