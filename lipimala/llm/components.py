@@ -10,24 +10,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lipimala.runtime import cut, uncut
-
-#: A node with more than this share of all neighbour entries is hot; at most 1 / HOT_SHARE nodes can be.
-HOT_SHARE = 0.002
+from lipimala.runtime import cut, hot_join, uncut
 
 
 def _with_minimum(pairs: DataFrame, entries: int) -> DataFrame:
     """``pairs`` (u, v) with ``m``, the least of u and its neighbours.
 
-    A hub's rows would meet in one task of a shuffled join. Nodes with more than ``HOT_SHARE`` of all
-    entries number 1 / HOT_SHARE at most, so their minima are broadcast; all others are joined by key.
+    A hub's rows would meet in one task of a shuffled join, hence the join that knows the hubs.
     """
     least = pairs.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("degree")).withColumn("m", F.least("m", "u"))
-    limit = max(1000.0, entries * HOT_SHARE)
-    hot = F.broadcast(least.where(F.col("degree") > limit).select("u", F.col("m").alias("hot")))
-    marked = pairs.join(hot, "u", "left")
-    cold = marked.where("hot is null").drop("hot").join(least.where(F.col("degree") <= limit).select("u", "m"), "u")
-    return marked.where("hot is not null").select("u", "v", F.col("hot").alias("m")).unionByName(cold.select("u", "v", "m"))
+    return hot_join(pairs, least, "u", "degree", entries)
 
 
 def _state(edges: DataFrame) -> tuple:
