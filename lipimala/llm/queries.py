@@ -5,6 +5,7 @@ from __future__ import annotations
 from lipimala.llm.byte_bpe import encode_texts
 from lipimala.llm.components import same_shape_groups
 from lipimala.llm.lookalike import same_look
+from lipimala.llm.scanned_text import readable_paragraphs, scan_noise
 from lipimala.llm.shape_clusters import cluster_descriptions, cluster_members
 from lipimala.llm.term_frequency import corpus_terms, useless_terms
 from lipimala.runtime import table
@@ -30,6 +31,14 @@ def p4_found(spark, sf_dir):
     return same_look(*(table(spark, sf_dir, t) for t in ("word_comparisons", "mapping_entries", "lexicon")))
 
 
+def p5_found(spark, sf_dir):
+    return scan_noise(*(table(spark, sf_dir, t) for t in ("scan_pages", "ocr_words", "learn_events", "lexicon")))
+
+
+def p5_paragraphs(spark, sf_dir):
+    return readable_paragraphs(table(spark, sf_dir, "scan_pages"), table(spark, sf_dir, "lexicon"))
+
+
 def p6_found(spark, sf_dir):
     return same_shape_groups(table(spark, sf_dir, "atlas_rows"), table(spark, sf_dir, "shape_catalog"))
 
@@ -39,7 +48,7 @@ def p7_ids(spark, sf_dir):
     return encode_texts(once, "doc_id", "text")
 
 
-QUERIES = {"p1_found": p1_found, "p1_terms": p1_terms, "p3_found": p3_found, "p3_clusters": p3_clusters, "p4_found": p4_found, "p6_found": p6_found, "p7_ids": p7_ids}
+QUERIES = {"p1_found": p1_found, "p1_terms": p1_terms, "p3_found": p3_found, "p3_clusters": p3_clusters, "p4_found": p4_found, "p5_found": p5_found, "p5_paragraphs": p5_paragraphs, "p6_found": p6_found, "p7_ids": p7_ids}
 
 _TERMS = """WITH o AS (SELECT DISTINCT book, page, line, word, position, shape_id FROM occurrences),
 g AS (SELECT DISTINCT book, glyph, "count" AS n FROM glyph_stats),
