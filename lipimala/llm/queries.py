@@ -5,8 +5,10 @@ from __future__ import annotations
 from lipimala.llm.byte_bpe import encode_texts
 from lipimala.llm.components import same_shape_groups
 from lipimala.llm.lookalike import same_look
+from lipimala.llm.packing import container_fill, pack_documents
 from lipimala.llm.scanned_text import readable_paragraphs, scan_noise
 from lipimala.llm.shape_clusters import cluster_descriptions, cluster_members
+from lipimala.llm.spam_pages import spam_pages
 from lipimala.llm.term_frequency import corpus_terms, useless_terms
 from lipimala.runtime import table
 
@@ -48,7 +50,19 @@ def p7_ids(spark, sf_dir):
     return encode_texts(once, "doc_id", "text")
 
 
-QUERIES = {"p1_found": p1_found, "p1_terms": p1_terms, "p3_found": p3_found, "p3_clusters": p3_clusters, "p4_found": p4_found, "p5_found": p5_found, "p5_paragraphs": p5_paragraphs, "p6_found": p6_found, "p7_ids": p7_ids}
+def p8_containers(spark, sf_dir):
+    return pack_documents(table(spark, sf_dir, "documents"))
+
+
+def p8_fill(spark, sf_dir):
+    return container_fill(pack_documents(table(spark, sf_dir, "documents")))
+
+
+def p9_found(spark, sf_dir):
+    return spam_pages(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+QUERIES = {"p1_found": p1_found, "p1_terms": p1_terms, "p3_found": p3_found, "p3_clusters": p3_clusters, "p4_found": p4_found, "p5_found": p5_found, "p5_paragraphs": p5_paragraphs, "p6_found": p6_found, "p7_ids": p7_ids, "p8_containers": p8_containers, "p8_fill": p8_fill, "p9_found": p9_found}
 
 _TERMS = """WITH o AS (SELECT DISTINCT book, page, line, word, position, shape_id FROM occurrences),
 g AS (SELECT DISTINCT book, glyph, "count" AS n FROM glyph_stats),
