@@ -124,11 +124,11 @@ def consistent_forms(texts: DataFrame, key: list[str], text: str, lexicon: DataF
     accepted = targets.join(known, "repaired", "left").where("known or spellings >= 2").select("repaired")
     fixes = wanted.join(accepted, "repaired", "left_semi")
     plain = folded.where(F.coalesce(F.size("repairs"), F.lit(0)) <= 0).select(*key, text, F.array_join("pieces", "").alias("form"))
-    # only rows with a word to repair meet the fixes; a row's words are few and its own
-    mixed = folded.where(F.size("repairs") > 0).withColumn("row", F.monotonically_increasing_id())
-    words = mixed.select("row", F.explode(F.map_keys("repairs")).alias("word")).join(maybe_broadcast(fixes), "word")
-    own = words.groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("word", "repaired"))).alias("fix"))
-    fixed = mixed.join(own, "row", "left").select(*key, text, F.array_join(_replaced(F.col("pieces"), F.col("fix")), "").alias("form"))
+    # only texts with a word to repair meet the fixes; what becomes of a text depends on nothing else
+    mixed = folded.where(F.size("repairs") > 0)
+    words = mixed.select(text, F.explode(F.map_keys("repairs")).alias("word")).distinct().join(maybe_broadcast(fixes), "word")
+    own = words.groupBy(text).agg(F.map_from_entries(F.collect_list(F.struct("word", "repaired"))).alias("fix"))
+    fixed = mixed.join(own, text, "left").select(*key, text, F.array_join(_replaced(F.col("pieces"), F.col("fix")), "").alias("form"))
     return plain.unionByName(fixed)
 
 
