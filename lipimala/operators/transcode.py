@@ -163,17 +163,17 @@ def segments_by_join(rows: DataFrame, ident: str, text: str, table: DataFrame, g
 # --- scanned text ------------------------------------------------------------------------------------
 
 
-def scan_transcode(words: DataFrame, names: DataFrame) -> DataFrame:
-    """Words of shape ids as text: (…, text, unmapped array<bigint>, glyphs), by a join with (shape_id, unicode).
+def scan_transcode(words: DataFrame, names: DataFrame, word: list[str]) -> DataFrame:
+    """Words of shape ids as text: (``word``, text, unmapped array<bigint>, glyphs), by a join with (shape_id, unicode).
 
-    A shape without a name shows as ⟦#id⟧; neighbouring ones share their marks.
+    ``word`` names the columns that tell words apart. A shape without a name shows as ⟦#id⟧; neighbouring
+    ones share their marks.
     """
-    keyed = words.withColumn("_row", F.monotonically_increasing_id())
-    each = keyed.select("_row", F.posexplode("shape_ids").alias("pos", "shape_id")).join(names, "shape_id", "left")
+    each = words.select(*word, F.posexplode("shape_ids").alias("pos", "shape_id")).join(names, "shape_id", "left")
     known = F.transform(F.array_sort(F.collect_list(F.struct("pos", "shape_id", "unicode"))), lambda x: F.coalesce(x["unicode"], F.concat(F.lit(OPEN + "#"), x["shape_id"].cast("string"), F.lit(CLOSE))))
     missing = F.array_sort(F.collect_list(F.when(F.col("unicode").isNull(), F.col("shape_id"))))
-    texts = each.groupBy("_row").agg(F.replace(F.array_join(known, ""), F.lit(CLOSE + OPEN), F.lit("")).alias("raw"), missing.alias("unmapped"), F.count("*").alias("glyphs"))
-    return keyed.join(texts, "_row").withColumn("text", finish(F.col("raw"))).drop("_row", "raw")
+    texts = each.groupBy(*word).agg(F.replace(F.array_join(known, ""), F.lit(CLOSE + OPEN), F.lit("")).alias("raw"), missing.alias("unmapped"), F.count("*").alias("glyphs"))
+    return texts.withColumn("text", finish(F.col("raw"))).drop("raw")
 
 
 def unmapped_ids(texts: DataFrame) -> DataFrame:
