@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lipimala.plans import core_problems, text_queries
+from lipimala.plans import core_problems, measure_queries, text_queries
 
-_MODULES = [core_problems, text_queries]
+_MODULES = [core_problems, text_queries, measure_queries]
 
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 ORACLE = {name: sql for module in _MODULES for name, sql in module.ORACLE.items()}
