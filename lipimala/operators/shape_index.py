@@ -130,9 +130,12 @@ def flagged(checked: DataFrame) -> DataFrame:
 def keep_assignments(found: DataFrame, previous: DataFrame, page: list[str], size: int | None = None) -> DataFrame:
     """Adds kept: the earlier shape id of a component with the same page, box and ink, if its id is below
     ``size``; null where the shape is to be assigned anew."""
-    before = previous.select(*page, F.col("bbox").alias("_box"), F.col("ink").alias("_ink"), F.col("shape_id").alias("kept")).dropDuplicates([*page, "_box"])
-    cond = [found[c] == before[c] for c in page] + [found["bbox"] == before["_box"]]
-    joined = found.join(before, cond, "left").select(*(found[c] for c in found.columns), "_ink", "kept")
+    there = [f"_{c}" for c in page]
+    before = previous.select(*(F.col(c).alias(f"_{c}") for c in page), F.col("bbox").alias("_box"), F.col("ink").alias("_ink"), F.col("shape_id").alias("kept")).dropDuplicates([*there, "_box"])
+    match = F.col("bbox") == F.col("_box")
+    for c in page:
+        match &= F.col(c) == F.col(f"_{c}")
+    joined = found.join(before, match, "left").drop(*there, "_box")
     valid = (F.col("ink") == F.col("_ink")) & (F.lit(True) if size is None else F.col("kept") < size)
     return joined.withColumn("kept", F.when(valid, F.col("kept"))).drop("_ink")
 

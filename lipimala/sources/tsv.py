@@ -47,9 +47,12 @@ def write_tsv(rows: DataFrame, path: str, columns: list[str], order: list[str])
         kind = rows.schema[name].dataType.simpleString()
         cell = F.array_join(F.array_sort(name), " ") if kind.startswith("array") else F.col(name).cast("string")
         shown.append(F.coalesce(cell, F.lit("")))
-    body = rows.orderBy(*order).select(F.concat_ws("\t", *shown).alias("value")).coalesce(1)
-    head = rows.sparkSession.createDataFrame([("\t".join(columns),)], "value string")
-    head.unionByName(body).coalesce(1).write.mode("overwrite").text(path)
+    keys = [F.col(c).alias(f"_k{i}") for i, c in enumerate(order)]
+    body = rows.select(F.lit(1).alias("_part"), *keys, F.concat_ws("\t", *shown).alias("value"))
+    head = rows.limit(0).select(F.lit(0).alias("_part"), *keys, F.lit("").alias("value"))
+    head = rows.sparkSession.createDataFrame([(0, *[None] * len(order), "\t".join(columns))], head.schema)
+    one = head.unionByName(body).repartition(1).sortWithinPartitions("_part", *(f"_k{i}" for i in range(len(order))))
+    one.select("value").write.mode("overwrite").text(path)
 
 
 def last_wins(rows: DataFrame, key: list[str]) -> DataFrame:

@@ -17,7 +17,7 @@ KEY = ["book", "page", "line", "word", "position"]
 def first_deliveries(stream: DataFrame, key: list[str] = KEY, at: str = "indexed_at", within: str = "30 days") -> DataFrame:
     """A stream without repeated deliveries; a key is remembered for ``within`` of event time, which bounds
     the state. Later repeats are for the batch that compacts the table."""
-    return stream.withWatermark(at, within).dropDuplicatesWithinWatermark(key)
+    return stream.withColumn(at, F.col(at).cast("timestamp")).withWatermark(at, within).dropDuplicatesWithinWatermark(key)
 
 
 def shape_counts(stream: DataFrame, window: str = "1 day", at: str = "indexed_at") -> DataFrame:
