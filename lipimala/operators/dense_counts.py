@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lipimala.runtime import pick
+
 #: Ids of one block; a block travels as the slots between its first and last used one.
 BLOCK = 512
 
@@ -84,13 +86,17 @@ def occurrence_counts(occurrences: DataFrame) -> DataFrame:
     shape is used.
     """
     key = ["book", "page", "line", "word", "position"]
-    once = occurrences.select(*key, "shape_id").repartition("book", "page").dropDuplicates(key)
+    once = pick(occurrences, *key, "shape_id").repartition("book", "page").dropDuplicates(key)
     return dense_counts(once, F.col("book"), F.col("shape_id")).select(F.col("grp").alias("book"), F.col("ident").alias("shape_id"), F.col("n").alias("occurrences"))
 
 
 def atlas_counts(atlas: DataFrame, occurrences: DataFrame) -> DataFrame:
-    """Every atlas row once with its stated ``count`` and the true ``occurrences`` (0 where there are none)."""
-    stated = atlas.select("book", "shape_id", "count").dropDuplicates()
+    """Every atlas row once with its stated ``count`` and the true ``occurrences`` (0 where there are none).
+
+    A row with a null book or shape_id names nothing, so nothing occurs; an empty atlas gives no rows. Other
+    columns of the tables, of whatever name, are not looked at.
+    """
+    stated = pick(atlas, "book", "shape_id", "count").dropDuplicates()
     true = occurrence_counts(occurrences)
     return stated.join(true, ["book", "shape_id"], "left").withColumn("occurrences", F.coalesce("occurrences", F.lit(0)))
 

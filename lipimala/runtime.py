@@ -74,6 +74,14 @@ def hot_join(left: DataFrame, right: DataFrame, key: str, degree: str, total: fl
     return hot.unionByName(cold.select(*hot.columns))
 
 
-def column(df: DataFrame, name: str):
-    """A column by its exact name, also where other columns' names hold dots or differ by case only."""
-    return df[f"`{name}`"]
+def pick(df: DataFrame, *names: str) -> DataFrame:
+    """The columns of exactly these names, whatever else the frame holds: other columns' names may differ by
+    case only or hold dots. A name that fits no column exactly is looked up without regard to case."""
+    plain = df.toDF(*(f"c{i}" for i in range(len(df.columns))))
+    found = []
+    for name in names:
+        at = [i for i, c in enumerate(df.columns) if c == name] or [i for i, c in enumerate(df.columns) if c.lower() == name.lower()]
+        if not at:
+            raise ValueError(f"no column {name} among {df.columns}")
+        found.append(plain[f"c{at[0]}"].alias(name))
+    return plain.select(*found)
