@@ -19,7 +19,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+
+from lipimala.runtime import pick
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Characters encoded at once, pre-tokens remembered between batches, and the length in bytes from which a
@@ -319,7 +320,7 @@ def encode_texts(documents: DataFrame, ident: str, text: str, *, vocabulary: str
     No special token is ever made: their strings are ordinary text. No shuffle; rows stay where they are.
     """
     lines = _vocabulary_lines(documents.sparkSession, vocabulary)
-    rows = documents.select(F.col(f"`{ident}`").alias("ident"), F.col(f"`{text}`").alias("text"))
+    rows = pick(documents, ident, text).toDF("ident", "text")
     kind = rows.schema["ident"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -336,7 +337,7 @@ def count_tokens(documents: DataFrame, text: str, name: str = "tokens", *, vocab
     """All columns but ``text`` and the number of its ids, as int; 0 for null and empty texts."""
     lines = _vocabulary_lines(documents.sparkSession, vocabulary)
     kept = [c for c in documents.columns if c != text]
-    rows = documents.select(*(F.col(f"`{c}`") for c in kept), F.col(f"`{text}`"))
+    rows = pick(documents, *kept, text)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

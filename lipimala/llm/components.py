@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lipimala.runtime import cut, hot_join, uncut
+from lipimala.runtime import cut, hot_join, pick, uncut
 
 
 def _with_minimum(pairs: DataFrame, entries: int) -> DataFrame:
@@ -64,8 +64,8 @@ def same_shape_groups(atlas: DataFrame, catalog: DataFrame) -> DataFrame:
     A mention links both ways and across books; ids that are not in the catalog, nulls and self-mentions
     link nothing, and neither do null or empty arrays.
     """
-    ids = catalog.select(F.col("shape_id").alias("id")).where("id is not null").distinct()
-    links = atlas.select("shape_id", F.explode("same").alias("other")).where("shape_id is not null and other is not null and shape_id <> other").distinct()
+    ids = pick(catalog, "shape_id").select(F.col("shape_id").alias("id")).where("id is not null").distinct()
+    links = pick(atlas, "shape_id", "same").select("shape_id", F.explode("same").alias("other")).where("shape_id is not null and other is not null and shape_id <> other").distinct()
     known = links.join(ids, links["shape_id"] == ids["id"], "left_semi").join(ids, F.col("other") == ids["id"], "left_semi")
     groups = connected_components(known, "shape_id", "other")
     return groups.select("group_id", F.col("member").alias("shape_id"))

@@ -18,7 +18,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lipimala.runtime import cut, maybe_broadcast
+from lipimala.runtime import cut, maybe_broadcast, pick
 
 # Letters of other scripts and the letters they print like.
 TELUGU_DOUBLES = dict(zip("ಂಃಅಆಇಒಓಔಜಣಯಱಲ೦೧೨೯", "ంఃఅఆఇఒఓఔజణయఱల౦౧౨౯", strict=True))
@@ -111,7 +111,7 @@ def consistent_forms(texts: DataFrame, key: list[str], text: str, lexicon: DataF
     the result is a word of ``lexicon`` (column word), a word of one script elsewhere in ``texts``, or what
     at least two different spellings in ``texts`` would become.
     """
-    rows = texts.select(*(F.col(f"`{k}`") for k in key), F.col(f"`{text}`"))
+    rows = pick(texts, *key, text)
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
     folded = cut(rows.mapInArrow(_pieces, f"{ddl}, pieces array<string>, repairs map<string,string>"), label)
     wanted = folded.where(F.size("repairs") > 0).select(F.explode("repairs").alias("word", "repaired")).distinct()
@@ -119,7 +119,7 @@ def consistent_forms(texts: DataFrame, key: list[str], text: str, lexicon: DataF
     targets = wanted.groupBy("repaired").agg(F.count("*").alias("spellings"))
     known = folded.select(F.explode("pieces").alias("repaired"))
     if lexicon is not None:
-        known = known.unionByName(lexicon.select(F.col("word").alias("repaired")))
+        known = known.unionByName(pick(lexicon, "word").select(F.col("word").alias("repaired")))
     known = known.join(maybe_broadcast(targets.select("repaired")), "repaired", "left_semi").distinct().withColumn("known", F.lit(True))
     accepted = targets.join(known, "repaired", "left").where("known or spellings >= 2").select("repaired")
     fixes = wanted.join(accepted, "repaired", "left_semi")
@@ -139,8 +139,8 @@ def _replaced(pieces: Column, fix: Column) -> Column:
 def same_look(comparisons: DataFrame, mapping: DataFrame, lexicon: DataFrame) -> DataFrame:
     """(src, row_id): comparisons whose two texts, and entries whose text and that of another entry with
     the same glyphs, differ in characters and look the same. Null and empty texts are no case."""
-    wc = comparisons.select("wc_id", "converted", "ocr").dropDuplicates(["wc_id"])
-    entries = mapping.select("entry_id", "glyphs", "unicode").dropDuplicates(["entry_id"])
+    wc = pick(comparisons, "wc_id", "converted", "ocr").dropDuplicates(["wc_id"])
+    entries = pick(mapping, "entry_id", "glyphs", "unicode").dropDuplicates(["entry_id"])
     sides = [("converted", wc.select(F.lit("word_comparisons").alias("src"), F.col("wc_id").alias("row_id"), F.lit(None).cast("string").alias("glyphs"), F.explode(F.array("converted", "ocr")).alias("text")))]
     sides.append(("unicode", entries.select(F.lit("mapping_entries").alias("src"), F.col("entry_id").alias("row_id"), "glyphs", F.col("unicode").alias("text"))))
     texts = sides[0][1].unionByName(sides[1][1]).where("text <> ''")

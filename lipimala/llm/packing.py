@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lipimala.llm.byte_bpe import VOCABULARY, count_tokens
-from lipimala.runtime import cut
+from lipimala.runtime import cut, pick
 
 #: Tokens of a container, and items of a split.
 CAPACITY, SPLIT = 4096, 8192
@@ -93,7 +93,7 @@ def pack(items: DataFrame, ident: str, size: str, source: str, copy: str, *, cap
     Items of size 0 or null take no space and come out like others with size 0. No items give no rows.
     """
     splits = max(1, -(-items.count() // split))
-    rows = items.select(F.col(f"`{ident}`").alias("ident"), F.greatest(F.coalesce(F.col(f"`{size}`").cast("int"), F.lit(0)), F.lit(0)).alias("size"), F.col(f"`{source}`").alias("source"), F.col(f"`{copy}`").alias("copy"))
+    rows = pick(items, ident, size, source, copy).toDF("ident", "size", "source", "copy").withColumn("size", F.greatest(F.coalesce(F.col("size").cast("int"), F.lit(0)), F.lit(0)))
     kind = rows.schema["ident"].dataType.simpleString()
     last = F.when(F.col("size") > capacity, F.floor((F.col("size") - 1) / capacity)).otherwise(0).cast("int")
     pieces = rows.withColumn("piece", F.explode(F.sequence(F.lit(0), last))).withColumn("size", F.least(F.lit(capacity), F.col("size") - F.col("piece") * capacity).cast("int"))
@@ -116,7 +116,7 @@ def pack_documents(documents: DataFrame, *, capacity: int = CAPACITY, vocabulary
     Copies are texts equal but for case and blanks. Texts are measured where they lie; only their sizes move.
     """
     plain = F.lower(F.trim(F.regexp_replace("text", r"(?U)\s+", " ")))
-    rows = documents.select("doc_id", "source", F.when(F.col("text") != "", F.xxhash64(plain)).alias("copy"), "text")
+    rows = pick(documents, "doc_id", "source", "text").select("doc_id", "source", F.when(F.col("text") != "", F.xxhash64(plain)).alias("copy"), "text")
     sized = count_tokens(rows, "text", vocabulary=vocabulary).dropDuplicates(["doc_id"])
     sized = cut(sized, "sized")
     return pack(sized, "doc_id", "tokens", "source", "copy", capacity=capacity)

@@ -16,7 +16,7 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lipimala.runtime import BROADCAST_ROWS, cut, maybe_broadcast, small
+from lipimala.runtime import BROADCAST_ROWS, cut, maybe_broadcast, pick, small
 
 # Signs that part a word at a line's end, and marks that may stand at a word's ends.
 PARTING = "-‐¬=\xad"
@@ -164,13 +164,13 @@ def _words(text: str) -> Words:
     key = hashlib.sha256(text.encode()).digest()
     if key not in _WORDS:
         _WORDS.clear()
-        _WORDS[key] = Words(text.split("\n"))
+        _WORDS[key] = Words([w for w in text.split("\n") if w])
     return _WORDS[key]
 
 
 def _lexicon(lexicon: DataFrame):
     """A broadcast of the reference lexicon; its size is counted first."""
-    words = lexicon.select("word").where("word <> ''").distinct()
+    words = pick(lexicon, "word").where("word <> ''").distinct()
     if not small(words):
         raise ValueError(f"the lexicon has more than {BROADCAST_ROWS} words, which is too much to broadcast")
     return lexicon.sparkSession.sparkContext.broadcast("\n".join(sorted(r[0] for r in words.collect())))
@@ -448,16 +448,16 @@ def scan_noise(pages: DataFrame, ocr: DataFrame, events: DataFrame, lexicon: Dat
     and last words are judged with its book's neighbouring scanned pages.
     """
     known = _lexicon(lexicon)
-    once = pages.select("book", "page", "lines").dropDuplicates(["book", "page"])
+    once = pick(pages, "book", "page", "lines").dropDuplicates(["book", "page"])
     titles = cut(running_titles(once), "titles")
     labelled = cut(label_pages(once, titles).drop("titles"), "labelled")
     around = neighbours(labelled)
     scans = labelled.join(around, ["book", "page"]).select("book", "page", "lines", "labels", "before", "after").mapInArrow(_page_noise(known), _NOISE)
-    words = ocr.select("book", "page", "ocr_no", "text", F.col("bbox.y0").alias("y0"), F.col("bbox.y1").alias("y1")).repartition("book", "page").dropDuplicates(["book", "page", "ocr_no"])
+    words = pick(ocr, "book", "page", "ocr_no", "text", "bbox").select("book", "page", "ocr_no", "text", F.col("bbox.y0").alias("y0"), F.col("bbox.y1").alias("y1")).repartition("book", "page").dropDuplicates(["book", "page", "ocr_no"])
     sheets = words.groupBy("book", "page").agg(F.array_sort(F.collect_list(F.struct("ocr_no", "text", "y0", "y1"))).alias("words"))
     sheets = sheets.join(around, ["book", "page"], "left").join(maybe_broadcast(titles), "book", "left")
     read = sheets.select("book", "page", "words", "titles", "before", "after").mapInArrow(_word_noise(known), _NOISE)
-    single = events.select("event_id", "book", "page_number", "converted", "ocr_text").dropDuplicates(["event_id"]).mapInArrow(_event_noise(known), _NOISE)
+    single = pick(events, "event_id", "book", "page_number", "converted", "ocr_text").dropDuplicates(["event_id"]).mapInArrow(_event_noise(known), _NOISE)
     return scans.withColumn("src", F.lit("scan_pages")).unionByName(read.withColumn("src", F.lit("ocr_words"))).unionByName(single.withColumn("src", F.lit("learn_events"))).select("src", "book", "page", "item", "kind").distinct()
 
 
@@ -508,7 +508,7 @@ def page_paragraphs(lines: list[str | None], labels: list[str], before: str | No
 def readable_paragraphs(pages: DataFrame, lexicon: DataFrame) -> DataFrame:
     """(book, page, paragraph, text) of every page with text."""
     known = _lexicon(lexicon)
-    once = pages.select("book", "page", "lines").dropDuplicates(["book", "page"])
+    once = pick(pages, "book", "page", "lines").dropDuplicates(["book", "page"])
     labelled = cut(label_pages(once, running_titles(once)).drop("titles"), "labelled")
     rows = labelled.join(neighbours(labelled), ["book", "page"]).select("book", "page", "lines", "labels", "before", "after")
     return rows.mapInArrow(_paragraphs(known), "book string, page int, paragraph int, text string")

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lipimala.llm.components import connected_components
-from lipimala.runtime import cut, hot_join, uncut
+from lipimala.runtime import cut, hot_join, pick, uncut
 
 SIDE = 48
 BYTES = SIDE * SIDE // 8
@@ -268,7 +268,7 @@ def usable_shapes(catalog: DataFrame) -> DataFrame:
     A null band is a band of its own.
     """
     blank = F.unhex(F.lit("00" * BYTES))
-    rows = catalog.select(
+    rows = pick(catalog, "shape_id", "band", "height", "aspect", "grid").select(
         F.col("shape_id").cast("bigint").alias("id"), F.xxhash64(F.coalesce("band", F.lit("?"))).alias("band"), F.log("height").alias("h"), F.log("aspect").alias("a"), F.col("grid").alias("grid")
     ).where("id is not null and grid is not null and h is not null and a is not null")
     return rows.where((F.length("grid") == BYTES) & (F.col("grid") != blank)).dropDuplicates(["id"])

@@ -17,6 +17,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lipimala.runtime import pick
+
 STATES = ("prose", "keywords", "links", "tags", "menu")
 #: Words of a window in which recurrence is measured, recurrence that speaks for neither, cost of a change
 #: of state, longest bare label in words, and the share of words from which a page is flagged.
@@ -118,7 +120,7 @@ def _shares(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def text_shares(documents: DataFrame, ident: str, text: str) -> DataFrame:
     """(``ident``, other_share) of every row, without a shuffle; null for null, empty and wordless texts."""
-    rows = documents.select(F.col(f"`{ident}`").alias("ident"), F.col(f"`{text}`").alias("text"))
+    rows = pick(documents, ident, text).toDF("ident", "text")
     kind = rows.schema["ident"].dataType.simpleString()
     return rows.mapInArrow(_shares, f"ident {kind}, other_share double").withColumnRenamed("ident", ident)
 

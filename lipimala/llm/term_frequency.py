@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lipimala.runtime import pick
+
 #: Parts a term's rows are spread over.
 SALTS = 32
 
@@ -53,7 +55,7 @@ def mark_terms(counts: DataFrame, totals: DataFrame, *, least: int = 5, most_sha
 def _shapes(occurrences: DataFrame) -> tuple[DataFrame, DataFrame]:
     key = ["book", "page", "line", "word", "position"]
     # one shuffle by page serves the removal of repeated rows, the page's own sums and the page count
-    pages = occurrences.select(*key, "shape_id").repartition("book", "page").dropDuplicates(key)
+    pages = pick(occurrences, *key, "shape_id").repartition("book", "page").dropDuplicates(key)
     rows = pages.groupBy("book", "page", "shape_id").agg(F.count("*").alias("n"))
     terms = rows.select(F.lit("shape_id").alias("field"), F.col("shape_id").cast("string").alias("term"), F.struct("book", "page").alias("record"), "n")
     total = rows.select("book", "page").distinct().agg(F.count("*").alias("all_records")).select(F.lit("shape_id").alias("field"), "all_records")
@@ -61,7 +63,8 @@ def _shapes(occurrences: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def _unmapped(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
-    once = pages.select("book", "page", "unmapped", "converted_at").dropDuplicates(["book", "page"])
+    pages = pick(pages, "book", "page", "unmapped")
+    once = pages.dropDuplicates(["book", "page"])
     rows = once.select("book", "page", F.explode("unmapped").alias("term", "n"))
     terms = rows.select(F.lit("unmapped").alias("field"), F.translate("term", "⟦⟧", "").alias("term"), F.struct("book", "page").alias("record"), "n")
     total = pages.select("book", "page").distinct().agg(F.count("*").alias("all_records")).select(F.lit("unmapped").alias("field"), "all_records")
@@ -69,7 +72,8 @@ def _unmapped(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def _glyphs(stats: DataFrame) -> tuple[DataFrame, DataFrame]:
-    once = stats.select("book", "glyph", "count").dropDuplicates(["book", "glyph"])
+    stats = pick(stats, "book", "glyph", "count")
+    once = stats.dropDuplicates(["book", "glyph"])
     used = F.coalesce("count", F.lit(0)) != 0
     terms = once.select(F.lit("glyph").alias("field"), F.col("glyph").alias("term"), F.when(used, F.struct("book", F.lit(0).alias("page"))).alias("record"), F.col("count").alias("n"))
     total = stats.select("book").distinct().agg(F.count("*").alias("all_records")).select(F.lit("glyph").alias("field"), "all_records")
