@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StructField, StructType
 
 from lipimala.sources import schemas
 
@@ -49,8 +49,8 @@ def write_tsv(rows: DataFrame, path: str, columns: list[str], order: list[str])
         shown.append(F.coalesce(cell, F.lit("")))
     keys = [F.col(c).alias(f"_k{i}") for i, c in enumerate(order)]
     body = rows.select(F.lit(1).alias("_part"), *keys, F.concat_ws("\t", *shown).alias("value"))
-    head = rows.limit(0).select(F.lit(0).alias("_part"), *keys, F.lit("").alias("value"))
-    head = rows.sparkSession.createDataFrame([(0, *[None] * len(order), "\t".join(columns))], head.schema)
+    blank = StructType([StructField(f.name, f.dataType) for f in body.schema])
+    head = rows.sparkSession.createDataFrame([(0, *[None] * len(order), "\t".join(columns))], blank)
     one = head.unionByName(body).repartition(1).sortWithinPartitions("_part", *(f"_k{i}" for i in range(len(order))))
     one.select("value").write.mode("overwrite").text(path)
 
