@@ -8,7 +8,9 @@ joined instead: every text offers its substrings to the table.
 
 from __future__ import annotations
 
+import json
 import re
+import zlib
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -56,16 +58,18 @@ class Mapping:
         self.entries = {r[0]: r[1] for r in rows} | {" ": " "}
         self.pattern = trie_pattern(list(self.entries))
 
-    def lookup(self, tokens: Column) -> Column:
-        """A token's text, or null for a gap."""
-        pairs = [x for k, v in self.entries.items() for x in (F.lit(k), F.lit(v))]
-        return F.element_at(F.create_map(*pairs), tokens)
+    def lookup(self, token: Column) -> Column:
+        """A token's text, or null for a gap.
 
-
-def mapping_frame(mapping: Mapping, spark) -> DataFrame:
-    """The mapping's entries as one row with one map, for joins that need no key."""
-    frame = spark.createDataFrame(sorted(mapping.entries.items()), "k string, v string")
-    return frame.agg(F.map_from_entries(F.collect_list(F.struct("k", "v"))).alias("mapping"))
+        The entries are one constant, an array of small maps by checksum: a map is searched from its start,
+        so one map of all entries would cost every token thousands of comparisons.
+        """
+        slots = max(1, len(self.entries) // 4)
+        parts: list[dict[str, str]] = [{} for _ in range(slots)]
+        for key, value in self.entries.items():
+            parts[zlib.crc32(key.encode()) % slots][key] = value
+        table = F.from_json(F.lit(json.dumps(parts)), F.lit("array<map<string,string>>"))
+        return F.element_at(F.get(table, (F.crc32(token) % slots).cast("int")), token)
 
 
 def tokens(text: Column, mapping: Mapping) -> Column:
@@ -75,9 +79,8 @@ def tokens(text: Column, mapping: Mapping) -> Column:
 
 def with_segments(rows: DataFrame, text: str, mapping: Mapping, name: str = "segments") -> DataFrame:
     """Adds ``name``, array<struct<glyphs, unicode>>; unicode is null for a gap. A null text has null segments."""
-    table = F.broadcast(mapping_frame(mapping, rows.sparkSession))  # one row
-    parts = F.transform(F.col("_tokens"), lambda t: F.struct(t.alias("glyphs"), F.element_at(F.col("mapping"), t).alias("unicode")))
-    return rows.withColumn("_tokens", tokens(F.col(text), mapping)).join(table).withColumn(name, parts).drop("_tokens", "mapping")
+    parts = F.transform(tokens(F.col(text), mapping), lambda t: F.struct(t.alias("glyphs"), mapping.lookup(t).alias("unicode")))
+    return rows.withColumn(name, parts)
 
 
 def gaps(segments: Column) -> Column:

@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from lipimala.functions.glyphs import characters
 from lipimala.operators import learn as L
 from lipimala.operators import probe as P
 from lipimala.operators import recipes as R
@@ -97,11 +98,9 @@ def _recipe_tables(spark, sf_dir):
     """Single glyphs named by their text, and recipes for the sequences of named glyphs."""
     single = _entries(spark, sf_dir, METHODS[0]).where("length(glyphs) = 1 and unicode <> ''")
     names = single.select(F.col("glyphs").alias("glyph"), F.col("unicode").alias("name"), "unicode")
-    known = table(spark, sf_dir, "mapping_entries").where((F.col("method") == METHODS[0]) & (F.length("glyphs") == 2)).dropDuplicates(["entry_id"])
-    a = names.select(F.col("glyph").alias("g1"), F.col("name").alias("n1"))
-    b = names.select(F.col("glyph").alias("g2"), F.col("name").alias("n2"))
-    recipes = known.withColumn("g1", F.substring("glyphs", 1, 1)).withColumn("g2", F.substring("glyphs", 2, 1)).join(a, "g1").join(b, "g2")
-    return names, recipes.select(F.col("entry_id").alias("recipe"), F.array("n1", "n2").alias("names"), "unicode")
+    known = _entries(spark, sf_dir, METHODS[0]).where("length(glyphs) > 1").select(F.col("glyphs").alias("recipe"), "unicode", F.length("glyphs").alias("n"), F.posexplode(characters(F.col("glyphs"))).alias("pos", "glyph"))
+    named = known.join(names.select("glyph", "name"), "glyph").groupBy("recipe", "unicode", "n").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "name"))), lambda x: x["name"]).alias("names"))
+    return names, named.where(F.size("names") == F.col("n")).select("recipe", "names", "unicode")
 
 
 def recipe_expand(spark, sf_dir):
@@ -206,11 +205,13 @@ def ink_extents(spark, sf_dir):
 
 
 def glyph_assignment(spark, sf_dir):
-    """Shapes shared by all books laid out by the codes of their band: a font against itself."""
-    shapes = _shapes(spark, sf_dir).where("shape_id < 40 and grid is not null")
-    left = shapes.select(F.format_string("g%03d", "shape_id").alias("glyph"), F.lit("f").alias("font"), "grid")
-    right = shapes.select(F.format_string("t%03d", "shape_id").alias("target"), F.lit("f").alias("font"), "grid")
-    return P.assign_glyphs(P.likeness(left, right)).select("glyph", "target", "status")
+    """Glyphs of all books laid on each other by how often they are used, as two fonts of one layout would be."""
+    rows = table(spark, sf_dir, "glyph_stats").where("glyph is not null").dropDuplicates(["book", "glyph"])
+    used = rows.groupBy("glyph").agg(F.avg("count").alias("mean"), F.max("count").alias("most")).na.fill(0)
+    left = used.select("glyph", F.lit("f").alias("font"), F.log1p("mean").alias("a"))
+    right = used.select(F.col("glyph").alias("target"), F.lit("f").alias("font"), F.log1p("most").alias("b"))
+    scores = left.join(right, "font").select("glyph", "target", (1 / (1 + F.abs(F.col("a") - F.col("b")))).alias("score"))
+    return P.assign_glyphs(scores).select("glyph", "target", "status")
 
 
 # --- sources and streams -----------------------------------------------------------------------------
@@ -287,9 +288,11 @@ SELECT a.book, a.page, CAST(glyphs AS BIGINT) AS glyphs, CAST(unmapped_before AS
     "unseen_pages": "SELECT DISTINCT book, page FROM scan_pages p WHERE NOT EXISTS (SELECT 1 FROM ocr_words o WHERE o.book = p.book AND o.page = p.page)",
     "suspicion_changes": f"WITH {_M('a', METHODS[0])}, {_M('b', METHODS[1])} SELECT a.glyphs, a.unicode AS before, b.unicode AS after FROM a JOIN b ON a.glyphs = b.glyphs WHERE a.unicode <> b.unicode",
     "words_with_key": _FULL + f" SELECT DISTINCT event_id AS seq FROM seg WHERE t IN (SELECT glyphs FROM mapping_entries WHERE method = '{METHODS[2]}')",
-    "recipe_expand": f"""WITH {_M('e', METHODS[0])}, n AS (SELECT glyphs AS g, unicode AS name FROM e WHERE length(glyphs) = 1 AND unicode <> ''),
-r AS (SELECT e.entry_id, a.name AS n1, b.name AS n2, e.unicode FROM e JOIN n a ON a.g = e.glyphs[1] JOIN n b ON b.g = e.glyphs[2] WHERE length(e.glyphs) = 2)
-SELECT r.entry_id AS recipe, a.g || b.g AS glyphs, r.unicode FROM r JOIN n a ON a.name = r.n1 JOIN n b ON b.name = r.n2""",
+    "recipe_expand": f"""WITH RECURSIVE {_M('e', METHODS[0])}, n AS (SELECT glyphs AS g, unicode AS name FROM e WHERE length(glyphs) = 1 AND unicode <> ''), k AS (SELECT name, count(*) AS k FROM n GROUP BY 1),
+c AS (SELECT glyphs, unicode, unnest(range(1, length(glyphs) + 1)) AS i FROM e WHERE length(glyphs) > 1), d AS (SELECT c.glyphs, c.unicode, i, n.name, k FROM c JOIN n ON n.g = c.glyphs[i] JOIN k USING (name)),
+r AS (SELECT glyphs, unicode FROM d GROUP BY 1, 2 HAVING count(*) = length(glyphs) AND product(k) <= 64),
+x AS (SELECT glyphs, unicode, 0 AS i, '' AS s FROM r UNION ALL SELECT x.glyphs, x.unicode, x.i + 1, x.s || n.g FROM x JOIN d ON d.glyphs = x.glyphs AND d.i = x.i + 1 JOIN n ON n.name = d.name)
+SELECT glyphs AS recipe, s AS glyphs, unicode FROM x WHERE i = length(glyphs)""",
     "body_heights": f"WITH {_PARTS} SELECT book, page, median(y1 - y0) AS body FROM p GROUP BY 1, 2",
     "text_area": f"""WITH {_PARTS}, b AS (SELECT book, page, median(y1 - y0) AS body FROM p GROUP BY 1, 2), q AS (SELECT p.*, x1 - x0 > 8.0 * body AS rule FROM p JOIN b USING (book, page)),
 w AS (SELECT *, coalesce(max(y1) FILTER (rule AND y0 < 0.15 * 800) OVER k, 0) AS t, coalesce(min(y0) FILTER (rule AND y1 > 0.85 * 800) OVER k, 800) AS l FROM q WINDOW k AS (PARTITION BY book, page))

@@ -215,8 +215,8 @@ def transcode_text(spark, sf_dir):
 
 
 def transcode_documents(spark, sf_dir):
-    """Legacy-coded documents as text; the whole of each."""
-    rows = table(spark, sf_dir, "documents").where("lang = 'und'").dropDuplicates(["doc_id"]).select("doc_id", "text")
+    """How much of every document's whole text the mapping covers; legacy-coded ones stand out."""
+    rows = table(spark, sf_dir, "documents").dropDuplicates(["doc_id"]).select("doc_id", "text")
     done = TR.with_segments(rows, "text", mapping_of(spark, sf_dir, METHODS[0]))
     return done.select("doc_id", TR.glyph_count(F.col("segments")).alias("glyphs"), TR.gap_length(F.col("segments")).alias("unmapped"))
 
@@ -321,7 +321,7 @@ SELECT book, page, line, word, string_agg(coalesce(CAST(shape_id AS VARCHAR), '?
     "transcode_segments": _SEG_SQL,
     "transcode_by_join": _SEG_SQL,
     "transcode_text": "WITH " + MAP_SQL.format(method=METHODS[0]) + ", " + EVENTS_SQL + ", " + TOKENS_SQL + f", r AS (SELECT event_id, replace({_RAW}, chr(2), '') AS r FROM seg GROUP BY 1) SELECT ev.event_id, {complete_sql('r.r')} AS text FROM ev LEFT JOIN r USING (event_id)",
-    "transcode_documents": "WITH " + MAP_SQL.format(method=METHODS[0]) + """, d AS (SELECT doc_id, any_value(text) AS text FROM documents WHERE lang = 'und' GROUP BY 1),
+    "transcode_documents": "WITH " + MAP_SQL.format(method=METHODS[0]) + """, d AS (SELECT doc_id, any_value(text) AS text FROM documents GROUP BY 1),
 tok AS (SELECT doc_id, unnest(regexp_extract_all(text, (SELECT p FROM pat))) AS t FROM d), seg AS (SELECT doc_id, t, u FROM tok LEFT JOIN m ON t = k)
 SELECT d.doc_id, CASE WHEN d.text IS NOT NULL THEN CAST(coalesce(x.glyphs, 0) AS BIGINT) END AS glyphs, CASE WHEN d.text IS NOT NULL THEN CAST(coalesce(x.unmapped, 0) AS BIGINT) END AS unmapped
 FROM d LEFT JOIN (SELECT doc_id, """ + _EV_SUMS + " FROM seg GROUP BY 1) x USING (doc_id)",
