@@ -116,7 +116,7 @@ def _mapping(spark, table=None):
 def _naive(text, table):
     table, out, at = {**table, " ": " "}, [], 0
     while at < len(text):
-        key = next((text[at : at + n] for n in range(len(text) - at, 0, -1) if text[at : at + n] in table), None)
+        key = next((text[at : at + n] for n in range(min(len(text) - at, max(map(len, table))), 0, -1) if text[at : at + n] in table), None)
         if key:
             out.append((key, table[key]))
         elif out and out[-1][1] is None:
