@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lipimala.functions.bitmaps import CANVAS, GRID, THICK_BLOB, holes, stray_share, thick_blob, to_canvas, to_grid, unpacked
+from lipimala.runtime import maybe_broadcast, pick
 
 # Nearest shapes looked at when assigning and when looking for like ones, and their distances.
 CANDIDATES, WIDE, WIDE_STRAY = 8, 16, 0.35
@@ -127,17 +128,18 @@ def flagged(checked: DataFrame) -> DataFrame:
     return checked.where("verdict <> 'clean'").groupBy("shape_id").agg(F.count("*").alias("troubled"))
 
 
-def keep_assignments(found: DataFrame, previous: DataFrame, page: list[str], size: int | None = None) -> DataFrame:
-    """Adds kept: the earlier shape id of a component with the same page, box and ink, if its id is below
-    ``size``; null where the shape is to be assigned anew."""
+def keep_assignments(found: DataFrame, previous: DataFrame, page: list[str], catalog: DataFrame | None = None) -> DataFrame:
+    """Adds kept: the earlier shape id of a component with the same page, box and ink, if ``catalog`` has its
+    id; null where the shape is to be assigned anew. Ids may have gaps, so their number is no bound."""
     there = [f"_{c}" for c in page]
     before = previous.select(*(F.col(c).alias(f"_{c}") for c in page), F.col("bbox").alias("_box"), F.col("ink").alias("_ink"), F.col("shape_id").alias("kept")).dropDuplicates([*there, "_box"])
+    if catalog is not None:
+        before = before.join(maybe_broadcast(pick(catalog, "shape_id").distinct().toDF("kept")), "kept", "left_semi")
     match = F.col("bbox") == F.col("_box")
     for c in page:
         match &= F.col(c) == F.col(f"_{c}")
     joined = found.join(before, match, "left").drop(*there, "_box")
-    valid = (F.col("ink") == F.col("_ink")) & (F.lit(True) if size is None else F.col("kept") < size)
-    return joined.withColumn("kept", F.when(valid, F.col("kept"))).drop("_ink")
+    return joined.withColumn("kept", F.when(F.col("ink") == F.col("_ink"), F.col("kept"))).drop("_ink")
 
 
 def lead_clusters(shapes: DataFrame, order: list[str], ident: str) -> DataFrame:

@@ -184,7 +184,7 @@ def keep_assignments(spark, sf_dir):
     """Earlier ids of components, where the ink is still the same; late rows are indexed anew."""
     now = table(spark, sf_dir, "occurrences").repartition("book", "page").dropDuplicates(["book", "page", "line", "word", "position"])
     before = now.where("shape_id is not null").withColumn("ink", F.when(F.col("word") % 2 == 0, F.col("ink")).otherwise(F.col("ink") + 1))
-    kept = SI.keep_assignments(now, before, ["book", "page"], 1000)
+    kept = SI.keep_assignments(now, before, ["book", "page"], table(spark, sf_dir, "shape_catalog"))
     return kept.groupBy("book").agg(F.count("*").alias("parts"), F.count("kept").alias("kept"))
 
 

@@ -12,6 +12,7 @@ from lipimala.operators import scan_layout as SL
 from lipimala.operators import shape_index as SI
 from lipimala.operators import solver as V
 from lipimala.operators.transcode import Mapping
+from lipimala.plans import curate_queries
 from lipimala.sources import outputs, pages, tsv
 from lipimala.streaming import ingest
 
@@ -191,6 +192,14 @@ def test_neighbours_and_checks(spark):
     assert {tuple(r) for r in SI.rival_pairs(checked, spark.createDataFrame([(5, 2), (8, 7)], "shape_id bigint, other bigint")).collect()} == {(2, 5, 2), (3, 4, 1), (7, 8, 0)}
 
 
+def test_kept_ids_are_those_of_the_catalog(spark, tmp_path):
+    box = "bbox struct<x0 int, y0 int, x1 int, y1 int>"
+    rows = [("b", 1, 1, w, 1, s, (w, 0, w + 1, 9), 5) for w, s in ((2, 3), (4, 5999), (6, 70), (8, None), (1, 3), (10, 1000))]
+    spark.createDataFrame([*rows, rows[0]], f"book string, page int, line int, word int, position int, shape_id bigint, {box}, ink int").write.parquet(f"{tmp_path}/occurrences.parquet")
+    spark.createDataFrame([(3,), (3,), (5999,), (1000,), (None,)], "shape_id bigint").write.parquet(f"{tmp_path}/shape_catalog.parquet")
+    assert [tuple(r) for r in curate_queries.keep_assignments(spark, str(tmp_path)).collect()] == [("b", 6, 3)]
+
+
 def test_page_ranking(spark):
     rows = [("b", 1, s) for s in (1, 2)] + [("b", 2, s) for s in (1, 2, 3)] + [("b", 3, s) for s in (3, 4)] + [("b", 3, None)]
     got = SI.rank_pages(spark.createDataFrame(rows, "book string, page int, shape_id bigint"), ["book"]).orderBy("rank").collect()
