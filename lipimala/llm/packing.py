@@ -3,12 +3,15 @@
 Conflict-constrained best fit, largest item first. Open bins are ordered by residual space; each residual has
 a bitmap of its bins, and each source and each cluster of copies a bitmap of the bins that hold it. The search
 takes the residuals upwards from the item's size and stops at the first, which is the tightest, that has a bin
-without conflict. Items are spread over splits of bounded size by hash and each split fills its own bins, so
+without conflict. Where a cluster has more copies than there are bins, only the surplus shares bins, evenly. Items are spread over splits of bounded size by hash and each split fills its own bins, so
 work and memory of a task don't grow with the collection.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
+from collections import Counter
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -67,22 +70,48 @@ class Bins:
 def best_fit(sizes: list[int], sources: list, copies: list, capacity: int) -> list[int]:
     """The bin of every item; no size exceeds ``capacity``.
 
-    Two copies never share a bin, unless a cluster has more copies than the split can have bins. Items of one
-    source share a bin only where no other open bin would take the item. A null source or cluster conflicts
-    with nothing. Equal sizes keep their order.
+    Two copies never share a bin, unless a cluster has more copies than the bins that the split needs when
+    nothing is asked of such clusters: then bins are opened for its copies up to that number, and only then
+    they go where the fewest of them are. Items of one source share a bin only where no other open bin would
+    take the item. A null source or cluster conflicts with nothing. Equal sizes keep their order.
     """
+    count = Counter(c for c in copies if c is not None)
+    limit = -(-sum(sizes) // capacity)
+    hot = {c for c, n in count.items() if n > limit}
+    order = sorted(range(len(sizes)), key=lambda i: -sizes[i])
+    if hot:
+        limit = 1 + max(_fill(order, sizes, sources, [None if c in hot else c for c in copies], capacity, count, limit))
+        # large clusters early, while the bins still have room for them; before them what no bin with a copy takes
+        room = capacity - min(n for n, c in zip(sizes, copies, strict=True) if c in hot)
+        order.sort(key=lambda i: 0 if sizes[i] > room else 1 if copies[i] in hot else 2)
+    return _fill(order, sizes, sources, copies, capacity, count, limit)
+
+
+def _fill(order: list[int], sizes: list[int], sources: list, copies: list, capacity: int, count: Counter, limit: int) -> list[int]:
+    """The bins, where the copies of clusters of more than ``limit`` share some once ``limit`` bins are open."""
     bins, out = Bins(capacity), [0] * len(sizes)
-    least = -(-sum(sizes) // capacity)
-    many = {c for c, n in pd.Series(copies, dtype="object").value_counts().items() if n > least}
-    for i in sorted(range(len(sizes)), key=lambda i: -sizes[i]):
-        source = None if sources[i] is None else ("source", sources[i])
-        copy = None if copies[i] is None or copies[i] in many else ("copy", copies[i])
-        keys = [k for k in (source, copy) if k]
-        apart = bins.holders.get(copy, 0)
-        place = bins.tightest(sizes[i], apart | bins.holders.get(source, 0))
-        if place is None and source:
-            place = bins.tightest(sizes[i], apart)
-        out[i] = bins.put(sizes[i], place, keys)
+    levels: dict = {}  # cluster -> bitmaps of the bins with more than 0, 1, 2 ... of its copies
+    held: Counter = Counter()
+    for i in order:
+        source, copy, size = None if sources[i] is None else ("source", sources[i]), copies[i], sizes[i]
+        level = levels.setdefault(copy, []) if copy is not None else []
+
+        def find(apart: int, size: int = size, source: tuple | None = source) -> int | None:
+            place = bins.tightest(size, apart | bins.holders.get(source, 0))
+            return bins.tightest(size, apart) if place is None and source else place
+
+        place = find(level[0] if level else 0)
+        if place is None and count[copy] > limit and len(bins.residuals) >= limit:
+            # bins with more than k copies hold fewer for each k: the least k that leaves a bin is found by halving
+            k = bisect_left(range(1, len(level)), True, key=lambda k: bins.tightest(size, level[k]) is not None) + 1
+            place = find(level[k] if k < len(level) else 0)
+        out[i] = place = bins.put(size, place, [source] if source else [])
+        if copy is not None:
+            k = held[copy, place]
+            held[copy, place] += 1
+            if k == len(level):
+                level.append(0)
+            level[k] |= 1 << place
     return out
 
 

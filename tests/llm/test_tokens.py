@@ -2,7 +2,7 @@
 
 import base64
 import random
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -96,6 +96,20 @@ def test_best_fit_finds_the_tightest_bin():
         assert best_fit(sizes, sources, copies, 20) == _brute(sizes, sources, copies, 20)
 
 
+@pytest.mark.parametrize("size", [4, 60, 200, 330])
+def test_only_the_surplus_of_copies_shares_bins(size):
+    rng = random.Random(5)
+    sizes = [size if i % 3 == 0 else rng.randrange(1, 600) for i in range(3000)]
+    copies = [7 if i % 3 == 0 else None for i in range(3000)]
+    bins = best_fit(sizes, [None] * 3000, copies, 1000)
+    held = Counter(b for b, c in zip(bins, copies, strict=True) if c)
+    needed, filled = len(set(best_fit(sizes, [None] * 3000, [None] * 3000, 1000))), Counter()
+    for b, n in zip(bins, sizes, strict=True):
+        filled[b] += n
+    assert max(filled.values()) <= 1000 and len(filled) <= 1.01 * needed
+    assert len(held) == needed < 1000 and max(held.values()) == -(-1000 // needed)
+
+
 def test_pieces_and_capacity(spark):
     rows = [(1, 250, "s", 1), (2, 100, "s", None), (3, 0, None, None), (4, None, None, None), (5, 60, "s", 7), (6, 40, "t", 7), (7, 101, None, None)]
     got = pack(spark.createDataFrame(rows, "id bigint, size int, source string, copy bigint"), "id", "size", "source", "copy", capacity=100).collect()
