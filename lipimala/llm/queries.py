@@ -38,7 +38,7 @@ def p5_found(spark, sf_dir):
 
 
 def p5_paragraphs(spark, sf_dir):
-    return readable_paragraphs(table(spark, sf_dir, "scan_pages"), table(spark, sf_dir, "lexicon"))
+    return readable_paragraphs(*(table(spark, sf_dir, t) for t in ("scan_pages", "lexicon", "ocr_words")))
 
 
 def p6_found(spark, sf_dir):

@@ -313,18 +313,28 @@ def label_pages(pages: DataFrame, titles: DataFrame) -> DataFrame:
 
 
 def neighbours(labelled: DataFrame) -> DataFrame:
-    """(book, page, before, after): the last word of the text before a page and the first of the text after.
+    """(book, page, before, after, before_page, after_page): the last word of the text before a page, the first
+    of the text after, and their pages.
 
     Pages without text are passed over. Looked up within blocks of pages first and between blocks then, so
     that a long book is not one task's work.
     """
-    rows = labelled.select("book", "page", "head", "tail", F.floor(F.col("page") / PAGE_BLOCK).alias("block"))
-    inside = Window.partitionBy("book", "block").orderBy("page")
-    blocks = rows.groupBy("book", "block").agg(F.min_by("head", F.when(F.col("head").isNotNull(), F.col("page"))).alias("first"), F.max_by("tail", F.when(F.col("tail").isNotNull(), F.col("page"))).alias("last"))
-    between = Window.partitionBy("book").orderBy("block")
-    far = blocks.select("book", "block", F.last("last", True).over(between.rowsBetween(Window.unboundedPreceding, -1)).alias("far_before"), F.first("first", True).over(between.rowsBetween(1, Window.unboundedFollowing)).alias("far_after"))
-    near = rows.select("book", "page", "block", F.last("tail", True).over(inside.rowsBetween(Window.unboundedPreceding, -1)).alias("before"), F.first("head", True).over(inside.rowsBetween(1, Window.unboundedFollowing)).alias("after"))
-    return near.join(far, ["book", "block"]).select("book", "page", F.coalesce("before", "far_before").alias("before"), F.coalesce("after", "far_after").alias("after"))
+    tail, head = (F.when(F.col(c).isNotNull(), F.struct(F.col(c).alias("word"), "page")) for c in ("tail", "head"))
+    rows = labelled.select("book", "page", tail.alias("tail"), head.alias("head"))
+    found = _beside(rows, ["book"], "tail", "before").join(_beside(rows, ["book"], "head", "after", True), ["book", "page"])
+    return found.select("book", "page", "before.word", "after.word", "before.page", "after.page").toDF("book", "page", "before", "after", "before_page", "after_page")
+
+
+def _beside(rows: DataFrame, keys: list[str], value: str, name: str, following: bool = False) -> DataFrame:
+    """(keys, page, ``name``): the nearest ``value`` that isn't null on the pages before, or on those following."""
+    order = (lambda c: F.col(c).desc()) if following else F.col
+    rows = rows.select(*keys, "page", value, F.floor(F.col("page") / PAGE_BLOCK).alias("block"))
+    nearest = F.min_by if following else F.max_by
+    blocks = rows.groupBy(*keys, "block").agg(nearest(value, F.when(F.col(value).isNotNull(), F.col("page"))).alias("last"))
+    inside, between = (Window.partitionBy(*keys, *more).orderBy(order(by)).rowsBetween(Window.unboundedPreceding, -1) for more, by in ((["block"], "page"), ([], "block")))
+    far = blocks.select(*keys, "block", F.last("last", True).over(between).alias("far"))
+    near = rows.select(*keys, "page", "block", F.last(value, True).over(inside).alias("near"))
+    return near.join(far, [*keys, "block"]).select(*keys, "page", F.coalesce("near", "far").alias(name))
 
 
 # --- noise -------------------------------------------------------------------------------------------
@@ -464,29 +474,49 @@ def scan_noise(pages: DataFrame, ocr: DataFrame, events: DataFrame, lexicon: Dat
 # --- paragraphs --------------------------------------------------------------------------------------
 
 
+_PARAGRAPHS = "src string, book string, page int, texts array<string>, opens boolean, runs_on boolean"
+
+
 def _paragraphs(lexicon):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _words(lexicon.value)
         for batch in batches:
             out: list[tuple] = []
             for row in batch.to_pylist():
-                for k, text in enumerate(page_paragraphs(row["lines"] or [], row["labels"], row["before"], row["after"], words), 1):
-                    out.append((row["book"], row["page"], k, text))
-            columns = [list(x) for x in zip(*out, strict=True)] or [[]] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int32(), pa.int32(), pa.string()), strict=True)], names=["book", "page", "paragraph", "text"])
+                lines, labels, before, after = row["lines"] or [], row["labels"], row["before"], row["after"]
+                texts = page_paragraphs(lines, labels, before, after, words, row["begun"])
+                out.append((row["src"], row["book"], row["page"], texts, *_open_ends(lines, labels, before, after, texts, words)))
+            columns = [list(x) for x in zip(*out, strict=True)] or [[]] * 6
+            kinds = (pa.string(), pa.string(), pa.int32(), pa.list_(pa.string()), pa.bool_(), pa.bool_())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["src", "book", "page", "texts", "opens", "runs_on"])
 
     return run
 
 
-def page_paragraphs(lines: list[str | None], labels: list[str], before: str | None, after: str | None, words: Words) -> list[str]:
+def _open_ends(lines: list[str | None], labels: list[str], before: str | None, after: str | None, texts: list[str], words: Words) -> tuple[bool, bool]:
+    """Whether the page's first paragraph may go on from the page before, and its last on the page after."""
+    body = [i for i, kind in enumerate(labels) if kind == "body"]
+    if not body:
+        return False, False
+    first, last = lines[body[0]].split(), lines[body[-1]].split()
+    skip = before is not None and words.across(before, first[0])[0]
+    opens = skip or "break" not in labels[: body[0]]
+    if skip and len(first) == 1 and len(body) > 1:  # the page's own text begins in the next line
+        opens = "break" not in labels[body[0] : body[1]]
+    cut_ = words.across(last[-1], after)[0]
+    return opens, (cut_ or "break" not in labels[body[-1] :]) and not (texts[-1] if texts else last[-1]).endswith("॥")
+
+
+def page_paragraphs(lines: list[str | None], labels: list[str], before: str | None, after: str | None, words: Words, begun: bool = False) -> list[str]:
     """The page's text as paragraphs: furniture gone, cut words whole, misread words repaired where one
-    lexicon word is nearest. A word cut at the page's end is completed here and left out on the next page.
-    A paragraph ends at a break and after a stanza's end."""
+    lexicon word is nearest. A word cut at the page's end is completed here and left out on the next page;
+    ``begun``: the page before is not given, so a word cut there is completed on this page. A paragraph ends at a break and after a stanza's end."""
     rows = [(i, (lines[i] or "").split()) for i, kind in enumerate(labels) if kind == "body"]
     verdict = judge([r for _, r in rows], before, after, words)
     skip = bool(rows) and before is not None and words.across(before, rows[0][1][0])[0]
     out: list[list[str]] = [[]]
-    carry = ""
+    carry = before.strip(MARKS).rstrip(PARTING) if skip and begun else ""
+    skip = skip and not begun
     for k, (i, tokens) in enumerate(rows):
         if k and not carry and "break" in labels[rows[k - 1][0] : i] and out[-1]:
             out.append([])
@@ -505,10 +535,45 @@ def page_paragraphs(lines: list[str | None], labels: list[str], before: str | No
     return [" ".join(p) for p in out if p]
 
 
-def readable_paragraphs(pages: DataFrame, lexicon: DataFrame) -> DataFrame:
-    """(book, page, paragraph, text) of every page with text."""
+def _sheet_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(book, page, lines) of OCR pages; an unread word is shown as an ellipsis."""
+    for batch in batches:
+        lines = [[" ".join((w["text"] or "").strip() or "…" for w in line) for line in ocr_lines(row["words"])] for row in batch.to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch["book"], batch["page"], pa.array(lines, pa.list_(pa.string()))], names=["book", "page", "lines"])
+
+
+def readable_paragraphs(pages: DataFrame, lexicon: DataFrame, ocr: DataFrame | None = None) -> DataFrame:
+    """(src, book, page, paragraph, text, start_page, start_paragraph) of every page with text.
+
+    A paragraph that runs over pages has a row on each, with the place where it starts. Texts of scanned and
+    of OCR pages are given apart; a word cut at a page's end is completed from the other source where its own
+    has no page beside. OCR words show no blank lines, so their paragraphs end at stanzas only.
+    """
     known = _lexicon(lexicon)
     once = pick(pages, "book", "page", "lines").dropDuplicates(["book", "page"])
-    labelled = cut(label_pages(once, running_titles(once)).drop("titles"), "labelled")
-    rows = labelled.join(neighbours(labelled), ["book", "page"]).select("book", "page", "lines", "labels", "before", "after")
-    return rows.mapInArrow(_paragraphs(known), "book string, page int, paragraph int, text string")
+    titles = cut(running_titles(once), "titles")
+    every = label_pages(once, titles).drop("titles").withColumn("src", F.lit("scan_pages"))
+    if ocr is not None:
+        words = pick(ocr, "book", "page", "ocr_no", "text", "bbox").select("book", "page", "ocr_no", "text", F.col("bbox.y0").alias("y0"), F.col("bbox.y1").alias("y1")).repartition("book", "page").dropDuplicates(["book", "page", "ocr_no"])
+        sheets = words.groupBy("book", "page").agg(F.array_sort(F.collect_list(F.struct("ocr_no", "text", "y0", "y1"))).alias("words"))
+        sheets = sheets.mapInArrow(_sheet_lines, "book string, page int, lines array<string>")
+        every = every.unionByName(label_pages(sheets, titles).drop("titles").withColumn("src", F.lit("ocr_words")))
+    every = cut(every, "labelled")
+    first = lambda c: F.coalesce(F.max(F.when(F.col("src") == "scan_pages", F.col(c))), F.max(c)).alias(c)
+    around = neighbours(every.groupBy("book", "page").agg(first("head"), first("tail")))
+    text = every.where("head is not null")
+    own_before = text.select("src", "book", F.col("page").alias("before_page"), F.col("tail").alias("own_before"))
+    own_after = text.select("src", "book", F.col("page").alias("after_page"), F.col("head").alias("own_after"))
+    rows = text.join(around, ["book", "page"]).join(own_before, ["src", "book", "before_page"], "left").join(own_after, ["src", "book", "after_page"], "left")
+    begun = F.col("own_before").isNull()
+    rows = rows.select("src", "book", "page", "lines", "labels", F.coalesce("own_before", "before").alias("before"), F.coalesce("own_after", "after").alias("after"), begun.alias("begun"), "before_page")
+    whole = cut(rows.drop("before_page").mapInArrow(_paragraphs(known), _PARAGRAPHS), "paragraphs")
+    before = whole.select("src", "book", F.col("page").alias("before_page"), F.col("runs_on").alias("came"))
+    flow = whole.select("src", "book", "page", "opens", F.size("texts").alias("n")).join(rows.select("src", "book", "page", "before_page"), ["src", "book", "page"]).join(before, ["src", "book", "before_page"], "left")
+    flow = flow.select("src", "book", "page", "n", (F.col("opens") & F.coalesce("came", F.lit(False))).alias("goes_on"))
+    anchor = F.when((F.col("n") > 1) | ((F.col("n") == 1) & ~F.col("goes_on")), F.struct(F.col("page").alias("p"), F.col("n").alias("k")))
+    starts = _beside(flow.withColumn("anchor", anchor), ["src", "book"], "anchor", "start").join(flow, ["src", "book", "page"])
+    found = whole.join(starts.select("src", "book", "page", F.when(F.col("goes_on"), F.col("start")).alias("start")), ["src", "book", "page"])
+    found = found.select("src", "book", "page", "start", F.posexplode("texts").alias("k", "text")).withColumn("paragraph", F.col("k") + 1)
+    start = F.when(F.col("paragraph") == 1, F.col("start"))
+    return found.select("src", "book", "page", "paragraph", "text", F.coalesce(start["p"], "page").alias("start_page"), F.coalesce(start["k"], "paragraph").alias("start_paragraph"))

@@ -94,3 +94,16 @@ def test_paragraphs(spark):
     lexicon = spark.createDataFrame([(w,) for w in LEXICON], "word string")
     got = {(r.page, r.paragraph): r.text for r in readable_paragraphs(spark.createDataFrame(_pages()[:4], PAGE), lexicon).collect()}
     assert got == {(1, 1): "తోతొ మంభె యాంగేము దుళళా చాగధదా కరటాదూ", (2, 1): "తోతొ,", (2, 2): "మంభె దుళళా"}
+
+
+def test_paragraphs_of_ocr_pages_and_over_pages(spark):
+    box = lambda k: (0.0, 20.0 * k, 9.0, 20.0 * k + 9)
+    ocr = [("b", 1, 1, "తోతొ", box(0)), ("b", 1, 2, None, box(0)), ("b", 1, 3, "కర-", box(1)), ("b", 1, 3, "కర-", box(1)), ("b", 2, 1, "టాదూ", box(0)), ("b", 2, 2, "మంభె॥", box(0)), ("b", 2, 3, "దుళళా", box(1)), ("b", 4, 1, "గేము", box(0))]
+    pages = [("b", p, lines, "t", "x") for p, lines in ((1, ["తోతొ మంభె", "కర-"]), (2, ["టాదూ దుళళా"]), (3, ["దుళళా మంభె", "యాం-"]), (4, ["గేము మంభె", ""]), (5, ["చాగధదా"]))]
+    lexicon = spark.createDataFrame([(w,) for w in LEXICON], "word string")
+    got = readable_paragraphs(spark.createDataFrame(pages, PAGE), lexicon, spark.createDataFrame(ocr, OCR)).collect()
+    assert {tuple(r) for r in got} == {
+        ("scan_pages", "b", 1, 1, "తోతొ మంభె కరటాదూ", 1, 1), ("scan_pages", "b", 2, 1, "దుళళా", 1, 1), ("scan_pages", "b", 3, 1, "దుళళా మంభె యాంగేము", 1, 1),
+        ("scan_pages", "b", 4, 1, "మంభె", 1, 1), ("scan_pages", "b", 5, 1, "చాగధదా", 5, 1),
+        ("ocr_words", "b", 1, 1, "తోతొ … కరటాదూ", 1, 1), ("ocr_words", "b", 2, 1, "మంభె॥", 1, 1), ("ocr_words", "b", 2, 2, "దుళళా", 2, 2), ("ocr_words", "b", 4, 1, "యాంగేము", 4, 1),
+    }
