@@ -76,7 +76,7 @@ f AS (
     (SELECT count(*) FROM (SELECT DISTINCT book, page FROM scan_pages)) FROM u GROUP BY 2
   UNION ALL
   SELECT 'glyph', glyph, coalesce(sum(n), 0), count(DISTINCT book) FILTER (n <> 0),
-    (SELECT count(DISTINCT book) FROM glyph_stats) FROM g WHERE glyph IS NOT NULL GROUP BY 2),
+    (SELECT count(DISTINCT book) FROM glyph_stats) FROM g WHERE glyph IS NOT NULL GROUP BY 2 HAVING count(*) FILTER (n <> 0) > 0),
 m AS (SELECT field, term, CAST(frequency AS BIGINT) AS frequency, CAST(records AS BIGINT) AS records,
   CASE WHEN frequency < 5 OR records <= 1 THEN 'rare' WHEN records > total * 0.5 THEN 'common' END AS mark FROM f)
 """
