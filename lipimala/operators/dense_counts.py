@@ -1,9 +1,9 @@
 """Counts per key when a handful of keys own most rows.
 
 Dense accumulator arrays: rows are spread over equal splits by a key that has no hot value, each split
-encodes its (group, id) keys and adds them up with ``numpy.bincount`` into array blocks, and the blocks of
-all splits are summed slot by slot. A hot key costs every split one slot, so it can hold back no task:
-what reaches the reduction is at most one number per key and split.
+encodes its (group, id) keys and adds them up with ``numpy.bincount`` into array blocks, and the arrays of
+a block are added whole in the reduction, which unpacks the sum once. A hot key costs every split one slot,
+so it can hold back no task: what reaches the reduction is at most one array per block and split.
 """
 
 from __future__ import annotations
@@ -66,17 +66,55 @@ def _blocks(batches: Iterator[pa.RecordBatch], block: int, flush: int = 1 << 20)
         yield pa.RecordBatch.from_arrays([pa.array(x, t.type) for x, t in zip(map(list, zip(*out)), schema, strict=True)], schema=schema)
 
 
+def _summed(batches: Iterator[pa.RecordBatch], block: int, rows: int = 4096) -> Iterator[pa.RecordBatch]:
+    """Array blocks sorted by (grp, block): adds the arrays of each block and unpacks the sums."""
+    names = ["grp", "ident", "n"]
+    carried: tuple | None = None  # the block that may go on in the next rows, and its sums so far
+
+    def unpacked(keys: list[tuple], sums: np.ndarray) -> pa.RecordBatch:
+        at, slot = np.nonzero(sums)
+        groups = pa.array([g for g, _ in keys], pa.string()).take(pa.array(at))
+        first = np.array([b for _, b in keys], np.int64) * block
+        return pa.RecordBatch.from_arrays([groups, pa.array(first[at] + slot), pa.array(sums[at, slot])], names=names)
+
+    for batch in batches:
+        for begin in range(0, batch.num_rows, rows):
+            part = batch.slice(begin, rows)
+            keys = list(zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True))
+            if carried is not None:
+                keys.insert(0, carried[0])
+            run = np.cumsum([False, *(x != y for x, y in zip(keys[1:], keys[:-1], strict=True))])
+            own = run[len(keys) - part.num_rows :]
+            arrays = part.column(3)
+            sizes = np.asarray(arrays.value_lengths(), np.int64)
+            ends = np.cumsum(sizes)
+            inside = np.arange(ends[-1]) - np.repeat(ends - sizes, sizes)
+            slots = np.repeat(own * block + np.asarray(part.column(2), np.int64), sizes) + inside
+            sums = np.zeros((run[-1] + 1) * block, np.int64)
+            np.add.at(sums, slots, np.asarray(arrays.flatten()))
+            sums = sums.reshape(-1, block)
+            if carried is not None:
+                sums[0] += carried[1]
+            distinct = [keys[i] for i in np.flatnonzero(np.r_[True, run[1:] != run[:-1]])]
+            carried = distinct[-1], sums[-1].copy()
+            if len(distinct) > 1:
+                yield unpacked(distinct[:-1], sums[:-1])
+    if carried is not None:
+        yield unpacked([carried[0]], carried[1][None])
+
+
 def dense_counts(rows: DataFrame, group: Column, ident: Column, *, block: int = BLOCK) -> DataFrame:
     """Rows per (``grp``, ``ident``) as columns grp string, ident bigint, n bigint.
 
     ``rows`` should already be spread evenly (for instance hash-partitioned by a page or row key). Rows
     with a null ``ident`` are no occurrence of anything and are left out; a null group is a group of its
-    own; an empty input gives an empty result.
+    own; an empty input gives an empty result. Arrays travel and are added whole; what a key's block costs
+    the reduction is one array of ``block`` numbers per split.
     """
     keyed = rows.select(group.cast("string").alias("grp"), ident.cast("bigint").alias("ident")).where("ident is not null")
     arrays = keyed.mapInArrow(lambda it: _blocks(it, block), "grp string, block bigint, first int, counts array<bigint>")
-    slots = arrays.select("grp", "block", "first", F.posexplode("counts").alias("pos", "part")).where("part > 0")
-    return slots.groupBy("grp", (F.col("block") * block + F.col("first") + F.col("pos")).alias("ident")).agg(F.sum("part").alias("n"))
+    placed = arrays.repartition("grp", "block").sortWithinPartitions("grp", "block")
+    return placed.mapInArrow(lambda it: _summed(it, block), "grp string, ident bigint, n bigint")
 
 
 def occurrence_counts(occurrences: DataFrame) -> DataFrame:
