@@ -8,8 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A side is broadcast only when it has at most this many rows (checked, never assumed).
-BROADCAST_ROWS = 200_000
+#: A side is broadcast only when it has at most this many rows and bytes of JSON (checked, never assumed).
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 64 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,9 +17,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; a temporary one only where it is unset (tests)."""
+    """The shared folder named by ``spark.checkpoint.dir``; a temporary one only for a local session without it.
+
+    On a cluster a folder of the driver's machine can't be read by the executors, so there it must be named.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="lipimala-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
@@ -48,9 +53,11 @@ def uncut(df: DataFrame | None) -> None:
         hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
-def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> bool:
-    """Whether ``df`` has at most ``limit`` rows; reads no more than ``limit + 1`` of them."""
-    return df.limit(limit + 1).count() <= limit
+def small(df: DataFrame, limit: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> bool:
+    """Whether ``df`` has at most ``limit`` rows and ``size`` bytes; reads no more than ``limit + 1`` rows."""
+    weight = F.sum(F.length(F.to_json(F.struct("*")))) if df.columns else F.lit(0)
+    rows, held = df.limit(limit + 1).agg(F.count("*"), weight).first()
+    return rows <= limit and (held or 0) <= size
 
 
 def maybe_broadcast(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
@@ -85,3 +92,18 @@ def pick(df: DataFrame, *names: str) -> DataFrame:
             raise ValueError(f"no column {name} among {df.columns}")
         found.append(plain[f"c{at[0]}"].alias(name))
     return plain.select(*found)
+
+
+def once(df: DataFrame, key: str) -> DataFrame:
+    """One row for every value of ``key``, null included; only rows whose key is repeated are moved.
+
+    The repeated keys are found from the key column alone. Where they are too many to broadcast all rows are shuffled.
+    """
+    repeated = df.groupBy(F.col(key).alias("repeated_key")).agg(F.count("*").alias("n")).where("n > 1").select("repeated_key", F.lit(True).alias("is_repeated"))
+    if repeated.isEmpty():
+        return df
+    if not small(repeated):
+        return df.dropDuplicates([key])
+    marked = df.join(F.broadcast(repeated), F.col(key).eqNullSafe(F.col("repeated_key")), "left")
+    single, several = marked.where("is_repeated is null").select(*df.columns), marked.where("is_repeated").select(*df.columns)
+    return single.unionByName(several.dropDuplicates([key]))

@@ -12,7 +12,8 @@ from lipimala.operators import match as M
 from lipimala.operators import quality as Q
 from lipimala.operators.dense_counts import atlas_counts, dense_counts, wrong_counts
 from lipimala.operators.transcode import Mapping
-from lipimala.runtime import hot_join, pick
+from lipimala import runtime
+from lipimala.runtime import hot_join, once, pick, shared_dir, small
 
 OCC = "book string, page int, line int, word int, position int, shape_id bigint, n string, Book string"
 ATLAS = "book string, shape_id bigint, count bigint, occurrences string"
@@ -41,6 +42,33 @@ def test_hot_join_loses_nothing(spark):
     assert Counter(r.w for r in hot_join(left, right, "k", "n", 3003.0).collect()) == {"hot": 3000, "cold": 1}
 
 
+def test_once_moves_repeated_keys_only(spark, monkeypatch):
+    rows = [(1, "a"), (2, "b"), (2, "b"), (None, "c"), (None, "c"), (3, None)]
+    df = spark.createDataFrame(rows, "k int, v string")
+    for limit in (200_000, 0):  # also where the repeated keys are too many to broadcast
+        monkeypatch.setattr(runtime, "small", lambda d, limit=limit: small(d, limit))
+        assert Counter(map(tuple, once(df, "k").collect())) == Counter({(1, "a"): 1, (2, "b"): 1, (None, "c"): 1, (3, None): 1})
+    assert once(df.where("k = 1"), "k").count() == 1
+
+
+def test_small_counts_rows_and_bytes(spark):
+    df = spark.range(10).selectExpr("id", "repeat('x', 100) as t")
+    assert small(df, 10) and not small(df, 9) and not small(df, 10, 500) and small(df.limit(0), 0)
+
+
+def test_a_cluster_must_name_its_shared_folder(spark):
+    class Conf:
+        def get(self, *_):
+            return None
+
+    class Session:
+        conf = Conf()
+        sparkContext = type("C", (), {"master": "spark://host:7077"})  # noqa: N815
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_dir(Session())
+
+
 def test_pick_is_exact(spark):
     df = spark.createDataFrame([(1, 2, 3)], "a int, b int, c int").toDF("x", "X", "y.z")
     assert tuple(pick(df, "x", "X", "y.z").first()) == (1, 2, 3) and pick(df, "Y.Z").first()[0] == 3
