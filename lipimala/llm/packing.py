@@ -3,8 +3,9 @@
 Conflict-constrained best fit, largest item first. Open bins are ordered by residual space; each residual has
 a bitmap of its bins, and each source and each cluster of copies a bitmap of the bins that hold it. The search
 takes the residuals upwards from the item's size and stops at the first, which is the tightest, that has a bin
-without conflict. Where a cluster has more copies than there are bins, only the surplus shares bins, evenly. Items are spread over splits of bounded size by hash and each split fills its own bins, so
-work and memory of a task don't grow with the collection.
+without conflict; where there is none a bin is opened. Where a source or cluster has more items than there are
+bins, only the surplus shares bins, evenly. Items are spread over splits of bounded size by hash and each split
+fills its own bins, so work and memory of a task don't grow with the collection.
 """
 
 from __future__ import annotations
@@ -30,7 +31,8 @@ class Bins:
         self.capacity, self.residuals = capacity, []
         self.at: dict[int, int] = {}  # residual -> bitmap of its bins
         self.some = 0  # bitmap of the residuals that have bins
-        self.holders: dict[tuple, int] = {}  # conflict key -> bitmap of the bins that hold it
+        self.levels: dict[tuple, list[int]] = {}  # conflict key -> bitmaps of the bins with more than 0, 1, 2 ... of its items
+        self.held: Counter = Counter()  # items of a key in a bin
 
     def tightest(self, size: int, against: int) -> int | None:
         """The bin of least residual that takes ``size`` and is not in the bitmap ``against``."""
@@ -57,9 +59,22 @@ class Bins:
         self.at[rest] = self.at.get(rest, 0) | (1 << place)
         self.some |= 1 << rest
         for key in keys:
-            self.holders[key] = self.holders.get(key, 0) | (1 << place)
+            levels, n = self.levels.setdefault(key, []), self.held[key, place]
+            self.held[key, place] += 1
+            if n == len(levels):
+                levels.append(0)
+            levels[n] |= 1 << place
         return place
 
+    def with_more(self, keys: list[tuple], n: int) -> int:
+        """Bitmap of the bins that hold more than ``n`` items of one of the keys."""
+        found = 0
+        for key in keys:
+            levels = self.levels.get(key, ())
+            if n < len(levels):
+                found |= levels[n]
+        return found
+
     def _drop(self, place: int) -> None:
         rest = self.residuals[place]
         self.at[rest] &= ~(1 << place)
@@ -70,48 +85,40 @@ class Bins:
 def best_fit(sizes: list[int], sources: list, copies: list, capacity: int) -> list[int]:
     """The bin of every item; no size exceeds ``capacity``.
 
-    Two copies never share a bin, unless a cluster has more copies than the bins that the split needs when
-    nothing is asked of such clusters: then bins are opened for its copies up to that number, and only then
-    they go where the fewest of them are. Items of one source share a bin only where no other open bin would
-    take the item. A null source or cluster conflicts with nothing. Equal sizes keep their order.
+    Two copies, or two items of one source, never share a bin: where no open bin is compatible one is opened.
+    Only a source or cluster with more items than the bins that the split needs when nothing is asked of such
+    keys can't be kept apart so: bins are opened for its items up to that number, and only then they go where
+    the fewest of them are. A null source or cluster conflicts with nothing. Equal sizes keep their order.
     """
-    count = Counter(c for c in copies if c is not None)
+    keys = [[k for k in (("source", s), ("copy", c)) if k[1] is not None] for s, c in zip(sources, copies, strict=True)]
+    count = Counter(k for own in keys for k in own)
     limit = -(-sum(sizes) // capacity)
-    hot = {c for c, n in count.items() if n > limit}
+    hot = {k for k, n in count.items() if n > limit}
     order = sorted(range(len(sizes)), key=lambda i: -sizes[i])
     if hot:
-        limit = 1 + max(_fill(order, sizes, sources, [None if c in hot else c for c in copies], capacity, count, limit))
-        # large clusters early, while the bins still have room for them; before them what no bin with a copy takes
-        room = capacity - min(n for n, c in zip(sizes, copies, strict=True) if c in hot)
-        order.sort(key=lambda i: 0 if sizes[i] > room else 1 if copies[i] in hot else 2)
-    return _fill(order, sizes, sources, copies, capacity, count, limit)
+        limit = 1 + max(_fill(order, sizes, [[k for k in own if k not in hot] for own in keys], capacity, set(), 0))
+        hot = {k for k in hot if count[k] > limit}
+    if hot:
+        # items of large keys early, while the bins still have room for them; before them what no bin with one takes
+        room = capacity - min(n for n, own in zip(sizes, keys, strict=True) if not hot.isdisjoint(own))
+        order.sort(key=lambda i: 0 if sizes[i] > room else 2 if hot.isdisjoint(keys[i]) else 1)
+    return _fill(order, sizes, keys, capacity, hot, limit)
 
 
-def _fill(order: list[int], sizes: list[int], sources: list, copies: list, capacity: int, count: Counter, limit: int) -> list[int]:
-    """The bins, where the copies of clusters of more than ``limit`` share some once ``limit`` bins are open."""
+def _fill(order: list[int], sizes: list[int], keys: list[list[tuple]], capacity: int, hot: set[tuple], limit: int) -> list[int]:
+    """The bins, where items of the ``hot`` keys share some once ``limit`` bins are open."""
     bins, out = Bins(capacity), [0] * len(sizes)
-    levels: dict = {}  # cluster -> bitmaps of the bins with more than 0, 1, 2 ... of its copies
-    held: Counter = Counter()
     for i in order:
-        source, copy, size = None if sources[i] is None else ("source", sources[i]), copies[i], sizes[i]
-        level = levels.setdefault(copy, []) if copy is not None else []
-
-        def find(apart: int, size: int = size, source: tuple | None = source) -> int | None:
-            place = bins.tightest(size, apart | bins.holders.get(source, 0))
-            return bins.tightest(size, apart) if place is None and source else place
-
-        place = find(level[0] if level else 0)
-        if place is None and count[copy] > limit and len(bins.residuals) >= limit:
-            # bins with more than k copies hold fewer for each k: the least k that leaves a bin is found by halving
-            k = bisect_left(range(1, len(level)), True, key=lambda k: bins.tightest(size, level[k]) is not None) + 1
-            place = find(level[k] if k < len(level) else 0)
-        out[i] = place = bins.put(size, place, [source] if source else [])
-        if copy is not None:
-            k = held[copy, place]
-            held[copy, place] += 1
-            if k == len(level):
-                level.append(0)
-            level[k] |= 1 << place
+        size, own = sizes[i], keys[i]
+        place = bins.tightest(size, bins.with_more(own, 0))
+        large = [k for k in own if k in hot]
+        if place is None and large and len(bins.residuals) >= limit:
+            strict = bins.with_more([k for k in own if k not in hot], 0)
+            # bins with more than n items of a key get fewer with each n: the least n that leaves a bin is found by halving
+            most = max(len(bins.levels.get(k, ())) for k in large)
+            n = bisect_left(range(most), True, key=lambda n: bins.tightest(size, strict | bins.with_more(large, n)) is not None)
+            place = bins.tightest(size, strict | bins.with_more(large, n))
+        out[i] = bins.put(size, place, own)
     return out
 
 

@@ -10,7 +10,7 @@ from lipimala.llm.scanned_text import readable_paragraphs, scan_noise
 from lipimala.llm.shape_clusters import cluster_descriptions, cluster_members
 from lipimala.llm.spam_pages import spam_pages
 from lipimala.llm.term_frequency import corpus_terms, useless_terms
-from lipimala.runtime import pick, table
+from lipimala.runtime import once, pick, table
 
 
 def p1_found(spark, sf_dir):
@@ -46,8 +46,7 @@ def p6_found(spark, sf_dir):
 
 
 def p7_ids(spark, sf_dir):
-    once = pick(table(spark, sf_dir, "documents"), "doc_id", "text").dropDuplicates(["doc_id"])
-    return encode_texts(once, "doc_id", "text")
+    return encode_texts(once(pick(table(spark, sf_dir, "documents"), "doc_id", "text"), "doc_id"), "doc_id", "text")
 
 
 def p8_containers(spark, sf_dir):

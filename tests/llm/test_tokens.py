@@ -66,44 +66,64 @@ def test_rows_with_nulls_and_clashing_columns(spark, reference):
 
 def _brute(sizes, sources, copies, capacity):
     """Best fit by looking at every bin."""
-    least = -(-sum(sizes) // capacity)
-    count = defaultdict(int)
-    for c in copies:
-        count[c] += 1
-    bins, out = [], [0] * len(sizes)
-    for i in sorted(range(len(sizes)), key=lambda i: -sizes[i]):
-        copy = copies[i] if copies[i] is not None and count[copies[i]] <= least else None
-        fit = [k for k, b in enumerate(bins) if b[0] >= sizes[i] and (copy is None or copy not in b[2])]
-        apart = [k for k in fit if sources[i] is None or sources[i] not in bins[k][1]]
-        k = min(apart or fit, key=lambda k: (bins[k][0], k), default=None)
-        if k is None:
-            k = len(bins)
-            bins.append([capacity, set(), set()])
-        bins[k][0] -= sizes[i]
-        bins[k][1].add(sources[i])
-        bins[k][2].add(copy)
-        out[i] = k
-    return out
+    keys = [{k for k in (("s", s), ("c", c)) if k[1] is not None} for s, c in zip(sources, copies, strict=True)]
+
+    def run(order, keys, hot, limit):
+        bins, out = [], [0] * len(sizes)
+        for i in order:
+            fit = [b for b in bins if b["room"] >= sizes[i]]
+            found = [b for b in fit if not any(b[k] for k in keys[i])]
+            if not found and keys[i] & hot and len(bins) >= limit:
+                found = [b for b in fit if not any(b[k] for k in keys[i] - hot)]
+                worst = lambda b: max(b[k] for k in keys[i] & hot)
+                found = [b for b in found if worst(b) == min(map(worst, found))]
+            if found:
+                best = min(found, key=lambda b: (b["room"], b["no"]))
+            else:
+                best = Counter(room=capacity, no=len(bins))
+                bins.append(best)
+            best["room"] -= sizes[i]
+            best.update(dict.fromkeys(keys[i], 1))
+            out[i] = best["no"]
+        return out
+
+    count = Counter(k for own in keys for k in own)
+    hot = {k for k, n in count.items() if n > -(-sum(sizes) // capacity)}
+    order = sorted(range(len(sizes)), key=lambda i: -sizes[i])
+    limit = 1 + max(run(order, [own - hot for own in keys], set(), 0))
+    hot = {k for k in hot if count[k] > limit}
+    room = capacity - min((n for n, own in zip(sizes, keys, strict=True) if own & hot), default=0)
+    if hot:
+        order.sort(key=lambda i: 0 if sizes[i] > room else 1 if keys[i] & hot else 2)
+    return run(order, keys, hot, limit)
 
 
 def test_best_fit_finds_the_tightest_bin():
     rng = random.Random(4)
-    for _ in range(40):
-        n = rng.randrange(1, 60)
-        sizes = [rng.randrange(0, 21) for _ in range(n)]
-        sources = [rng.choice("aaab") if rng.random() < 0.9 else None for _ in range(n)]
-        copies = [rng.randrange(8) if rng.random() < 0.6 else None for _ in range(n)]
-        assert best_fit(sizes, sources, copies, 20) == _brute(sizes, sources, copies, 20)
+    for names in ("aaab", "abcdefghijklmnopqr"):
+        for _ in range(60):
+            n = rng.randrange(1, 60)
+            sizes = [rng.randrange(0, 21) for _ in range(n)]
+            sources = [rng.choice(names) if rng.random() < 0.9 else None for _ in range(n)]
+            copies = [rng.randrange(8) if rng.random() < 0.6 else None for _ in range(n)]
+            assert best_fit(sizes, sources, copies, 20) == _brute(sizes, sources, copies, 20)
+
+
+def test_a_conflict_opens_a_bin():
+    assert len(set(best_fit([60, 50, 40, 30, 20], ["s", "t", "t", "s", "u"], [None] * 5, 100))) == 2
+    assert best_fit([10, 10, 90], ["s", "s", None], [None] * 3, 100) == [0, 1, 0]
+    assert best_fit([10, 10, 90], [None] * 3, [1, 1, None], 100) == [0, 1, 0]
 
 
 @pytest.mark.parametrize("size", [4, 60, 200, 330])
-def test_only_the_surplus_of_copies_shares_bins(size):
+@pytest.mark.parametrize("by", ["copies", "sources"])
+def test_only_the_surplus_of_a_large_key_shares_bins(size, by):
     rng = random.Random(5)
     sizes = [size if i % 3 == 0 else rng.randrange(1, 600) for i in range(3000)]
-    copies = [7 if i % 3 == 0 else None for i in range(3000)]
-    bins = best_fit(sizes, [None] * 3000, copies, 1000)
-    held = Counter(b for b, c in zip(bins, copies, strict=True) if c)
-    needed, filled = len(set(best_fit(sizes, [None] * 3000, [None] * 3000, 1000))), Counter()
+    keys, none = [7 if i % 3 == 0 else None for i in range(3000)], [None] * 3000
+    bins = best_fit(sizes, *((none, keys) if by == "copies" else (keys, none)), 1000)
+    held = Counter(b for b, c in zip(bins, keys, strict=True) if c)
+    needed, filled = len(set(best_fit(sizes, none, none, 1000))), Counter()
     for b, n in zip(bins, sizes, strict=True):
         filled[b] += n
     assert max(filled.values()) <= 1000 and len(filled) <= 1.01 * needed
