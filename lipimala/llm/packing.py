@@ -1,6 +1,6 @@
 """Items of varying length in containers of fixed capacity, with conflicts kept apart.
 
-Conflict-constrained best fit, largest item first. Open bins are ordered by residual space; each residual has
+Conflict-constrained best fit, hardest item first. Open bins are ordered by residual space; each residual has
 a bitmap of its bins, and each source and each cluster of copies a bitmap of the bins that hold it. The search
 takes the residuals upwards from the item's size and stops at the first, which is the tightest, that has a bin
 without conflict; where there is none a bin is opened. Where a source or cluster has more items than there are
@@ -88,16 +88,20 @@ def best_fit(sizes: list[int], sources: list, copies: list, capacity: int) -> li
     Two copies, or two items of one source, never share a bin: where no open bin is compatible one is opened.
     Only a source or cluster with more items than the bins that the split needs when nothing is asked of such
     keys can't be kept apart so: bins are opened for its items up to that number, and only then they go where
-    the fewest of them are. A null source or cluster conflicts with nothing. Equal sizes keep their order.
+    the fewest of them are. A null source or cluster conflicts with nothing.
+    Items go in the order of their size plus the capacity times the share of items with their most frequent key,
+    as an item of a frequent source placed last finds every bin with room barred. Equal weights keep their order.
     """
     keys = [[k for k in (("source", s), ("copy", c)) if k[1] is not None] for s, c in zip(sources, copies, strict=True)]
     count = Counter(k for own in keys for k in own)
     limit = -(-sum(sizes) // capacity)
     hot = {k for k, n in count.items() if n > limit}
-    order = sorted(range(len(sizes)), key=lambda i: -sizes[i])
+    by_weight = lambda keys: sorted(range(len(sizes)), key=lambda i: -_weight(sizes[i], keys[i], count, capacity, len(sizes)))
     if hot:
-        limit = 1 + max(_fill(order, sizes, [[k for k in own if k not in hot] for own in keys], capacity, set(), 0))
+        free = [[k for k in own if k not in hot] for own in keys]
+        limit = 1 + max(_fill(by_weight(free), sizes, free, capacity, set(), 0))
         hot = {k for k in hot if count[k] > limit}
+    order = by_weight(keys)
     if hot:
         # items of large keys early, while the bins still have room for them; before them what no bin with one takes
         room = capacity - min(n for n, own in zip(sizes, keys, strict=True) if not hot.isdisjoint(own))
@@ -105,6 +109,11 @@ def best_fit(sizes: list[int], sources: list, copies: list, capacity: int) -> li
     return _fill(order, sizes, keys, capacity, hot, limit)
 
 
+def _weight(size: int, own: list[tuple], count: Counter, capacity: int, items: int) -> float:
+    """How hard an item is to place: its size, and by how many items of its kind bins are barred to it."""
+    return size + capacity * max((count[k] for k in own), default=0) / items
+
+
 def _fill(order: list[int], sizes: list[int], keys: list[list[tuple]], capacity: int, hot: set[tuple], limit: int) -> list[int]:
     """The bins, where items of the ``hot`` keys share some once ``limit`` bins are open."""
     bins, out = Bins(capacity), [0] * len(sizes)

@@ -89,8 +89,9 @@ def _brute(sizes, sources, copies, capacity):
 
     count = Counter(k for own in keys for k in own)
     hot = {k for k, n in count.items() if n > -(-sum(sizes) // capacity)}
-    order = sorted(range(len(sizes)), key=lambda i: -sizes[i])
-    limit = 1 + max(run(order, [own - hot for own in keys], set(), 0))
+    ordered = lambda keys: sorted(range(len(sizes)), key=lambda i: -sizes[i] - capacity * max((count[k] for k in keys[i]), default=0) / len(sizes))
+    free = [own - hot for own in keys]
+    limit, order = 1 + max(run(ordered(free), free, set(), 0)), ordered(keys)
     hot = {k for k in hot if count[k] > limit}
     room = capacity - min((n for n, own in zip(sizes, keys, strict=True) if own & hot), default=0)
     if hot:
