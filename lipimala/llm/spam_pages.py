@@ -32,6 +32,9 @@ _ADDRESS = regex.compile(r"(?:https?://|www\.)\S+|[\w-]+(?:\.[\w-]+)*\.[a-z]{2,}
 _WORD = regex.compile(r"[\p{L}\p{M}]+(?:[-'.0-9][\p{L}\p{M}]+)*")
 _TAG = regex.compile(r"(?<!\S)(?:#|tag:)\S+|\S+\s*\(\d+\)", regex.IGNORECASE)
 _CELL = regex.compile(r"\|\s*[^\s\d|]{0,3}\s?\d+(?:[.,]\d+)?\s*[^\s\d|]{0,3}\s*(?=\|)")
+# Digits written for letters.
+_DIGIT_LETTERS = str.maketrans("0134578", "oleastb")
+_DISGUISED = regex.compile(r"[a-z][a-z\d]*\d[a-z\d]*|\d+[a-z][a-z\d]*")
 _ENDED = regex.compile(r"[.?!।॥…:;][\"'”’)]*\s*$")
 
 
@@ -42,6 +45,11 @@ def recurrence(types: list[str]) -> float:
     return sum(c * (c - 1) for c in Counter(types).values()) / (n * (n - 1))
 
 
+def _undisguised(match: regex.Match) -> str:
+    """A word without the digits written for its letters or put behind it: n3w, fr33 and pack7 are new, free and pack."""
+    return match[0].rstrip("12456789").translate(_DIGIT_LETTERS)
+
+
 class Line:
     """What the model sees of a line."""
 
@@ -56,7 +64,7 @@ class Line:
             self.addresses += n
         self.tags = len(_TAG.findall(shown)) if "#" in shown or "(" in shown or ":" in shown else 0
         self.cells = len(_CELL.findall(shown)) if "|" in shown else 0
-        self.words = _WORD.findall(shown.lower())
+        self.words = _WORD.findall(_DISGUISED.sub(_undisguised, shown.lower()))
         self.size = len(self.words) + self.addresses
         self.ended = _ENDED.search(shown) is not None
         self.recurs = 0.0
@@ -84,8 +92,11 @@ def label_text(text: str) -> list[tuple[str, int]]:
         begin, end = at, at + len(x.words)
         at = end
         if end - begin >= WINDOW:
-            parts = [stream[i : i + WINDOW] for i in range(begin, end - WINDOW + 1, WINDOW)]
-            x.recurs = sum(map(recurrence, parts)) / len(parts)
+            whole, rest = divmod(end - begin, WINDOW)
+            x.recurs = sum(recurrence(stream[i : i + WINDOW]) for i in range(begin, end - rest, WINDOW)) * WINDOW
+            if rest:  # a last window ends with the line and counts for the words that are new in it
+                x.recurs += recurrence(stream[end - WINDOW : end]) * rest
+            x.recurs /= whole * WINDOW + rest
         else:
             middle = (begin + end) // 2
             low = max(0, min(middle - WINDOW // 2, len(stream) - WINDOW))

@@ -9,6 +9,8 @@ SPAM = {
     "template": "Best scan, online scan reader, scan font. Top scan, cheap scan license, scan poster! Free scan, new scan bundle, scan pack.",
     "list": "akshara pack, akshara font, akshara pack, lipi offer, akshara pack, lipi offer, akshara font, lipi offer, akshara pack, lipi offer",
     "lines": "\n".join(["తోతొ scan", "మంభె font", "తోతొ scan", "తోతొ scan", "మంభె font"] * 6),
+    "disguised": "fr33_unic0d3_lit3 free_unicode_lite u\u200bnic0d3r3ad3r4 unicodereader free_unicode_lite best unicode scan3 b3st unic0d3 scan7 ch3ap+unic0d3+lic3ns34 cheap+unicode+license fr33_unic0d3_lit32 best unicode scan",
+    "tail": " ".join(f"word{chr(97 + i)}{chr(97 + j)}" for i in range(8) for j in range(5)) + " " + "glyph pack offer " * 15,
     "links": "www.a.example/x\nnew scan\n#pro\nhttps://b.test/y?id=3\nతోతొ మంభె\nc.d.invalid/z\n#font\nhttp://e.example/",
     "anchors": '<a href="https://a.test/x">word</a>\n<a href="b.example/y">font pack</a>\n<a href="www.c.invalid/">scan</a>',
     "tags": "Tags: #one #two #three #four #five #six #seven #eight",
