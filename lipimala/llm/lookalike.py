@@ -2,14 +2,15 @@
 
 First every text is folded: full-width forms and print ligatures become plain letters, accents are composed,
 all blanks are one blank, and characters that leave no ink go, except the joiner that makes a virama visible.
-Then look-alike letters are repaired by script: the dominant script of a word is that of its letters which
-have no double in another script, and the doubles in a word of mixed scripts are replaced by letters of its
-dominant script, where the corpus or the lexicon knows the resulting word.
+Then look-alike letters are repaired by script: the dominant script of a word is that of most of its letters
+among those that can write it whole, and in a word of mixed scripts the letters of others are replaced by their
+doubles in it, where the corpus or the lexicon knows the resulting word.
 """
 
 from __future__ import annotations
 
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -41,7 +42,8 @@ _VISIBLE = regex.compile(rf"([{VIRAMAS}])({_NO_INK}+)(?=\p{{Lo}})")
 _INVISIBLE = regex.compile(rf"(?![‌]){_NO_INK}|(?<![{VIRAMAS}])‌|‌(?!\p{{Lo}})")
 _PIECE = regex.compile(r"[\p{L}\p{M}‌]+|[^\p{L}\p{M}‌]+")
 _PLAIN = regex.compile(r"[!-~ఀ-ౕౘ-౿]+(?: [!-~ఀ-ౕౘ-౿]+)*")
-_SCRIPT = regex.compile(r"(\p{Telugu})|(\p{Kannada})|(\p{Latin})|(\p{Cyrillic})|(\p{Greek})")
+_SCRIPT = regex.compile(r"(\p{Telugu})|(\p{Latin})|(\p{Kannada})|(\p{Cyrillic})|(\p{Greek})")
+SCRIPTS = ("Telugu", "Latin", "Kannada", "Cyrillic", "Greek")
 
 
 @lru_cache(1)
@@ -65,28 +67,45 @@ def fold(text: str) -> str:
     return unicodedata.normalize("NFC", _BLANK.sub(" ", text).strip())
 
 
+@lru_cache(1)
+def _doubles() -> dict[str, dict[str, str]]:
+    """For every script the letters of others that print like one of its own."""
+    into: dict[str, dict[str, str]] = {script: {} for script in SCRIPTS}
+    for table in (TELUGU_DOUBLES, LATIN_DOUBLES):
+        for foreign, own in table.items():
+            into[_script(own)][foreign] = own
+            if _script(foreign) != _script(own):
+                into[_script(foreign)].setdefault(own, foreign)
+    return into
+
+
+def _script(letter: str) -> str | None:
+    m = _SCRIPT.match(letter)
+    return SCRIPTS[m.lastindex - 1] if m else None
+
+
 def repair_candidate(word: str) -> str | None:
-    """The word in its dominant script; null where it is of one script already or can't be of one.
+    """The word in its dominant script, null where nothing is to repair or no substitution makes it of one script.
 
-    Letters without a double decide the script. Without such letters the more frequent one decides, and
-    between equals, or in a word of doubles only, Telugu and Latin.
+    Of the scripts that have a double for every letter of another script in the word, the one of most letters is
+    dominant, and between equals the earlier one of ``SCRIPTS``.
+    A word made of look-alikes of one other script only holds no letter that tells its script; it is read as
+    Telugu or Latin.
     """
-    decisive: dict[str, int] = {}
-    doubles: dict[str, int] = {}
-    for c in word:
-        if c in TELUGU_DOUBLES:
-            doubles["Telugu"] = doubles.get("Telugu", 0) + 1
-        elif c in LATIN_DOUBLES:
-            doubles["Latin"] = doubles.get("Latin", 0) + 1
-        elif m := _SCRIPT.match(c):
-            script = ("Telugu", "Kannada", "Latin", "Cyrillic", "Greek")[m.lastindex - 1]
-            decisive[script] = decisive.get(script, 0) + 1
-    if not doubles:
+    count = Counter(x for c in word if (x := _script(c)) is not None)
+    if not count:
+        return None
+    into = _doubles()
+    made = {x: "".join(c if _script(c) in (None, x) and not (x == "Latin" and c in LATIN_DOUBLES) else into[x].get(c, c) for c in word) for x in count}
+    whole = {x: all(_script(c) in (None, x) for c in m) for x, m in made.items()}
+    script = max(count, key=lambda x: (whole[x], count[x], -SCRIPTS.index(x)))
+    if not whole[script]:
         return None
-    for script, table in (("Telugu", TELUGU_DOUBLES), ("Latin", LATIN_DOUBLES)):
-        if doubles.keys() == {script} and decisive.keys() <= {script}:
-            return unicodedata.normalize("NFC", "".join(table.get(c, c) for c in word))
-    return None
+    if len(count) == 1 and made[script] == word:
+        for x in ("Telugu", "Latin"):
+            if x != script and all(c in into[x] for c in word if _script(c)):
+                return unicodedata.normalize("NFC", "".join(into[x].get(c, c) for c in word))
+    return unicodedata.normalize("NFC", made[script]) if made[script] != word else None
 
 
 def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -108,21 +127,19 @@ def consistent_forms(texts: DataFrame, key: list[str], text: str, lexicon: DataF
     """``key`` columns, ``text`` and its ``form``: equal forms look the same in print.
 
     A null text has a null form, an empty or blank one the empty form. A look-alike word is repaired when
-    the result is a word of ``lexicon`` (column word), a word of one script elsewhere in ``texts``, or what
-    at least two different spellings in ``texts`` would become.
+    the result is a word of ``lexicon`` (column word) or of ``texts``.
     """
     rows = pick(texts, *key, text)
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
     folded = cut(rows.mapInArrow(_pieces, f"{ddl}, pieces array<string>, repairs map<string,string>"), label)
     wanted = folded.where(F.size("repairs") > 0).select(F.explode("repairs").alias("word", "repaired")).distinct()
     wanted = cut(wanted, f"{label}-wanted")
-    targets = wanted.groupBy("repaired").agg(F.count("*").alias("spellings"))
+    targets = wanted.select("repaired").distinct()
     known = folded.select(F.explode("pieces").alias("repaired"))
     if lexicon is not None:
         known = known.unionByName(pick(lexicon, "word").select(F.col("word").alias("repaired")))
-    known = known.join(maybe_broadcast(targets.select("repaired")), "repaired", "left_semi").distinct().withColumn("known", F.lit(True))
-    accepted = targets.join(known, "repaired", "left").where("known or spellings >= 2").select("repaired")
-    fixes = wanted.join(accepted, "repaired", "left_semi")
+    known = known.join(maybe_broadcast(targets), "repaired", "left_semi").distinct()
+    fixes = cut(wanted.join(known, "repaired", "left_semi"), f"{label}-fixes")
     plain = folded.where(F.coalesce(F.size("repairs"), F.lit(0)) <= 0).select(*key, text, F.array_join("pieces", "").alias("form"))
     # only texts with a word to repair meet the fixes; what becomes of a text depends on nothing else
     mixed = folded.where(F.size("repairs") > 0)
