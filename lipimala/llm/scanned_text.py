@@ -1,9 +1,8 @@
 """Noise in text from scanned pages: running headers, page numbers, cut words, misread characters.
 
-Lines are labelled by a hidden Markov model with the states header, body and footer, whose emission scores
-come from layout features (place on the page, a number that fits the page, a title that recurs on the
-book's pages); blank lines are observed breaks. Words of body lines are then judged against the lexicon,
-where the last word of a text line and the first of the next, perhaps on the next page, are judged together.
+Lines are labelled by the hidden Markov model of ``line_model``, fitted to a bounded sample of the pages at
+hand. Words of body lines are then judged against the lexicon, where the last word of a text line and the
+first of the next, perhaps on the next page, are judged together.
 """
 
 from __future__ import annotations
@@ -16,22 +15,22 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lipimala.llm.line_model import EDGE, LineModel, codes_of, fit, title_keys
 from lipimala.runtime import BROADCAST_ROWS, cut, maybe_broadcast, pick, small
 
 # Signs that part a word at a line's end, and marks that may stand at a word's ends.
 PARTING = "-‐¬=\xad"
 MARKS = ",.!;?:।॥|—–-‐\"'“”‘’()[]…"
-# Characters read for digits, and the digits.
-DIGIT_LIKE = str.maketrans("౦౧౨౩౪౫౬౭౮౯OoDQlI|i!ZzSsBgqbGT", "01234567890000111112255899667")
-
-#: Lines at each edge of a page that may be furniture, pages per block when neighbours are looked up.
-EDGE_LINES, PAGE_BLOCK = 2, 256
-#: Share of a book's pages, and number of pages, on which a running title recurs.
-TITLE_SHARE, TITLE_PAGES = 0.02, 2
+#: Words judged once and remembered by a worker.
+REMEMBER = 1 << 18
+#: Pages per block when neighbours are looked up, and pages that the line model is fitted to.
+PAGE_BLOCK, FIT_PAGES = 256, 2000
+#: Pages on which a running title recurs, and share of its lines that stand within three lines of a page's edge.
+TITLE_PAGES, TITLE_EDGE = 2, 0.6
 
 _NUMBER = regex.compile(r"[0-9౦-౯]+(?:[-–:./,][0-9౦-౯]+)*|⟦#\d+⟧")
+_HYPHEN = regex.compile("[-‐]")
 _LETTERS = regex.compile(r"[\p{L}\p{M}]")
-_DECORATION = " \t-–—‐.*~_()[]"
 
 
 # --- words -------------------------------------------------------------------------------------------
@@ -49,11 +48,12 @@ class Words:
             for i in range(len(w)):
                 self.shorter.setdefault(w[:i] + w[i + 1 :], []).append(w)
         self._good: dict[str, bool] = {}
+        self._misread: dict[str, bool] = {}
 
     def good(self, word: str) -> bool:
         known = self._good.get(word)
         if known is None:
-            if len(self._good) > 1 << 18:
+            if len(self._good) > REMEMBER:
                 self._good.clear()
             known = word in self.words or any(word[:i] in self.words and word[i:] in self.words for i in range(1, len(word)))
             self._good[word] = known
@@ -87,10 +87,18 @@ class Words:
 
     def misread(self, token: str) -> bool:
         """Whether the word between its marks is neither good nor a number."""
+        known = self._misread.get(token)
+        if known is None:
+            if len(self._misread) > REMEMBER:
+                self._misread.clear()
+            known = self._misread[token] = self._judged(token)
+        return known
+
+    def _judged(self, token: str) -> bool:
         core = token.strip(MARKS + "\xad")
-        if not core or _NUMBER.fullmatch(core) or self.good(core):
+        if not core or core in self.words or _NUMBER.fullmatch(core) or self.good(core):
             return False
-        parts = regex.split("[-‐]", core)
+        parts = _HYPHEN.split(core)
         return not (len(parts) > 1 and all(p in self.words for p in parts))
 
     def repaired(self, token: str) -> str:
@@ -108,12 +116,12 @@ class Words:
         sign = first[len(stem) :]
         if not stem or not _LETTERS.search(stem[-1]) or _NUMBER.fullmatch(stem):
             return alone
-        *before, p = regex.split("[-‐]", stem.lstrip(MARKS))
+        *before, p = _HYPHEN.split(stem.lstrip(MARKS))
         if not p:
             return alone
         behind = any(x not in self.words for x in before)
         last = (b or "").strip(MARKS + "\xad") if b is not None else None
-        q, *after = regex.split("[-‐]", last) if last else ("",)
+        q, *after = _HYPHEN.split(last) if last else ("",)
         beyond = any(x not in self.words for x in after)
         mark_between = b is not None and b[:1] in set(MARKS)
         if not q or mark_between or not _LETTERS.search(q[0]):
@@ -179,137 +187,70 @@ def _lexicon(lexicon: DataFrame):
 # --- lines -------------------------------------------------------------------------------------------
 
 
-def _distance(a: str, b: str, most: int) -> int:
-    """Edit distance, or ``most`` + 1 where it is larger."""
-    if abs(len(a) - len(b)) > most:
-        return most + 1
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        last, row[0] = row[0], i
-        for j, y in enumerate(b, 1):
-            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
-        if min(row) > most:
-            return most + 1
-    return row[-1]
-
-
-def _number(part: str, page: int | None) -> int:
-    """How well a line's part is the page's number: 2 the number itself, 1 something like a number, 0 no."""
-    if "॥" in part or "।" in part:
-        return 0
-    tokens = part.strip(_DECORATION).split()
-    if not 1 <= len(tokens) <= 2:
-        return 0
-    values = [t.strip(_DECORATION).translate(DIGIT_LIKE) for t in tokens]
-    digits = [v for v, t in zip(values, tokens, strict=True) if v.isdecimal() and v.isascii() and (any(c.isdecimal() for c in t) or len(t) <= 3)]
-    if len(digits) == 1:
-        if page is not None and digits[0].lstrip("0") == str(page):
-            return 2
-        return 1 if len(tokens) == 1 else 0
-    if page is not None and any(c.isdecimal() for c in part) and len(tokens[-1]) == len(str(page)):
-        return 1 if sum(x == y for x, y in zip(values[-1], str(page), strict=False)) * 2 >= len(str(page)) else 0
-    return 0
-
-
-def _parts(line: str) -> list[str]:
-    return [p for p in regex.split(r"\s+\|\s+", line.strip()) if p.strip(_DECORATION)]
-
-
-def _title(part: str) -> str:
-    return " ".join(regex.split(r"\s+[—–]\s+", part.strip(_DECORATION))[0].split())
-
-
-def _evidence(line: str, page: int | None, titles: list[str]) -> float:
-    """Score of a line as furniture against a score of 0 as body."""
-    parts = _parts(line)
-    if not parts:
-        return -4.0
-    numbers = [_number(p, page) for p in parts]
-    score, rest = 0.0, []
-    for part, n in zip(parts, numbers, strict=True):
-        if n == 2:
-            score += 4
-        elif n == 1:
-            score += 1.5
-        else:
-            title = _title(part)
-            if title in titles or any(_distance(title, t, max(1, len(t) // 4)) <= max(1, len(t) // 4) for t in titles):
-                score += 4
-            else:
-                rest.append(title)
-    if rest and not (len(parts) == 2 and max(numbers) == 2):  # a number and one part more is furniture whatever the part
-        score -= 8
-    return score - 1
-
-
-def label_lines(lines: list[str | None], page: int | None, titles: list[str]) -> list[str]:
-    """header, body, footer or break of every line: the best path of the hidden Markov model."""
-    shown = [i for i, x in enumerate(lines) if x and x.strip()]
-    labels = ["break"] * len(lines)
-    if not shown:
-        return labels
-    n, states = len(shown), ("header", "body", "footer")
-    stay = {("header", "header"): -0.5, ("header", "body"): 0.0, ("body", "body"): 0.0, ("body", "footer"): 0.0, ("footer", "footer"): -0.5, ("header", "footer"): -2.0}
-    best = {"header": 0.0, "body": 0.0, "footer": -3.0}
-    back: list[dict[str, str]] = []
-    for k, i in enumerate(shown):
-        edge = k < EDGE_LINES or k >= n - EDGE_LINES
-        fits = _evidence(lines[i], page, titles) if edge else -9.0
-        emit = {"header": fits if k < EDGE_LINES else -9.0, "body": 0.0, "footer": fits if k >= n - EDGE_LINES else -9.0}
-        if k:
-            came = {s: max((best[r] + stay[r, s], r) for r in states if (r, s) in stay) for s in states}
-            back.append({s: came[s][1] for s in states})
-            best = {s: came[s][0] + emit[s] for s in states}
-        else:
-            best = {s: best[s] + emit[s] for s in states}
-    state = max(best, key=lambda s: (best[s], s == "body"))
-    for k in range(n - 1, -1, -1):
-        labels[shown[k]] = state
-        if k:
-            state = back[k - 1][state]
-    return labels
-
-
-def _edge_titles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(book, page, title): what stands beside the number at a page's edges."""
+def _line_titles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(book, page, title, edge): what of a page's lines may be a title, and whether it stands at an edge."""
     for batch in batches:
         out = []
         for row in batch.to_pylist():
             shown = [x for x in row["lines"] or [] if x and x.strip()]
-            edge = dict.fromkeys(shown[:EDGE_LINES] + shown[-EDGE_LINES:])
-            titles = {t for line in edge for p in _parts(line) if not _number(p, row["page"]) and (t := _title(p))}
-            out += [(row["book"], row["page"], t) for t in titles]
-        columns = [list(x) for x in zip(*out, strict=True)] or [[], [], []]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int32(), pa.string()), strict=True)], names=["book", "page", "title"])
+            found: dict[str, bool] = {}
+            for k, line in enumerate(shown):
+                for key in title_keys(line, row["page"]):
+                    found[key] = found.get(key, False) or k < EDGE or k >= len(shown) - EDGE
+            out += [(row["book"], row["page"], t, int(e)) for t, e in found.items()]
+        columns = [list(x) for x in zip(*out, strict=True)] or [[], [], [], []]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int32(), pa.string(), pa.int32()), strict=True)], names=["book", "page", "title", "edge"])
 
 
 def running_titles(pages: DataFrame) -> DataFrame:
-    """(book, titles): a title recurs on a share of the book's pages, so a book has few of them."""
-    size = pages.groupBy("book").agg(F.count("*").alias("pages"))
-    seen = pages.select("book", "page", "lines").mapInArrow(_edge_titles, "book string, page int, title string").groupBy("book", "title").agg(F.count("*").alias("n"))
-    often = seen.where(F.col("n") >= TITLE_PAGES).join(size, "book").where(F.col("n") >= F.col("pages") * TITLE_SHARE)
+    """(book, titles): what recurs on a book's pages, mostly at their edges."""
+    seen = pages.select("book", "page", "lines").mapInArrow(_line_titles, "book string, page int, title string, edge int")
+    often = seen.groupBy("book", "title").agg(F.count("*").alias("n"), F.avg("edge").alias("edge")).where((F.col("n") >= TITLE_PAGES) & (F.col("edge") >= TITLE_EDGE))
     return often.groupBy("book").agg(F.array_sort(F.collect_list("title")).alias("titles"))
 
 
-def _labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        labels, heads, tails = [], [], []
-        for row in batch.to_pylist():
-            lines = row["lines"] or []
-            found = label_lines(lines, row["page"], row["titles"] or [])
-            text = [x.split() for x, kind in zip(lines, found, strict=True) if kind == "body"]
-            labels.append(found)
-            heads.append(text[0][0] if text else None)
-            tails.append(text[-1][-1] if text else None)
-        extra = [pa.array(labels, pa.list_(pa.string())), pa.array(heads, pa.string()), pa.array(tails, pa.string())]
-        yield pa.RecordBatch.from_arrays([*batch.columns, *extra], names=[*batch.schema.names, "labels", "head", "tail"])
-
-
-def label_pages(pages: DataFrame, titles: DataFrame) -> DataFrame:
-    """``pages`` (book, page, lines and more) with labels, and the first and last word of their text."""
+        codes = [codes_of(row["lines"] or [], row["page"], row["titles"] or []) for row in batch.to_pylist()]
+        keep = [i for i, name in enumerate(batch.schema.names) if name != "titles"]
+        yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in keep), pa.array(codes, pa.list_(pa.int32()))], names=[*(batch.schema.names[i] for i in keep), "codes"])
+
+
+def code_pages(pages: DataFrame, titles: DataFrame) -> DataFrame:
+    """``pages`` (book, page, lines and more) with the codes of their lines."""
     known = pages.join(maybe_broadcast(titles), "book", "left")
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in known.schema.fields)
-    return known.mapInArrow(_labelled, f"{ddl}, labels array<string>, head string, tail string")
+    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in known.schema.fields if f.name != "titles")
+    return known.mapInArrow(_coded, f"{ddl}, codes array<int>")
+
+
+def fitted_model(coded: DataFrame, sample: int = FIT_PAGES) -> LineModel:
+    """The line model, fitted to the codes of at most ``sample`` pages, taken in the order of a hash of their key."""
+    rows = coded.where(F.size("codes") > 0).select("codes", F.xxhash64("book", "page").alias("at"), "book", "page").orderBy("at", "book", "page").limit(sample)
+    return fit([list(r.codes) for r in rows.select("codes").collect()])
+
+
+def _labelled(model: LineModel):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            labels, heads, tails = [], [], []
+            for row in batch.to_pylist():
+                lines = row["lines"] or []
+                found = model.label(row["codes"] or [])
+                text = [x.split() for x, kind in zip(lines, found, strict=True) if kind == "body"]
+                labels.append(found)
+                heads.append(text[0][0] if text else None)
+                tails.append(text[-1][-1] if text else None)
+            keep = [i for i, name in enumerate(batch.schema.names) if name != "codes"]
+            extra = [pa.array(labels, pa.list_(pa.string())), pa.array(heads, pa.string()), pa.array(tails, pa.string())]
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in keep), *extra], names=[*(batch.schema.names[i] for i in keep), "labels", "head", "tail"])
+
+    return run
+
+
+def label_pages(coded: DataFrame, model: LineModel) -> DataFrame:
+    """Pages with codes as pages with labels, and the first and last word of their text."""
+    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in coded.schema.fields if f.name != "codes")
+    return coded.mapInArrow(_labelled(model), f"{ddl}, labels array<string>, head string, tail string")
 
 
 def neighbours(labelled: DataFrame) -> DataFrame:
@@ -390,14 +331,14 @@ def _page_noise(lexicon):
     return run
 
 
-def _word_noise(lexicon):
+def _word_noise(lexicon, model: LineModel):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _words(lexicon.value)
         for batch in batches:
             out: list[tuple] = []
             for row in batch.to_pylist():
                 lines = ocr_lines(row["words"])
-                labels = label_lines([" ".join(w["text"] or "…" for w in line) for line in lines], row["page"], row["titles"] or [])
+                labels = model.label(codes_of([" ".join(w["text"] or "…" for w in line) for line in lines], row["page"], row["titles"] or []))
                 body = [line for line, kind in zip(lines, labels, strict=True) if kind == "body"]
                 out += [(row["book"], row["page"], w["ocr_no"], "furniture") for line, kind in zip(lines, labels, strict=True) if kind in ("header", "footer") for w in line]
                 verdict = judge([[(w["text"] or "").strip() or None for w in line] for line in body], row["before"], row["after"], words)
@@ -460,13 +401,15 @@ def scan_noise(pages: DataFrame, ocr: DataFrame, events: DataFrame, lexicon: Dat
     known = _lexicon(lexicon)
     once = pick(pages, "book", "page", "lines").dropDuplicates(["book", "page"])
     titles = cut(running_titles(once), "titles")
-    labelled = cut(label_pages(once, titles).drop("titles"), "labelled")
+    coded = cut(code_pages(once, titles), "coded")
+    model = fitted_model(coded)
+    labelled = cut(label_pages(coded, model), "labelled")
     around = neighbours(labelled)
     scans = labelled.join(around, ["book", "page"]).select("book", "page", "lines", "labels", "before", "after").mapInArrow(_page_noise(known), _NOISE)
     words = pick(ocr, "book", "page", "ocr_no", "text", "bbox").select("book", "page", "ocr_no", "text", F.col("bbox.y0").alias("y0"), F.col("bbox.y1").alias("y1")).repartition("book", "page").dropDuplicates(["book", "page", "ocr_no"])
     sheets = words.groupBy("book", "page").agg(F.array_sort(F.collect_list(F.struct("ocr_no", "text", "y0", "y1"))).alias("words"))
     sheets = sheets.join(around, ["book", "page"], "left").join(maybe_broadcast(titles), "book", "left")
-    read = sheets.select("book", "page", "words", "titles", "before", "after").mapInArrow(_word_noise(known), _NOISE)
+    read = sheets.select("book", "page", "words", "titles", "before", "after").mapInArrow(_word_noise(known, model), _NOISE)
     single = pick(events, "event_id", "book", "page_number", "converted", "ocr_text").dropDuplicates(["event_id"]).mapInArrow(_event_noise(known), _NOISE)
     return scans.withColumn("src", F.lit("scan_pages")).unionByName(read.withColumn("src", F.lit("ocr_words"))).unionByName(single.withColumn("src", F.lit("learn_events"))).select("src", "book", "page", "item", "kind").distinct()
 
@@ -552,13 +495,14 @@ def readable_paragraphs(pages: DataFrame, lexicon: DataFrame, ocr: DataFrame | N
     known = _lexicon(lexicon)
     once = pick(pages, "book", "page", "lines").dropDuplicates(["book", "page"])
     titles = cut(running_titles(once), "titles")
-    every = label_pages(once, titles).drop("titles").withColumn("src", F.lit("scan_pages"))
+    every = code_pages(once, titles).withColumn("src", F.lit("scan_pages"))
     if ocr is not None:
         words = pick(ocr, "book", "page", "ocr_no", "text", "bbox").select("book", "page", "ocr_no", "text", F.col("bbox.y0").alias("y0"), F.col("bbox.y1").alias("y1")).repartition("book", "page").dropDuplicates(["book", "page", "ocr_no"])
         sheets = words.groupBy("book", "page").agg(F.array_sort(F.collect_list(F.struct("ocr_no", "text", "y0", "y1"))).alias("words"))
         sheets = sheets.mapInArrow(_sheet_lines, "book string, page int, lines array<string>")
-        every = every.unionByName(label_pages(sheets, titles).drop("titles").withColumn("src", F.lit("ocr_words")))
-    every = cut(every, "labelled")
+        every = every.unionByName(code_pages(sheets, titles).withColumn("src", F.lit("ocr_words")))
+    every = cut(every, "coded")
+    every = cut(label_pages(every, fitted_model(every.where("src = 'scan_pages'"))), "labelled")
     first = lambda c: F.coalesce(F.max(F.when(F.col("src") == "scan_pages", F.col(c))), F.max(c)).alias(c)
     around = neighbours(every.groupBy("book", "page").agg(first("head"), first("tail")))
     text = every.where("head is not null")

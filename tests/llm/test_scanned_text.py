@@ -2,7 +2,8 @@
 
 import pytest
 
-from lipimala.llm.scanned_text import Words, judge_reading, label_lines, ocr_lines, readable_paragraphs, scan_noise
+from lipimala.llm.line_model import codes_of, distance, fit, is_title, parted, title_keys
+from lipimala.llm.scanned_text import Words, judge_reading, ocr_lines, readable_paragraphs, scan_noise
 
 LEXICON = ["కరటాదూ", "యాంగేము", "తోతొ", "సీంకాటణ్లు", "మంభె", "చాగధదా", "దుళళా", "శ్శూళిరం"]
 PAGE = "book string, page int, lines array<string>, converted_at string, PAGE string"
@@ -51,6 +52,10 @@ def test_single_readings(words, reading, converted, want):
     assert judge_reading(reading, converted, words) == want
 
 
+def label_lines(lines, page, titles, model=None):
+    return (model or fit([])).label(codes_of(lines, page, titles))
+
+
 def test_labels():
     titles = ["తోతొ మంభె దుళళా"]
     lines = ["— 4O —", "తోతొ మంభె దు1ళళా — చాగధదా", "", "కరటాదూ యాంగేము,", "881 తోతొ", "40 | చాగధదా"]
@@ -59,6 +64,39 @@ def test_labels():
     assert label_lines([None, "  ", ""], 7, titles) == ["break"] * 3 and label_lines([], None, []) == []
 
 
+@pytest.mark.parametrize("line, page, want", [
+    ("తోతొ మంభె  47", 47, (2, ["తోతొ", "మంభె"])),
+    ("పుట ౪౭  తోతొ", 47, (2, ["పుట", "తోతొ"])),
+    ("( 17 )", 17, (2, [])),
+    ("lo9", 109, (2, [])),
+    ("|||", 111, (2, [])),
+    ("4| | తోతొ", 41, (2, ["తోతొ"])),
+    ("తోతొ  3S", 35, (2, ["తోతొ"])),
+    ("4x | తోతొ", 47, (1, ["తోతొ"])),
+    ("626 తోతొ మంభె", 41, (0, ["626", "తోతొ", "మంభె"])),
+    ("12", 47, (1, [])),
+    ("12", None, (1, [])),
+    ("", 3, (0, [])),
+])
+def test_a_line_and_its_number(line, page, want):
+    assert parted(line, page) == want
+
+
+def test_titles():
+    assert title_keys("౭౬ | తోతొ మంభె — దుళళా", 76) == ["తోతొ మంభె దుళళా", "తోతొ మంభె"]
+    assert title_keys("తోతొ, మంభె", 1) == title_keys("తోతొ మం-", 1) == title_keys(" ", 1) == []
+    assert is_title(["తోతొ మం1భె"], ["తోతొ మంభె"]) and not is_title(["తోతొ"], ["తోతొ మంభె"]) and not is_title(["తోతొ"], [])
+    assert [distance(*x, 3) for x in (("kitten", "sitting"), ("", "ab"), ("abc", "abc"), ("abcdef", "uvwxyz"))] == [3, 2, 0, 4]
+
+
+def test_the_model_learns_where_furniture_stands():
+    titles, body = ["తోతొ మంభె"], ["కరటాదూ, యాంగేము", "దుళళా! చాగధదా."]
+    pages = [([str(p), "తోతొ మంభె", "", f"{p} | తోతొ మంభె", *body * 3], p) for p in range(10, 60)]
+    model = fit([codes_of(lines, p, titles) for lines, p in pages])
+    assert label_lines(["7", "తోతొ మం1భె", "", "7 | తోతొ మంభె", *body], 7, titles, model) == ["header", "header", "break", "header", "body", "body"]
+    assert label_lines([*body, *body], 7, titles, model) == ["body"] * 4
+
+
 def test_ocr_lines_by_position():
     w = lambda no, y: {"ocr_no": no, "text": "x", "y0": y, "y1": y + 10.0}
     assert [[x["ocr_no"] for x in line] for line in ocr_lines([w(1, 10.0), w(2, 11.0), w(3, 29.0), w(4, 28.0)])] == [[1, 2], [3, 4]]
