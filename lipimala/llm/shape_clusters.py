@@ -1,34 +1,46 @@
 """Clusters of shapes that show the same printed form.
 
-An approximate nearest-neighbour graph is built by neighbour descent: neighbours found in a few sorted orders
-are improved by comparing the neighbours of each shape with each other. Modularity-based community detection
-(Blondel et al., "Fast unfolding of communities in large networks", 2008) then groups the shapes, and a
-community is described by its members of highest internal weighted degree. Only pairs within the distance
-that separates forms become edges, so a community never mixes forms; what the approximate graph leaves apart
-is joined by an exact comparison of the communities' most typical members.
-
-Distance of two grids: the share of ink that lies more than one pixel from the other's ink, both ways.
+An approximate nearest-neighbour graph is built by neighbour descent (Dong et al., "Efficient k-nearest
+neighbor graph construction for generic similarity measures", 2011). Shapes are laid out in a few orders and
+cut into blocks of bounded size; in every block each list of neighbours is improved by the neighbours of its
+neighbours until the lists stay as they are. The lists of all orders are merged and improved across blocks in
+the same way: where two neighbours of a shape have not met in a block they are compared. Modularity-based
+community detection (Blondel et al., "Fast unfolding of communities in large networks", 2008) then groups the
+shapes: nodes move within their blocks first, communities become nodes, and these move until none gains. A
+cluster is a community, described by its members of highest internal weighted degree.
+
+Distance of two grids: the share of ink that lies more than one pixel from the other's ink, both ways. Only
+pairs within the distance that separates forms become edges. The canvas gives a second measure of size.
 """
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lipimala.llm.components import connected_components
 from lipimala.runtime import cut, hot_join, pick, uncut
 
 SIDE = 48
 BYTES = SIDE * SIDE // 8
-#: Largest distance of two prints of one form, and largest difference of their log heights and log aspects.
-NEAR, HEIGHT, ASPECT = 0.06, 0.08, 0.15
-#: Neighbours kept, sorted orders searched first, rows compared with in each, rounds of descent.
-K, ORDERS, REACH, ROUNDS = 8, 3, 8, 2
-_EDGE = "u bigint, v bigint, d double"
+CANVAS = (128, 32)  # rows and bytes of a row
+#: Largest distance of two prints of one form, and largest difference of their log heights, log aspects and log canvas heights.
+NEAR, HEIGHT, ASPECT, SIZE = 0.06, 0.08, 0.15, 0.25
+#: Neighbours kept, and held while a block settles, rows of a block, sorted orders searched first in a block, coarse
+#: cells of an order and rows compared with in each.
+K, WIDTH, BLOCK, SEARCHES, CELLS, REACH = 8, 16, 8192, 8, 16, 4
+#: Descent ends when a smaller share of all list places changes.
+STILL = 0.001
+#: Resolution of modularity. At 1 the null model splits sparse neighbour lists of one form once it holds a good
+#: part of all shapes; a tenth keeps a form whole and still parts forms that hang together by a stray edge.
+RESOLUTION = 0.1
+_FOUND = "u bigint, v bigint, d double, block int"
 
 
 def _packed(column: pa.Array) -> np.ndarray:
@@ -50,36 +62,99 @@ def _words(grids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.ascontiguousarray(grids).view(np.uint64), np.ascontiguousarray(big).view(np.uint64), ink
 
 
-class _Shapes:
-    """Rows (id, band, h, a, grid) of a batch and the distances of pairs of them."""
+def _coarse(grids: np.ndarray) -> np.ndarray:
+    """Ink of each of 8 x 8 cells."""
+    return np.unpackbits(grids, axis=1).reshape(-1, 8, 6, 8, 6).sum((2, 4), dtype=np.int16).reshape(len(grids), 64)
 
-    def __init__(self, ids: np.ndarray, band: np.ndarray, h: np.ndarray, a: np.ndarray, grids: np.ndarray) -> None:
-        self.ids, self.band, self.h, self.a = ids, band, h, a
+
+class Shapes:
+    """Rows (id, band, h, a, size, grid) of a batch and the distances of pairs of them."""
+
+    COLUMNS = ("id", "band", "h", "a", "size")
+
+    def __init__(self, ids: np.ndarray, band: np.ndarray, h: np.ndarray, a: np.ndarray, size: np.ndarray, grids: np.ndarray) -> None:
+        self.ids, self.band, self.h, self.a, self.size, self.grids = ids, band, h, a, size, grids
         self.grid, self.grown, self.ink = _words(grids)
 
     @classmethod
-    def of(cls, table: pa.Table) -> _Shapes:
-        return cls(*(np.asarray(table[c].combine_chunks()) for c in ("id", "band", "h", "a")), _packed(table["grid"].combine_chunks()))
+    def of(cls, table: pa.Table) -> Shapes:
+        return cls(*(np.asarray(table[c].combine_chunks()) for c in cls.COLUMNS), _packed(table["grid"].combine_chunks()))
+
+    def fits(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Which pairs are of one band and size; a size that is not known fits any."""
+        size = np.nan_to_num(np.abs(self.size[i] - self.size[j]), nan=0.0)
+        return (self.band[i] == self.band[j]) & (np.abs(self.h[i] - self.h[j]) <= HEIGHT) & (np.abs(self.a[i] - self.a[j]) <= ASPECT) & (size <= SIZE) & (self.ids[i] != self.ids[j])
 
-    def near(self, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of the pairs (i, j) those of one form, with their distance."""
-        fits = (self.band[i] == self.band[j]) & (np.abs(self.h[i] - self.h[j]) <= HEIGHT) & (np.abs(self.a[i] - self.a[j]) <= ASPECT) & (self.ids[i] != self.ids[j])
-        i, j = i[fits], j[fits]
+    def distance(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         d = np.empty(len(i))
-        for k in range(0, len(i), 1 << 15):
-            x, y = i[k : k + (1 << 15)], j[k : k + (1 << 15)]
+        for k in range(0, len(i), 1 << 14):
+            x, y = i[k : k + (1 << 14)], j[k : k + (1 << 14)]
             stray = np.bitwise_count(self.grid[x] & ~self.grown[y]).sum(1, dtype=np.int64) + np.bitwise_count(self.grid[y] & ~self.grown[x]).sum(1, dtype=np.int64)
-            d[k : k + (1 << 15)] = stray / (self.ink[x] + self.ink[y])
-        ok = d <= NEAR
-        return i[ok], j[ok], d[ok]
-
-    def edges(self, i: np.ndarray, j: np.ndarray) -> pa.RecordBatch:
-        i, j, d = self.near(i, j)
-        u, v = np.minimum(self.ids[i], self.ids[j]), np.maximum(self.ids[i], self.ids[j])
-        return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v), pa.array(d)], names=["u", "v", "d"])
-
-
-def _tables(batches: Iterator[pa.RecordBatch], rows: int = 20_000) -> Iterator[pa.Table]:
+            d[k : k + (1 << 14)] = stray / (self.ink[x] + self.ink[y])
+        return d
+
+
+class Descent:
+    """Neighbour lists of the shapes of a block, of the pairs that fit in band and size."""
+
+    def __init__(self, shapes: Shapes, k: int = WIDTH, seed: int = 0) -> None:
+        self.shapes, self.k, n = shapes, k, len(shapes.ids)
+        self.near, self.d = np.full((n, k), -1), np.full((n, k), np.inf)
+        coarse = _coarse(shapes.grids)
+        rng = np.random.default_rng(seed)
+        for _ in range(SEARCHES):  # sorted by the signs of a few coarse cells, then by height: worn prints stand side by side
+            cells = rng.choice(64, CELLS, replace=False)
+            order = np.lexsort((shapes.h, (coarse[:, cells] > 18) @ (1 << np.arange(CELLS)), shapes.band))
+            for step in range(1, REACH + 1):
+                self._offer(np.r_[order[:-step], order[step:]], np.r_[order[step:], order[:-step]])
+
+    def _offer(self, i: np.ndarray, j: np.ndarray) -> int:
+        """Takes up the pairs that are better than what the lists hold; returns how many places changed."""
+        ok = (j >= 0) & (i != j)
+        i, j = i[ok], j[ok]
+        key = np.unique(i * len(self.near) + j)
+        i, j = key // len(self.near), key % len(self.near)
+        ok = self.shapes.fits(i, j) & ~(self.near[i] == j[:, None]).any(1)
+        i, j = i[ok], j[ok]
+        d = self.shapes.distance(i, j)
+        ok = d < self.d[i, -1]
+        i, j, d = i[ok], j[ok], d[ok]
+        if not len(i):
+            return 0
+        rows = np.unique(i)
+        owner = np.r_[np.repeat(rows, self.k), i]
+        other, far = np.r_[self.near[rows].ravel(), j], np.r_[self.d[rows].ravel(), d]
+        fresh = np.r_[np.zeros(len(rows) * self.k, bool), np.ones(len(i), bool)]
+        order = np.lexsort((fresh, far, owner))  # of equal distances what is held stays
+        owner, other, far, fresh = owner[order], other[order], far[order], fresh[order]
+        start = np.searchsorted(owner, rows)
+        rank = np.arange(len(owner)) - np.repeat(start, np.diff(np.r_[start, len(owner)]))
+        keep = rank < self.k
+        self.near[owner[keep], rank[keep]], self.d[owner[keep], rank[keep]] = other[keep], far[keep]
+        return int(fresh[keep].sum())
+
+    def settle(self, still: float = STILL) -> None:
+        """Compares each shape with its neighbours' neighbours and with those that name it until hardly any list changes."""
+        n, k = self.near.shape
+        while True:
+            open_ = np.flatnonzero(self.d[:, -1] > 0)  # a list full of distance 0 can't improve
+            held = self.near >= 0
+            owner, named = np.repeat(np.arange(n), k)[held.ravel()], self.near.ravel()[held.ravel()]
+            naming = np.zeros(n, bool)
+            naming[open_] = True
+            back = naming[named]
+            beyond = self.near[self.near[open_]]  # places that are empty name the last row and are offered in vain
+            beyond[self.near[open_] < 0] = -1
+            first = np.repeat(open_, k * k), beyond.reshape(-1)
+            if self._offer(np.r_[first[0], named[back]], np.r_[first[1], owner[back]]) <= still * n * k:
+                return
+
+    def pairs(self, most: float = NEAR, k: int = K) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        i, place = np.nonzero(self.d[:, :k] <= most)
+        return i, self.near[i, place], self.d[i, place]
+
+
+def _tables(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.Table]:
     held, n = [], 0
     for batch in batches:
         held.append(batch)
@@ -87,47 +162,52 @@ def _tables(batches: Iterator[pa.RecordBatch], rows: int = 20_000) -> Iterator[p
         if n >= rows:
             yield pa.Table.from_batches(held)
             held, n = [], 0
-    if held:
+    if n:
         yield pa.Table.from_batches(held)
 
 
-def _sorted_neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Compares every row with the ``REACH`` rows before it."""
-    tail: pa.Table | None = None
-    for table in _tables(batches):
-        old = tail.num_rows if tail is not None else 0
-        whole = pa.concat_tables([tail, table]) if tail is not None else table
-        shapes = _Shapes.of(whole)
-        at = np.arange(old, whole.num_rows)
-        for back in range(1, REACH + 1):
-            j = at[at >= back]
-            if len(j):
-                yield shapes.edges(j - back, j)
-        tail = whole.slice(max(0, whole.num_rows - REACH))
+def _settled(batches: Iterator[pa.RecordBatch], block: int) -> Iterator[pa.RecordBatch]:
+    """Neighbour lists within blocks; a row without v names the block of a shape."""
+    part = TaskContext.get().partitionId()
+    for number, table in enumerate(_tables(batches, 2 * block)):
+        shapes = Shapes.of(table)
+        descent = Descent(shapes, seed=number)
+        descent.settle()
+        i, j, d = descent.pairs()
+        name = np.full(len(i), part, np.int32)
+        yield pa.RecordBatch.from_arrays([pa.array(shapes.ids[i]), pa.array(shapes.ids[j]), pa.array(d), pa.array(name)], names=["u", "v", "d", "block"])
+        n = len(shapes.ids)
+        yield pa.RecordBatch.from_arrays([pa.array(shapes.ids), pa.nulls(n, pa.int64()), pa.nulls(n, pa.float64()), pa.array(np.full(n, part, np.int32))], names=["u", "v", "d", "block"])
 
 
 def _local_joins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by w: compares the neighbours of each w with each other."""
+    """Rows sorted by w: compares those neighbours of a w that have not met, if the list of one may improve."""
     tail: pa.Table | None = None
 
-    def join(table: pa.Table) -> Iterator[pa.RecordBatch]:
-        w = np.asarray(table["w"].combine_chunks())
-        shapes = _Shapes.of(table)
+    def join(table: pa.Table) -> pa.RecordBatch:
+        w, mask, full = (np.asarray(table[c].combine_chunks()) for c in ("w", "mask", "full"))
+        shapes, found = Shapes.of(table), []
         for step in range(1, 2 * K):
             i = np.flatnonzero(w[:-step] == w[step:]) if len(w) > step else np.zeros(0, np.int64)
             if not len(i):
                 break
-            yield shapes.edges(i, i + step)
+            i = i[((mask[i] & mask[i + step]) == 0) & ~(full[i] & full[i + step])]
+            i = i[shapes.fits(i, i + step)]
+            d = shapes.distance(i, i + step)
+            near = d <= NEAR
+            found += [(shapes.ids[i[near]], shapes.ids[i[near] + step], d[near]), (shapes.ids[i[near] + step], shapes.ids[i[near]], d[near])]
+        u, v, d = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v), pa.array(d)], names=["u", "v", "d"])
 
-    for table in _tables(batches):
+    for table in _tables(batches, 20_000):
         whole = pa.concat_tables([tail, table]) if tail is not None else table
         last = np.asarray(whole["w"].combine_chunks())
         stop = int(np.searchsorted(last, last[-1]))  # the last w may go on in the next batch; a w has 2 K rows at most
         if stop:
-            yield from join(whole.slice(0, stop))
+            yield join(whole.slice(0, stop))
         tail = whole.slice(stop)
     if tail is not None and tail.num_rows:
-        yield from join(tail)
+        yield join(tail)
 
 
 def _signature(seed: int):
@@ -138,144 +218,209 @@ def _signature(seed: int):
     def of(grid):
         bits = np.unpackbits(np.frombuffer(b"".join(grid), np.uint8).reshape(-1, BYTES), axis=1)
         coarse = bits.reshape(-1, 8, 6, 8, 6).sum((2, 4)).reshape(-1, 64)[:, cells] > 18
-        return __import__("pandas").Series(coarse @ (1 << np.arange(16)))
+        return pd.Series(coarse @ (1 << np.arange(16)))
 
     return of
 
 
-def _best(edges: DataFrame, k: int) -> DataFrame:
-    """The ``k`` nearest of every node, as rows (u, v, d) from its side."""
-    both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"), "d"))
+def _best(lists: DataFrame, k: int, *more: str) -> DataFrame:
+    """The ``k`` nearest of every node's list (u, v, d)."""
     rank = F.row_number().over(Window.partitionBy("u").orderBy("d", F.xxhash64("u", "v"), "v"))
-    return both.withColumn("rank", rank).where(F.col("rank") <= k).drop("rank")
-
-
-def _undirected(edges: DataFrame) -> DataFrame:
-    return edges.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), "d").distinct()
-
-
-def neighbour_graph(shapes: DataFrame) -> DataFrame:
-    """Edges (u, v, d), u < v, from rows (id, band, h, a, grid) by neighbour descent."""
-    found = None
-    for seed in range(ORDERS):
-        order = shapes.withColumn("key", _signature(seed)("grid"))
-        # ranges split a hot key over as many partitions as its rows need
-        spread = order.repartitionByRange("band", "key", "h", "id").sortWithinPartitions("band", "key", "h", "id").drop("key")
-        edges = spread.mapInArrow(_sorted_neighbours, _EDGE)
-        found = edges if found is None else found.unionByName(edges)
-    graph = cut(_undirected(_best(found.distinct(), K)), "graph")
-    for _ in range(ROUNDS):
-        around = _best(graph, 2 * K).select(F.col("u").alias("w"), F.col("v").alias("id"))
-        local = around.join(shapes, "id").repartition("w").sortWithinPartitions("w")
-        more = local.select("w", "id", "band", "h", "a", "grid").mapInArrow(_local_joins, _EDGE)
-        better = cut(_undirected(_best(graph.unionByName(more).distinct(), K)), "graph")
-        uncut(graph)
-        graph = better
-    return graph
-
-
-def communities(edges: DataFrame, *, resolution: float = 1.0, levels: int = 3, passes: int = 4) -> DataFrame:
+    return lists.withColumn("rank", rank).where(F.col("rank") <= k).select("u", "v", "d", *more)
+
+
+def _merged(lists: DataFrame) -> DataFrame:
+    """Lists (u, v, d, mask) of several searches as one, in which an entry's mask names the searches that know it."""
+    return _best(lists.groupBy("u", "v").agg(F.min("d").alias("d"), F.bit_or("mask").alias("mask")), K, "mask")
+
+
+def neighbour_graph(shapes: DataFrame, *, block: int = BLOCK, still: float = STILL) -> tuple[DataFrame, DataFrame]:
+    """(lists, blocks) from rows (id, band, h, a, size, grid): lists (u, v, d) holds the nearest neighbours of each
+    u within ``NEAR``, at most ``K``; blocks (id, block) puts like shapes into blocks of bounded size.
+
+    Searches across blocks go on until a smaller share than ``still`` of all list places changes.
+    """
+    rows = shapes.count()
+    parts = max(1, -(-rows // block))
+    found, orders = None, (["h", "a"], ["a", "h"], [_signature(1)("grid"), "h"], [_signature(2)("grid"), "a"])
+    for number, order in enumerate(orders):
+        keyed = shapes.select("*", *(o.alias("key") if not isinstance(o, str) else F.lit(0).alias("key") for o in order[:1]))
+        by = ["band", *(o if isinstance(o, str) else "key" for o in order), "id"]
+        spread = keyed.repartitionByRange(parts, *by).sortWithinPartitions(*by).drop("key")
+        lists = spread.mapInArrow(lambda it: _settled(it, block), _FOUND).withColumn("mask", F.lit(1 << number).cast("bigint"))
+        found = lists if found is None else found.unionByName(lists)
+    found = cut(found, "found")
+    blocks = cut(found.where((F.col("mask") == 4) & F.col("v").isNull()).select(F.col("u").alias("id"), "block"), "blocks")
+    lists = cut(_merged(found.where("v is not null").drop("block")), "lists")
+    uncut(found)
+    turn = len(orders)
+    while rows:
+        full = lists.groupBy("u").agg(F.count("*").alias("n"), F.max("d").alias("far")).where((F.col("n") == K) & (F.col("far") == 0)).select(F.col("u").alias("id"), F.lit(True).alias("full"))
+        both = lists.unionByName(lists.select(F.col("v").alias("u"), F.col("u").alias("v"), "d", "mask")).groupBy("u", "v").agg(F.min("d").alias("d"), F.bit_or("mask").alias("mask"))
+        around = _best(both, 2 * K, "mask").select(F.col("u").alias("w"), F.col("v").alias("id"), "mask").join(full, "id", "left").withColumn("full", F.coalesce("full", F.lit(False)))
+        held = around.groupBy("w").agg(F.collect_list(F.struct("id", "mask", "full")).alias("held"))  # 2 K at most
+        recent = F.lit(1 << (turn - 1)).cast("bigint")
+        apart = lambda x, y: (x["mask"].bitwiseAND(y["mask"]) == 0) & ((x["mask"].bitwiseAND(recent) != 0) | F.lit(turn == len(orders)))  # noqa: B023, E731
+        active = held.where(F.exists("held", lambda x: F.exists("held", lambda y: (x["id"] != y["id"]) & ~(x["full"] & y["full"]) & apart(x, y))))
+        local = active.select("w", F.explode("held").alias("x")).select("w", "x.*").join(shapes, "id").repartition("w").sortWithinPartitions("w", "id")
+        more = local.select("w", "mask", "full", *Shapes.COLUMNS, "grid").mapInArrow(_local_joins, "u bigint, v bigint, d double")
+        fresh = more.withColumn("mask", F.lit(1 << turn).cast("bigint"))
+        better = cut(_merged(lists.unionByName(fresh)), "lists")
+        uncut(lists)
+        lists = better
+        changed = lists.where(F.col("mask") == (1 << turn)).count()
+        turn += 1
+        if changed <= still * rows * K or turn > 62:
+            break
+    return lists.select("u", "v", "d"), blocks
+
+
+def _moves(links: list[tuple], degree: dict[int, float], total: float, resolution: float) -> dict[int, int]:
+    """Community of every node of a block's links (u, v, w): nodes move to the neighbouring community of highest
+    gain until none gains, communities become nodes, until nothing merges. ``degree`` counts links to other
+    blocks too, and ``total`` is the weight of the whole graph."""
+    member = {u: u for u in degree}
+    degree = dict(degree)
+    while True:
+        near: dict[int, dict[int, float]] = defaultdict(dict)
+        for u, v, w in links:
+            if u != v:
+                near[u][v] = near[u].get(v, 0.0) + w
+        at = {u: u for u in degree}
+        mass = dict(degree)
+        moved = True
+        while moved:
+            moved = False
+            for u in sorted(near):
+                to: dict[int, float] = defaultdict(float)
+                for v, w in near[u].items():
+                    to[at[v]] += w
+                own, k = at[u], degree[u]
+                gain = lambda c: to.get(c, 0.0) - resolution * k * (mass[c] - (k if c == own else 0.0)) / total  # noqa: B023, E731
+                best = max(to, key=lambda c: (gain(c), -c))
+                if best != own and gain(best) > gain(own) + 1e-9:
+                    mass[own] -= k
+                    mass[best] += k
+                    at[u], moved = best, True
+        if all(c == u for u, c in at.items()):
+            return member
+        member = {u: at[c] for u, c in member.items()}
+        merged: dict[tuple, float] = defaultdict(float)
+        for u, v, w in links:
+            merged[at[u], at[v]] += w
+        links = [(u, v, w) for (u, v), w in merged.items()]
+        degree = {c: m for c, m in mass.items() if c in set(at.values())}
+
+
+def _block_communities(total: float, resolution: float):
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        degree = frame.groupby("u", sort=True)["w"].sum()
+        inside = frame[frame["inside"]]
+        links = sorted(zip(inside["u"].tolist(), inside["v"].tolist(), inside["w"].tolist(), strict=True))
+        found = _moves(links, dict(zip(degree.index.tolist(), degree.tolist(), strict=True)), total, resolution)
+        return pd.DataFrame({"id": list(found.keys()), "community": list(found.values())}).astype("int64")
+
+    return run
+
+
+def communities(edges: DataFrame, blocks: DataFrame | None = None, *, resolution: float = RESOLUTION) -> DataFrame:
     """(id, community) of every node of the weighted edges (u, v, w), u <> v, each link given once.
 
-    Nodes move, half of them in each pass so that no two swap places, to the neighbouring community of
-    highest modularity gain, until hardly any moves; communities then become the nodes of the next level.
-    Stops when a level merges nothing.
+    ``blocks`` (id, block) are sets of nodes of bounded size in which communities are formed first. Then, over
+    all blocks, communities are nodes and move to the neighbouring community of highest modularity gain, a
+    random half of them in each turn so that no two swap places, until none gains; what has merged becomes the
+    nodes of the next level, until a level merges nothing.
     """
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"), "w"))
     links = cut(both.groupBy("u", "v").agg(F.sum("w").alias("w")), "links")
-    total = links.agg(F.sum("w")).first()[0]
-    member = cut(links.select(F.col("u").alias("id"), F.col("u").alias("community")).distinct(), "member")
+    total, rows = links.agg(F.sum("w"), F.count("*")).first()
     if not total:
+        member = links.select(F.col("u").alias("id"), F.col("u").alias("community"))
         return member
-    for level in range(levels):
-        nodes = cut(links.groupBy("u").agg(F.sum("w").alias("k")).withColumn("c", F.col("u")), "nodes")
-        for turn in range(passes):
+    if blocks is None:
+        member = cut(links.select(F.col("u").alias("id"), F.col("u").alias("community")).distinct(), "member")
+    else:
+        placed = links.join(blocks.toDF("u", "bu"), "u", "left").join(blocks.toDF("v", "bv"), "v", "left")
+        local = placed.select("u", "v", "w", F.coalesce("bu", -F.pmod(F.xxhash64("u"), F.lit(1 + rows // (BLOCK * K))) - 1).alias("block"), F.coalesce(F.col("bu") == F.col("bv"), F.lit(False)).alias("inside"))
+        member = cut(local.groupBy("block").applyInPandas(_block_communities(total, resolution), "id bigint, community bigint"), "member")
+        links = _contracted(links, member.select(F.col("id").alias("u"), F.col("community").alias("c")), rows)
+    turn = 0
+    while True:
+        open_ = links.where("u <> v")
+        if open_.isEmpty():
+            break
+        count = float(links.count())
+        nodes = cut(links.groupBy("u").agg(F.sum("w").alias("k"), F.count("*").alias("n")).withColumn("c", F.col("u")), "nodes")
+        while True:
             mass = nodes.groupBy("c").agg(F.sum("k").alias("mass"))
-            other = nodes.select(F.col("u").alias("v"), "c")
-            to = links.where("u <> v").join(other, "v").select("u", "c", "w")
-            stay = nodes.select("u", "c", F.lit(0.0).alias("w"))
-            # a node has few neighbouring communities; of a large community's rows adaptive execution splits the join
-            choice = to.unionByName(stay).groupBy("u", "c").agg(F.sum("w").alias("w")).join(mass, "c")
-            own = nodes.select("u", "k", F.col("c").alias("old"))
+            to = hot_join(open_.select("u", "v", "w"), nodes.select(F.col("u").alias("v"), "c", "n"), "v", "n", count).select("u", "c", "w")
+            choice = to.unionByName(nodes.select("u", "c", F.lit(0.0).alias("w"))).groupBy("u", "c").agg(F.sum("w").alias("w"))
+            met = choice.groupBy("c").agg(F.count("*").alias("n"))
+            choice = hot_join(choice, mass.join(met, "c"), "c", "n", 2 * count)
+            own = nodes.select("u", "k", F.col("c").alias("old"), "n")
             gain = F.col("w") - resolution * F.col("k") * (F.col("mass") - F.when(F.col("c") == F.col("old"), F.col("k")).otherwise(0.0)) / total
-            best = choice.join(own, "u").withColumn("gain", F.round(gain, 9)).groupBy("u", "k", "old").agg(F.max(F.struct("gain", (F.col("c") == F.col("old")).alias("same"), (-F.col("c")).alias("low"))).alias("best"))
-            may = F.pmod(F.xxhash64("u", F.lit(level * passes + turn)), F.lit(2)) == 0
-            moved = best.select("u", "k", F.when(may, -F.col("best.low")).otherwise(F.col("old")).alias("c"), (may & (-F.col("best.low") != F.col("old"))).alias("moved"))
-            moved = cut(moved, "nodes")
+            best = hot_join(choice, own, "u", "n", count + 1).withColumn("gain", F.round(gain, 9)).groupBy("u", "k", "old").agg(F.max(F.struct("gain", (F.col("c") == F.col("old")).alias("same"), (-F.col("c")).alias("low"))).alias("best"))
+            wants = -F.col("best.low") != F.col("old")
+            may = F.pmod(F.xxhash64("u", F.lit(turn)), F.lit(2)) == 0
+            moved = best.select("u", "k", F.when(may, -F.col("best.low")).otherwise(F.col("old")).alias("c"), wants.alias("wants"))
+            moved = cut(moved.join(nodes.select("u", "n"), "u"), "nodes")
             uncut(nodes)
-            nodes = moved.drop("moved")
-            nodes._cut_path = moved._cut_path
-            share = moved.agg(F.avg(F.col("moved").cast("double"))).first()[0]
-            if turn and share < 0.002:
+            nodes, turn = moved, turn + 1
+            if not nodes.where("wants").count():
                 break
-        merged = cut(member.withColumnRenamed("community", "u").join(nodes.select("u", "c"), "u").select("id", F.col("c").alias("community")), "member")
-        there = nodes.select(F.col("u").alias("v"), F.col("c").alias("cv"))
-        here = nodes.select("u", F.col("c").alias("cu"))
-        contracted = cut(links.join(here, "u").join(there, "v").groupBy(F.col("cu").alias("u"), F.col("cv").alias("v")).agg(F.sum("w").alias("w")), "links")
-        before, after = nodes.agg(F.count("*"), F.count_distinct("c")).first()
-        for old in (member, links, nodes):
-            uncut(old)
-        member, links = merged, contracted
-        if after == before:
+        at = nodes.select("u", "c")
+        merged = cut(member.withColumnRenamed("community", "u").join(at, "u", "left").select("id", F.coalesce("c", "u").alias("community")), "member")
+        same = nodes.where("u <> c").isEmpty()
+        contracted = None if same else _contracted(links, at, count)
+        uncut(member)
+        uncut(nodes)
+        member = merged
+        if same:
             break
+        links = contracted
+    uncut(links)
     return member
 
 
-def _compare_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by cell: compares its own rows with each other and with its guests, block by block."""
-    tail: pa.Table | None = None
-
-    def compare(table: pa.Table) -> Iterator[pa.RecordBatch]:
-        cell = np.asarray(table["cell"].combine_chunks())
-        home = np.asarray(table["home"].combine_chunks())
-        shapes = _Shapes.of(table)
-        start = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
-        for lo, hi in zip(start, np.r_[start[1:], len(cell)], strict=True):
-            own, all_ = np.flatnonzero(home[lo:hi]) + lo, np.arange(lo, hi)
-            for k in range(0, len(own), 64):
-                i, j = np.meshgrid(own[k : k + 64], all_, indexing="ij")
-                pick = (~home[j]) | (j > i)
-                yield shapes.edges(i[pick], j[pick])
-
-    for table in _tables(batches):
-        whole = pa.concat_tables([tail, table]) if tail is not None else table
-        cells = np.asarray(whole["cell"].combine_chunks())
-        stop = int(np.searchsorted(cells, cells[-1]))
-        if stop:
-            yield from compare(whole.slice(0, stop))
-        tail = whole.slice(stop)
-    if tail is not None and tail.num_rows:
-        yield from compare(tail)
-
+def _contracted(links: DataFrame, at: DataFrame, count: float) -> DataFrame:
+    """The links between the communities ``at`` (u, c) that their nodes are in."""
+    sizes = links.groupBy("u").agg(F.count("*").alias("n"))
+    known = at.join(sizes, "u")
+    here = hot_join(links, known.select("u", F.col("c").alias("cu"), "n"), "u", "n", count)
+    there = hot_join(here, known.select(F.col("u").alias("v"), F.col("c").alias("cv"), "n"), "v", "n", count)
+    out = cut(there.groupBy(F.col("cu").alias("u"), F.col("cv").alias("v")).agg(F.sum("w").alias("w")), "links")
+    uncut(links)
+    return out
 
-def exact_pairs(shapes: DataFrame) -> DataFrame:
-    """All pairs of one form among ``shapes``: those of one band whose height and aspect cells touch are compared.
 
-    Meant for one row per community. A pair meets in exactly one cell: a row is at home in its own and a
-    guest in four of the eight around it.
-    """
-    h, a = F.floor(F.col("h") / HEIGHT).cast("int"), F.floor(F.col("a") / ASPECT).cast("int")
-    steps = [(0, 0), (0, 1), (1, -1), (1, 0), (1, 1)]
-    visits = F.array(*(F.struct(F.lit(dh).alias("dh"), F.lit(da).alias("da")) for dh, da in steps))
-    placed = shapes.withColumn("visit", F.explode(visits)).withColumn("cell", F.xxhash64("band", h + F.col("visit.dh"), a + F.col("visit.da"))).withColumn("home", (F.col("visit.dh") == 0) & (F.col("visit.da") == 0))
-    local = placed.repartition("cell").sortWithinPartitions("cell").select("cell", "home", "id", "band", "h", "a", "grid")
-    return local.mapInArrow(_compare_cells, _EDGE).distinct()
+def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Replaces the canvas by the log of the rows that its ink spans; null where there is none."""
+    for batch in batches:
+        sizes = np.full(batch.num_rows, np.nan)
+        held = [(i, c) for i, c in enumerate(batch.column("canvas").to_pylist()) if c is not None and len(c) == CANVAS[0] * CANVAS[1]]
+        if held:
+            ink = np.frombuffer(b"".join(c for _, c in held), np.uint8).reshape(-1, *CANVAS).any(2)
+            span = CANVAS[0] - ink[:, ::-1].argmax(1) - ink.argmax(1)
+            sizes[[i for i, _ in held]] = np.where(ink.any(1), np.log(np.maximum(span, 1)), np.nan)
+        keep = [i for i, name in enumerate(batch.schema.names) if name != "canvas"]
+        yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in keep), pa.array(sizes)], names=[*(batch.schema.names[i] for i in keep), "size"])
 
 
 def usable_shapes(catalog: DataFrame) -> DataFrame:
-    """(id, band, h, a, grid), one row per shape; without a whole grid, ink, height or aspect a shape is in no cluster.
+    """(id, band, h, a, grid, size), one row per shape; without a whole grid, ink, height or aspect a shape is in no cluster.
 
-    A null band is a band of its own.
+    A null band is a band of its own. A null or empty canvas gives no size.
     """
     blank = F.unhex(F.lit("00" * BYTES))
-    rows = pick(catalog, "shape_id", "band", "height", "aspect", "grid").select(
-        F.col("shape_id").cast("bigint").alias("id"), F.xxhash64(F.coalesce("band", F.lit("?"))).alias("band"), F.log("height").alias("h"), F.log("aspect").alias("a"), F.col("grid").alias("grid")
+    rows = pick(catalog, "shape_id", "band", "height", "aspect", "grid", "canvas").select(
+        F.col("shape_id").cast("bigint").alias("id"), F.xxhash64(F.coalesce("band", F.lit("?"))).alias("band"), F.log("height").alias("h"), F.log("aspect").alias("a"), F.col("grid").alias("grid"), "canvas"
     ).where("id is not null and grid is not null and h is not null and a is not null")
-    return rows.where((F.length("grid") == BYTES) & (F.col("grid") != blank)).dropDuplicates(["id"])
+    rows = rows.where((F.length("grid") == BYTES) & (F.col("grid") != blank))
+    return rows.mapInArrow(_measured, "id bigint, band bigint, h double, a double, grid binary, size double").dropDuplicates(["id"])
 
 
-def shape_clusters(catalog: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(members, edges): members (cluster_id, shape_id, degree) of all clusters of two or more shapes.
+def shape_clusters(catalog: DataFrame) -> DataFrame:
+    """Members (cluster_id, shape_id, degree) of all clusters of two or more shapes.
 
     ``degree`` is the weighted degree within the cluster. Exact copies (same grid, band and height) enter
     the graph as one and come out as their own members with its degree.
@@ -287,31 +432,31 @@ def shape_clusters(catalog: DataFrame) -> tuple[DataFrame, DataFrame]:
     firsts = keyed.groupBy("alike").agg(F.min("id").alias("first"), F.count("*").alias("n"))
     copies = cut(hot_join(keyed, firsts, "alike", "n", rows).select("first", "id"), "copies")
     unique = cut(shapes.join(copies.select(F.col("first").alias("id")).distinct(), "id", "left_semi"), "unique")
-    graph = neighbour_graph(unique)
-    edges = graph.select("u", "v", (F.lit(1.05) - F.col("d") / NEAR).alias("w"))
-    found = communities(edges)
-    degree = edges.select("u", "w").unionByName(edges.select(F.col("v").alias("u"), "w")).groupBy("u").agg(F.sum("w").alias("degree"))
-    described = unique.select("id").join(found, "id", "left").join(degree.withColumnRenamed("u", "id"), "id", "left").select("id", F.coalesce("community", "id").alias("community"), F.coalesce("degree", F.lit(0.0)).alias("degree"))
-    described = cut(described, "described")
-    typical = described.groupBy("community").agg(F.max_by("id", F.struct("degree", -F.col("id"))).alias("id"))
-    pairs = exact_pairs(unique.join(typical, "id").select("id", "band", "h", "a", "grid"))
-    merged = connected_components(pairs, "u", "v")
-    # a community follows its typical member
-    group = typical.join(merged.select(F.col("member").alias("id"), "group_id"), "id", "left").select("community", F.coalesce("group_id", "id").alias("cluster"))
-    members = copies.join(described.withColumnRenamed("id", "first"), "first").join(group, "community").select("cluster", F.col("id").alias("shape_id"), "degree")
-    sizes = members.groupBy("cluster").agg(F.min("shape_id").alias("cluster_id"), F.count("*").alias("n")).where("n > 1")
-    out = hot_join(members, sizes.withColumn("rows", F.col("n")), "cluster", "n", rows).select("cluster_id", "shape_id", "degree")
-    return out, graph
+    uncut(shapes)
+    lists, blocks = neighbour_graph(unique)
+    edges = cut(lists.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), (F.lit(1.05) - F.col("d") / NEAR).alias("w")).distinct(), "edges")
+    found = communities(edges, blocks)
+    both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"), "w"))
+    inside = both.join(found.toDF("u", "cu"), "u").join(found.toDF("v", "cv"), "v").where("cu = cv")
+    degree = inside.groupBy("u").agg(F.sum("w").alias("degree"))
+    described = unique.select("id").join(found, "id", "left").join(degree.withColumnRenamed("u", "id"), "id", "left")
+    described = cut(described.select(F.col("id").alias("first"), F.coalesce("community", "id").alias("community"), F.coalesce("degree", F.lit(0.0)).alias("degree")), "described")
+    for done in (lists, blocks, edges, found, unique):
+        uncut(done)
+    counts = copies.groupBy("first").agg(F.count("*").alias("n"))
+    members = hot_join(copies, described.join(counts, "first"), "first", "n", rows).select("community", F.col("id").alias("shape_id"), "degree")
+    sizes = members.groupBy("community").agg(F.min("shape_id").alias("cluster_id"), F.count("*").alias("n")).where("n > 1")
+    return hot_join(members, sizes, "community", "n", rows).select("cluster_id", "shape_id", "degree")
 
 
 def cluster_members(catalog: DataFrame) -> DataFrame:
     """(cluster_id, shape_id): every shape of a cluster of two or more; its least shape_id names it."""
-    return shape_clusters(catalog)[0].select("cluster_id", "shape_id")
+    return shape_clusters(catalog).select("cluster_id", "shape_id")
 
 
 def cluster_descriptions(catalog: DataFrame, *, typical: int = 3) -> DataFrame:
     """(cluster_id, size, typical array<bigint>): the members of highest internal weighted degree."""
-    members = shape_clusters(catalog)[0]
+    members = shape_clusters(catalog)
     rank = F.row_number().over(Window.partitionBy("cluster_id").orderBy(F.desc("degree"), "shape_id"))
     size = F.count("*").over(Window.partitionBy("cluster_id"))
     top = members.withColumn("size", size).withColumn("rank", rank).where(F.col("rank") <= typical)
