@@ -34,7 +34,7 @@ CANVAS = (128, 32)  # rows and bytes of a row
 NEAR, HEIGHT, ASPECT, SIZE = 0.06, 0.08, 0.15, 0.25
 #: Neighbours kept, and held while a block settles, rows of a block, sorted orders searched first in a block, coarse
 #: cells of an order and rows compared with in each.
-K, WIDTH, BLOCK, SEARCHES, CELLS, REACH = 8, 16, 8192, 8, 16, 4
+K, WIDTH, BLOCK, SEARCHES, CELLS, REACH = 8, 12, 8192, 8, 16, 4
 #: Descent ends when a smaller share of all list places changes.
 STILL = 0.001
 #: Resolution of modularity. At 1 the null model splits sparse neighbour lists of one form once it holds a good
@@ -99,7 +99,7 @@ class Descent:
 
     def __init__(self, shapes: Shapes, k: int = WIDTH, seed: int = 0) -> None:
         self.shapes, self.k, n = shapes, k, len(shapes.ids)
-        self.near, self.d = np.full((n, k), -1), np.full((n, k), np.inf)
+        self.near, self.d, self.fresh = np.full((n, k), -1), np.full((n, k), np.inf), np.zeros((n, k), bool)
         coarse = _coarse(shapes.grids)
         rng = np.random.default_rng(seed)
         for _ in range(SEARCHES):  # sorted by the signs of a few coarse cells, then by height: worn prints stand side by side
@@ -112,7 +112,8 @@ class Descent:
         """Takes up the pairs that are better than what the lists hold; returns how many places changed."""
         ok = (j >= 0) & (i != j)
         i, j = i[ok], j[ok]
-        key = np.unique(i * len(self.near) + j)
+        key = np.sort(i * len(self.near) + j)
+        key = key[np.r_[True, key[1:] != key[:-1]]] if len(key) else key
         i, j = key // len(self.near), key % len(self.near)
         ok = self.shapes.fits(i, j) & ~(self.near[i] == j[:, None]).any(1)
         i, j = i[ok], j[ok]
@@ -125,28 +126,31 @@ class Descent:
         owner = np.r_[np.repeat(rows, self.k), i]
         other, far = np.r_[self.near[rows].ravel(), j], np.r_[self.d[rows].ravel(), d]
         fresh = np.r_[np.zeros(len(rows) * self.k, bool), np.ones(len(i), bool)]
+        held = np.r_[self.fresh[rows].ravel(), np.zeros(len(i), bool)]
         order = np.lexsort((fresh, far, owner))  # of equal distances what is held stays
         owner, other, far, fresh = owner[order], other[order], far[order], fresh[order]
         start = np.searchsorted(owner, rows)
         rank = np.arange(len(owner)) - np.repeat(start, np.diff(np.r_[start, len(owner)]))
         keep = rank < self.k
-        self.near[owner[keep], rank[keep]], self.d[owner[keep], rank[keep]] = other[keep], far[keep]
+        owner, rank = owner[keep], rank[keep]
+        self.near[owner, rank], self.d[owner, rank], self.fresh[owner, rank] = other[keep], far[keep], fresh[keep] | held[order][keep]
         return int(fresh[keep].sum())
 
     def settle(self, still: float = STILL) -> None:
         """Compares each shape with its neighbours' neighbours and with those that name it until hardly any list changes."""
         n, k = self.near.shape
         while True:
-            open_ = np.flatnonzero(self.d[:, -1] > 0)  # a list full of distance 0 can't improve
-            held = self.near >= 0
-            owner, named = np.repeat(np.arange(n), k)[held.ravel()], self.near.ravel()[held.ravel()]
-            naming = np.zeros(n, bool)
-            naming[open_] = True
-            back = naming[named]
-            beyond = self.near[self.near[open_]]  # places that are empty name the last row and are offered in vain
-            beyond[self.near[open_] < 0] = -1
-            first = np.repeat(open_, k * k), beyond.reshape(-1)
-            if self._offer(np.r_[first[0], named[back]], np.r_[first[1], owner[back]]) <= still * n * k:
+            open_ = self.d[:, -1] > 0  # a list full of distance 0 can't improve
+            fresh, self.fresh = self.fresh & (self.near >= 0), np.zeros((n, k), bool)
+            rows = np.flatnonzero(open_ & (fresh.any(1) | fresh[self.near].any((1, 2))))
+            one = self.near[rows]
+            two = self.near[one]
+            new = (fresh[rows][:, :, None] | fresh[one]) & (one >= 0)[:, :, None] & (two >= 0)  # of old neighbours only what is new to them
+            at, by, to = np.nonzero(new)
+            owner, slot = np.nonzero(fresh)
+            named = self.near[owner, slot]
+            back = open_[named]
+            if self._offer(np.r_[rows[at], named[back]], np.r_[two[at, by, to], owner[back]]) <= still * n * k:
                 return
 
     def pairs(self, most: float = NEAR, k: int = K) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -242,15 +246,14 @@ def neighbour_graph(shapes: DataFrame, *, block: int = BLOCK, still: float = STI
     """
     rows = shapes.count()
     parts = max(1, -(-rows // block))
-    found, orders = None, (["h", "a"], ["a", "h"], [_signature(1)("grid"), "h"], [_signature(2)("grid"), "a"])
+    found, orders = None, ([_signature(1)("grid"), "h"], [_signature(2)("grid"), "a"])
     for number, order in enumerate(orders):
-        keyed = shapes.select("*", *(o.alias("key") if not isinstance(o, str) else F.lit(0).alias("key") for o in order[:1]))
-        by = ["band", *(o if isinstance(o, str) else "key" for o in order), "id"]
-        spread = keyed.repartitionByRange(parts, *by).sortWithinPartitions(*by).drop("key")
+        by = ["band", "key", order[1], "id"]
+        spread = shapes.withColumn("key", order[0]).repartitionByRange(parts, *by).sortWithinPartitions(*by).drop("key")
         lists = spread.mapInArrow(lambda it: _settled(it, block), _FOUND).withColumn("mask", F.lit(1 << number).cast("bigint"))
         found = lists if found is None else found.unionByName(lists)
     found = cut(found, "found")
-    blocks = cut(found.where((F.col("mask") == 4) & F.col("v").isNull()).select(F.col("u").alias("id"), "block"), "blocks")
+    blocks = cut(found.where((F.col("mask") == 1) & F.col("v").isNull()).select(F.col("u").alias("id"), "block"), "blocks")
     lists = cut(_merged(found.where("v is not null").drop("block")), "lists")
     uncut(found)
     turn = len(orders)
