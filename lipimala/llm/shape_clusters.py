@@ -354,23 +354,24 @@ def communities(edges: DataFrame, blocks: DataFrame | None = None, *, resolution
             break
         count = float(links.count())
         nodes = cut(links.groupBy("u").agg(F.sum("w").alias("k"), F.count("*").alias("n")).withColumn("c", F.col("u")), "nodes")
+        open_ = cut(hot_join(open_, nodes.select("u", "k", "n"), "u", "n", count), "open")
         while True:
-            mass = nodes.groupBy("c").agg(F.sum("k").alias("mass"))
-            to = hot_join(open_.select("u", "v", "w"), nodes.select(F.col("u").alias("v"), "c", "n"), "v", "n", count).select("u", "c", "w")
-            choice = to.unionByName(nodes.select("u", "c", F.lit(0.0).alias("w"))).groupBy("u", "c").agg(F.sum("w").alias("w"))
-            met = choice.groupBy("c").agg(F.count("*").alias("n"))
-            choice = hot_join(choice, mass.join(met, "c"), "c", "n", 2 * count)
-            own = nodes.select("u", "k", F.col("c").alias("old"), "n")
-            gain = F.col("w") - resolution * F.col("k") * (F.col("mass") - F.when(F.col("c") == F.col("old"), F.col("k")).otherwise(0.0)) / total
-            best = hot_join(choice, own, "u", "n", count + 1).withColumn("gain", F.round(gain, 9)).groupBy("u", "k", "old").agg(F.max(F.struct("gain", (F.col("c") == F.col("old")).alias("same"), (-F.col("c")).alias("low"))).alias("best"))
-            wants = -F.col("best.low") != F.col("old")
+            # as links hold both ways, a community is met by as many rows as its nodes have links
+            mass = nodes.groupBy("c").agg(F.sum("k").alias("mass"), (F.sum("n") + F.count("*")).alias("n"))
+            to = hot_join(open_, nodes.select(F.col("u").alias("v"), "c", "n"), "v", "n", count).select("u", "k", "c", "w", F.lit(False).alias("own"))
+            choice = to.unionByName(nodes.select("u", "k", "c", F.lit(0.0).alias("w"), F.lit(True).alias("own")))
+            choice = choice.groupBy("u", "c").agg(F.sum("w").alias("w"), F.max("own").alias("own"), F.max("k").alias("k"))
+            gain = F.col("w") - resolution * F.col("k") * (F.col("mass") - F.when(F.col("own"), F.col("k")).otherwise(0.0)) / total
+            weighed = hot_join(choice, mass, "c", "n", 2 * count).withColumn("gain", F.round(gain, 9))
+            best = weighed.groupBy("u").agg(F.max(F.struct("gain", "own", (-F.col("c")).alias("low"))).alias("best"), F.max(F.when(F.col("own"), F.col("c"))).alias("old"))
             may = F.pmod(F.xxhash64("u", F.lit(turn)), F.lit(2)) == 0
-            moved = best.select("u", "k", F.when(may, -F.col("best.low")).otherwise(F.col("old")).alias("c"), wants.alias("wants"))
-            moved = cut(moved.join(nodes.select("u", "n"), "u"), "nodes")
+            target = -F.col("best.low")
+            moved = cut(best.select("u", F.when(may, target).otherwise(F.col("old")).alias("c"), (target != F.col("old")).alias("wants")).join(nodes.select("u", "k", "n"), "u"), "nodes")
             uncut(nodes)
             nodes, turn = moved, turn + 1
-            if not nodes.where("wants").count():
+            if nodes.where("wants").isEmpty():
                 break
+        uncut(open_)
         at = nodes.select("u", "c")
         merged = cut(member.withColumnRenamed("community", "u").join(at, "u", "left").select("id", F.coalesce("c", "u").alias("community")), "member")
         same = nodes.where("u <> c").isEmpty()
