@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lipimala.functions.glyphs import characters
 from lipimala.functions.telugu import comparable
 from lipimala.operators.transcode import OPEN, Mapping, render, with_segments
+from lipimala.runtime import small
 
 # The verdicts in the order of a report.
 VERDICTS = ("new_wrong", "candidate_gap", "human", "old_wrong")
@@ -53,9 +54,20 @@ def summary(found: DataFrame) -> DataFrame:
     return names.join(sums, "verdict", "left").fillna(0, ["groups", "words"])
 
 
-def shape_names(rows: DataFrame, glyphs: str, names: DataFrame, name: str = "shapes") -> DataFrame:
+#: Names up to which a font's list travels as one map.
+NAMES = 70_000
+
+
+def shape_names(rows: DataFrame, glyphs: str, names: DataFrame, name: str = "shapes", *, limit: int = NAMES) -> DataFrame:
     """Adds the names of a sequence's glyphs by blanks, ``?`` for one without; ``names`` (glyph, name) is a
-    font's own list, one row per glyph, and travels as one map."""
-    table = F.broadcast(names.limit(70_000).agg(F.map_from_entries(F.collect_list(F.struct("glyph", "name"))).alias("_names")))
-    shown = F.array_join(F.transform(characters(F.col(glyphs)), lambda c: F.coalesce(F.element_at("_names", c), F.lit("?"))), " ")
-    return rows.join(table).withColumn(name, F.when(F.cardinality("_names") > 0, shown).otherwise("")).drop("_names")
+    font's own list, one row per glyph. Up to ``limit`` names travel as one map; beyond that the characters
+    of the distinct sequences are joined with them. Without any name the text is empty; a null sequence has none."""
+    if small(names, limit):
+        table = F.broadcast(names.agg(F.map_from_entries(F.collect_list(F.struct("glyph", "name"))).alias("_names")))
+        shown = F.array_join(F.transform(characters(F.col(glyphs)), lambda c: F.coalesce(F.element_at("_names", c), F.lit("?"))), " ")
+        return rows.join(table).withColumn(name, F.when(F.cardinality("_names") > 0, shown).otherwise("")).drop("_names")
+    distinct = rows.select(F.col(glyphs).alias("_glyphs")).where("_glyphs <> ''").distinct()
+    each = distinct.select("_glyphs", F.posexplode(characters(F.col("_glyphs"))).alias("_at", "glyph")).join(names.select("glyph", "name"), "glyph", "left")
+    spelled = each.groupBy("_glyphs").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_at", F.coalesce("name", F.lit("?")).alias("n")))), lambda x: x["n"]), " ").alias(name))
+    joined = rows.join(spelled, F.col(glyphs) == F.col("_glyphs"), "left").drop("_glyphs")
+    return joined.withColumn(name, F.when(F.col(glyphs) == "", "").otherwise(F.col(name)))

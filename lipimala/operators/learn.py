@@ -55,11 +55,13 @@ def accept(state: State, least: int = CONTEXTS) -> tuple[DataFrame, State]:
     return accepted, State(entries, pending)
 
 
-def segmented(words: DataFrame, ident: str, glyphs: str, entries: DataFrame) -> DataFrame:
-    """Words with segments by the entries: compiled where they are few enough, joined where not."""
-    if small(entries, COMPILED):
-        return with_segments(words, glyphs, Mapping(entries))
-    return words.join(segments_by_join(words, ident, glyphs, entries), ident)
+def segmented(words: DataFrame, glyphs: str, entries: DataFrame, *, limit: int = COMPILED) -> DataFrame:
+    """Words with segments by the entries: compiled where they are few enough, joined by their distinct texts
+    where not. Both ways give the same; a null text has null segments."""
+    if small(entries, limit):
+        return with_segments(words, glyphs, Mapping(entries, limit=limit))
+    texts = words.select(F.col(glyphs).alias("_spelled"), F.col(glyphs).alias("_text")).where("_text is not null").distinct()
+    return words.join(segments_by_join(texts, "_spelled", "_text", entries), F.col(glyphs) == F.col("_spelled"), "left").drop("_spelled")
 
 
 def observed_words(words: DataFrame, reading: str = "ocr_text") -> DataFrame:
@@ -70,7 +72,7 @@ def observed_words(words: DataFrame, reading: str = "ocr_text") -> DataFrame:
 def learn_round(observed: DataFrame, state: State, voted: DataFrame) -> tuple[DataFrame, DataFrame, State]:
     """(accepted, voted, state) after one round over observed (seq, page, glyphs, ocr_text)."""
     open_words = observed.join(voted, "seq", "left_anti")
-    parts = segmented(open_words, "seq", "glyphs", state.entries).where(F.size(gaps(F.col("segments"))) == 1)
+    parts = segmented(open_words, "glyphs", state.entries).where(F.size(gaps(F.col("segments"))) == 1)
     found = parts.select(F.col("seq").alias("key"), "segments", F.col("ocr_text").alias("target")).mapInArrow(propose, "key bigint, glyphs string, unicode string, context string")
     votes = found.withColumnRenamed("key", "seq").join(observed.select("seq", F.col("page"), F.col("ocr_text").alias("word")), "seq")
     votes = cut(votes, "votes")
@@ -113,15 +115,15 @@ def unseen_pages(pages: DataFrame, progress: DataFrame, key: list[str]) -> DataF
 
 def page_progress(words: DataFrame, before: DataFrame, after: DataFrame, key: list[str]) -> DataFrame:
     """(``key``, glyphs, unmapped_before, unmapped_after) of words (ident, glyphs) under two sets of entries."""
-    old = segmented(words, "seq", "glyphs", before).groupBy(*key).agg(F.sum(glyph_count(F.col("segments"))).alias("glyphs"), F.sum(gap_length(F.col("segments"))).alias("unmapped_before"))
-    new = segmented(words, "seq", "glyphs", after).groupBy(*key).agg(F.sum(gap_length(F.col("segments"))).alias("unmapped_after"))
+    old = segmented(words, "glyphs", before).groupBy(*key).agg(F.sum(glyph_count(F.col("segments"))).alias("glyphs"), F.sum(gap_length(F.col("segments"))).alias("unmapped_before"))
+    new = segmented(words, "glyphs", after).groupBy(*key).agg(F.sum(gap_length(F.col("segments"))).alias("unmapped_after"))
     return old.join(new, key)
 
 
 def classify(words: DataFrame, entries: DataFrame, confidence: str = "confidence", reading: str = "ocr_text", least: float = SUSPECT_CONFIDENCE) -> DataFrame:
     """Words with text and status: ``unresolved`` with a gap, ``suspect`` where a confident reading is another
     text, else null."""
-    shown = segmented(words, "seq", "glyphs", entries)
+    shown = segmented(words, "glyphs", entries)
     gap = F.size(gaps(F.col("segments"))) > 0
     text = render(F.col("segments"))
     doubt = (comparable(text) != comparable(F.col(reading))) & (F.col(confidence) >= least)
@@ -144,7 +146,7 @@ def apply_suspicions(entries: DataFrame, suspicions: DataFrame) -> tuple[DataFra
 
 def words_with_key(words: DataFrame, entries: DataFrame, keys: DataFrame) -> DataFrame:
     """Words of which some segment is one of ``keys`` (glyphs)."""
-    parts = segmented(words, "seq", "glyphs", entries).select("seq", F.explode(F.transform("segments", lambda s: s["glyphs"])).alias("key"))
+    parts = segmented(words, "glyphs", entries).select("seq", F.explode(F.transform("segments", lambda s: s["glyphs"])).alias("key"))
     hit = parts.join(keys.select(F.col("glyphs").alias("key")).distinct(), "key", "left_semi").select("seq").distinct()
     return words.join(hit, "seq", "left_semi")
 
@@ -155,18 +157,20 @@ def confirm(confirmations: DataFrame, words: DataFrame, state: State, reviewed:
     A word that already gives the correct text settles a confirmation. Else the first word shown as stated
     under the reviewed entries whose gaps the correct text solves adds its solution, unless an entry says
     otherwise. Solutions open others, so unsolved ones are tried again, ``passes`` times at most. Results:
-    shown, correct, status, page, solution, overrides. Words meet confirmations by equality of their text.
+    shown, correct, status, page, solution, overrides. A word is a candidate only if it holds the glyphs of all
+    gaps shown; candidates are found by equality of their text, of which they are then a part.
     """
     asked = cut(confirmations.select("shown", "correct").distinct(), "asked")
     reviewed = state.entries if reviewed is None or not reviewed.limit(1).count() else reviewed
-    under_review = segmented(words, "seq", "glyphs", reviewed).select("seq", "page", "glyphs", comparable(render(F.col("segments"))).alias("match"))
+    under_review = segmented(words, "glyphs", reviewed).select("seq", "page", "glyphs", comparable(render(F.col("segments"))).alias("match"))
     has_gap = F.contains(F.col("shown"), F.lit("⟦"))
-    matched = cut(asked.withColumn("match", comparable(F.col("shown"))).join(under_review, "match").groupBy("shown", "correct", "glyphs").agg(F.min(F.struct("page", "seq")).alias("at")), "matched")
+    holds = F.forall(F.regexp_extract_all("shown", F.lit("⟦(.*?)⟧"), F.lit(1)), lambda gap: F.contains(F.col("glyphs"), gap))
+    matched = cut(asked.withColumn("match", comparable(F.col("shown"))).join(under_review, "match").where(holds).groupBy("shown", "correct", "glyphs").agg(F.min(F.struct("page", "seq")).alias("at")), "matched")
     done = None
     for _ in range(passes):
-        now = segmented(words, "seq", "glyphs", state.entries).select("page", "seq", comparable(render(F.col("segments"))).alias("match"))
-        right = asked.withColumn("match", comparable(F.col("correct"))).join(now, "match").groupBy("shown", "correct").agg(F.min(F.struct("page", "seq")).alias("right"))
-        tried = segmented(matched.withColumn("seq", F.xxhash64("shown", "correct", "glyphs")), "seq", "glyphs", state.entries)
+        now = segmented(words, "glyphs", state.entries).select("page", "seq", "glyphs", comparable(render(F.col("segments"))).alias("match"))
+        right = asked.withColumn("match", comparable(F.col("correct"))).join(now, "match").where(holds).groupBy("shown", "correct").agg(F.min(F.struct("page", "seq")).alias("right"))
+        tried = segmented(matched.withColumn("seq", F.xxhash64("shown", "correct", "glyphs")), "glyphs", state.entries)
         solved = tried.where(has_gap).select(F.struct("shown", "correct", "at").alias("key"), "segments", F.col("correct").alias("target"))
         kind = solved.schema["key"].dataType.simpleString()
         answers = solved.mapInArrow(propose_confirmed, f"key {kind}, solution map<string,string>, overrides string")

@@ -15,7 +15,7 @@ CELL = 64.0
 
 
 def _cells(rows: DataFrame, box: str, cell: float) -> DataFrame:
-    """One row per grid cell the box touches; an extent beyond 64 cells is joined over the whole page."""
+    """One row per grid cell the box touches: a cell takes a word or two, a box as large as its page some hundred."""
     span = lambda lo, hi: F.sequence(F.floor(F.col(f"{box}.{lo}") / cell), F.floor(F.greatest(F.col(f"{box}.{hi}"), F.col(f"{box}.{lo}")) / cell))
     return rows.withColumn("_cx", F.explode(span("x0", "x1"))).withColumn("_cy", F.explode(span("y0", "y1")))
 

@@ -75,14 +75,15 @@ def replacements(read: str, meant: str) -> list[tuple[str, str]]:
 
 def _confusions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        out = [pair for read, meant in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for pair in replacements(read, meant)]
-        yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.string()), pa.array([y for _, y in out], pa.string())], names=["ocr", "converted"])
+        out = [(*pair, n) for read, meant, n in zip(*(c.to_pylist() for c in batch.columns), strict=True) for pair in replacements(read, meant)]
+        columns = [list(c) for c in zip(*out, strict=True)] or [[], [], []]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.int64()), strict=True)], names=["ocr", "converted", "n"])
 
 
 def confusions(comparisons: DataFrame, converted: str = "converted", ocr: str = "ocr") -> DataFrame:
-    """(ocr, converted, count): equal pairs are counted before the blocks are matched, once per pair."""
-    pairs = comparisons.where(disagrees(F.col(converted), F.col(ocr))).select(F.col(ocr).alias("o"), F.col(converted).alias("c"))
-    return pairs.mapInArrow(_confusions, "ocr string, converted string").groupBy("ocr", "converted").agg(F.count("*").alias("count"))
+    """(ocr, converted, count): equal pairs of words are counted first, and the blocks of each are matched once."""
+    pairs = comparisons.where(disagrees(F.col(converted), F.col(ocr))).groupBy(F.col(ocr).alias("o"), F.col(converted).alias("c")).agg(F.count("*").alias("n"))
+    return pairs.mapInArrow(_confusions, "ocr string, converted string, n bigint").groupBy("ocr", "converted").agg(F.sum("n").alias("count"))
 
 
 # --- proofread text ----------------------------------------------------------------------------------
@@ -120,6 +121,18 @@ def _changes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.string()), pa.array([y for _, y in out], pa.string())], names=["before", "after"])
 
 
+def page_changes(pages: DataFrame, before: str, after: str) -> DataFrame:
+    """Adds before_words and the word and character error rates of ``after`` against ``before``, page by page.
+
+    Texts are compared as words, blanks of any kind between them; a null text has none.
+    """
+    old, new = (words(F.coalesce(F.col(c), F.lit(""))) for c in (before, after))
+    both = pages.withColumn("_a", old).withColumn("_b", new)
+    letters = lambda c: F.array_join(c, "")
+    rated = both.withColumn("before_words", F.size("_a")).withColumn("word_error_rate", error_rate(edit_distance(F.col("_a"), F.col("_b")), F.size("_a")))
+    return rated.withColumn("character_error_rate", error_rate(F.levenshtein(letters("_a"), letters("_b")), F.length(letters("_a")))).drop("_a", "_b")
+
+
 def word_changes(pages: DataFrame, before: str, after: str) -> DataFrame:
     """(before, after, count) of all word changes between two outputs of the same pages."""
     rows = pages.where(~F.col(before).eqNullSafe(F.col(after))).select(before, after)

@@ -133,14 +133,15 @@ def pages_of(lines: DataFrame, page: list[str], order: str = "line_no", text: st
     return lines.groupBy(*page).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, text))), lambda x: x[text]), "\n").alias("text"))
 
 
-def segments_by_join(rows: DataFrame, ident: str, text: str, table: DataFrame, glyphs: str = "glyphs", unicode: str = "unicode", *, longest: int = 32) -> DataFrame:
+def segments_by_join(rows: DataFrame, ident: str, text: str, table: DataFrame, glyphs: str = "glyphs", unicode: str = "unicode") -> DataFrame:
     """(``ident``, segments) for mappings beyond ``COMPILED`` keys: substrings meet the table in a shuffled join.
 
-    A fold over a text's matches then walks it greedily. Keys longer than ``longest`` are not found; pass
-    the table's own greatest length.
+    Only substrings of lengths that keys have are offered, the longest key included. A fold over a text's
+    matches then walks it greedily. A null text has null segments.
     """
+    lengths = [r[0] for r in table.where(F.length(glyphs) > 0).select(F.length(glyphs)).union(table.sparkSession.sql("SELECT 1")).distinct().collect()]
     begin = F.explode(F.sequence(F.lit(1), F.length(text)))
-    spans = rows.where(F.length(text) > 0).select(ident, text, begin.alias("at")).withColumn("n", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.length(text) - F.col("at") + 1))))
+    spans = rows.where(F.length(text) > 0).select(ident, text, begin.alias("at")).withColumn("n", F.explode(F.array(*map(F.lit, sorted(lengths))))).where(F.col("n") <= F.length(text) - F.col("at") + 1)
     offered = spans.select(ident, "at", "n", F.substring(F.col(text), F.col("at"), F.col("n")).alias("_key"))
     blank = rows.sparkSession.createDataFrame([(" ", " ")], "_key string, _u string")
     known = table.where(F.col(glyphs).isNotNull() & ~F.col(glyphs).isin("", " ")).groupBy(F.col(glyphs).alias("_key")).agg(F.max(F.coalesce(F.col(unicode), F.lit(""))).alias("_u")).unionByName(blank)
@@ -160,7 +161,7 @@ def segments_by_join(rows: DataFrame, ident: str, text: str, table: DataFrame, g
         return F.struct(F.when(at < state["next"], state["next"]).when(hit.isNotNull(), at + hit["n"]).otherwise(at + 1).alias("next"), moved.alias("out"))
 
     places = F.when(F.length(text) > 0, F.sequence(F.lit(1), F.length(text))).otherwise(F.array().cast("array<int>"))
-    return rows.select(ident, text).join(hits, ident, "left").withColumn("segments", F.aggregate(places, start, step, lambda s: s["out"])).select(ident, "segments")
+    return rows.select(ident, text).join(hits, ident, "left").withColumn("segments", F.when(F.col(text).isNotNull(), F.aggregate(places, start, step, lambda s: s["out"]))).select(ident, "segments")
 
 
 # --- scanned text ------------------------------------------------------------------------------------

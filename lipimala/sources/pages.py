@@ -63,12 +63,12 @@ def missing_pages(wanted: DataFrame, cache: DataFrame, key: list[str]) -> DataFr
 
 
 def read_ocr_cache(spark: SparkSession, path: str) -> DataFrame:
-    """Files ``page-NNN.json``, each a list of words, as (page, ocr_no, text, confidence, bbox)."""
-    rows = spark.read.schema("text string, confidence double, bbox array<double>").option("multiLine", True).json(f"{path}/page-*.json")
-    page = F.regexp_extract(F.input_file_name(), r"page-0*(\d+)\.json", 1).cast("int")
-    numbered = rows.withColumn("page", page).withColumn("ocr_no", F.monotonically_increasing_id())
-    box = F.struct(*(F.get("bbox", F.lit(i)).alias(c) for i, c in enumerate(("x0", "y0", "x1", "y1"))))
-    return numbered.select("page", "ocr_no", "text", "confidence", box.alias("bbox"))
+    """Files ``page-NNN.json``, each a list of words, as (page, ocr_no, text, confidence, bbox), numbered from 1 a page."""
+    files = spark.read.text(f"{path}/page-*.json", wholetext=True)
+    page = F.regexp_extract(F.col("_metadata.file_path"), r"page-0*(\d+)\.json", 1).cast("int").alias("page")
+    each = files.select(page, F.posexplode(F.from_json("value", "array<struct<text:string,confidence:double,bbox:array<double>>>")).alias("at", "w"))
+    box = F.struct(*(F.get("w.bbox", F.lit(i)).alias(c) for i, c in enumerate(("x0", "y0", "x1", "y1"))))
+    return each.select("page", (F.col("at") + 1).cast("bigint").alias("ocr_no"), "w.text", "w.confidence", box.alias("bbox"))
 
 
 def verified_pages(spark: SparkSession, path: str) -> DataFrame:

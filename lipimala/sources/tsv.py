@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
@@ -18,17 +18,20 @@ def read_tsv(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Rows by the header's names; a missing file has none, blank lines are no rows, fields beyond the header
     and columns beyond the row are dropped, and a text column the file lacks is empty.
 
-    Lines are split here and not by the CSV reader, as ``"`` is a glyph like any other. ``ordinal`` keeps
-    the file's order.
+    Lines are split here and not by the CSV reader, as ``"`` is a glyph like any other. Files are tables that
+    people edit and are read whole, so that ``ordinal`` is the file's order.
     """
     kinds = StructType.fromDDL(schema)
     if not exists(spark, path):
         return spark.createDataFrame([], StructType.fromDDL(f"{schema}, ordinal bigint"))
-    lines = spark.read.text(path).select(F.regexp_replace("value", "^﻿", "").alias("value"))
-    header = lines.where("value <> ''").first()
-    names = header["value"].split("\t") if header else []
-    body = lines.where((F.col("value") != "") & (F.col("value") != (header["value"] if header else "")))
-    cells = body.select(F.split("value", "\t").alias("c"), F.monotonically_increasing_id().alias("ordinal"))
+    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.split(F.regexp_replace("value", "^\ufeff", ""), "\r\n|[\r\n]").alias("all"))
+    files = files.withColumn("lines", F.filter("all", lambda x: x != ""))
+    first = files.where(F.size("lines") > 0).orderBy("file").select(F.get("lines", F.lit(0))).first()
+    names = first[0].split("\t") if first else []
+    # a file's first line is its header; the same text further down is data
+    body = files.select("file", F.when(F.get("lines", F.lit(0)) == F.lit(first[0] if first else ""), F.slice("lines", F.lit(2), F.greatest(F.size("lines") - 1, F.lit(0)))).otherwise(F.col("lines")).alias("lines"))
+    number = F.row_number().over(Window.orderBy("file")) - 1  # one row a file
+    cells = body.withColumn("file_no", number).select("file_no", F.posexplode("lines").alias("at", "line")).select(F.split("line", "\t").alias("c"), (F.col("file_no") * (1 << 40) + F.col("at")).cast("bigint").alias("ordinal"))
     columns = []
     for field in kinds:
         if field.name in names:

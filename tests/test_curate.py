@@ -279,3 +279,25 @@ def test_streams_equal_batches(spark, tmp_path):
     out = []
     ingest.resumable(done, lambda f, _: out.extend(r.text for r in f.collect()), str(tmp_path / "state2")).start().awaitTermination()
     assert out == ["వ⟦x⟧"]
+
+
+def test_a_line_like_the_header_further_down_is_data(spark, tmp_path):
+    path = tmp_path / "t.tsv"
+    path.write_text("﻿a\tb\n\n1\tx\r\na\tb\n2\n", encoding="utf-8")
+    got = [(r.a, r.b, r.ordinal) for r in tsv.read_tsv(spark, str(path), "a string, b string").orderBy("ordinal").collect()]
+    assert got == [("1", "x", 0), ("a", "b", 1), ("2", "", 2)]
+
+
+def test_ocr_cache_numbers_words_by_page(spark, tmp_path):
+    for page in (3, 12):
+        (tmp_path / f"page-{page:03d}.json").write_text('[{"text": "a", "confidence": 9.5, "bbox": [1, 2, 3, 4]}, {"text": "b"}]', encoding="utf-8")
+    got = {(r.page, r.ocr_no, r.text, r.confidence, r.bbox.y1) for r in pages.read_ocr_cache(spark, str(tmp_path)).collect()}
+    assert got == {(p, n, t, c, y) for p in (3, 12) for n, t, c, y in ((1, "a", 9.5, 4.0), (2, "b", None, None))}
+
+
+def test_output_changes_by_page(spark):
+    from lipimala.operators.quality import page_changes
+
+    rows = spark.createDataFrame([(1, "అ ఆ ఇ", "అ ఆ ఈ"), (2, "a", "a"), (3, None, "x")], "page int, old string, new string")
+    got = {r.page: (r.before_words, round(r.word_error_rate, 4), round(r.character_error_rate, 4)) for r in page_changes(rows, "old", "new").collect()}
+    assert got[1] == (3, 0.3333, 0.3333) and got[2] == (1, 0.0, 0.0) and got[3][0] == 0

@@ -11,6 +11,8 @@ from lipimala.functions import glyphs as G
 from lipimala.functions import telugu as T
 from lipimala.operators import segment as S
 from lipimala.operators import transcode as TR
+from lipimala.operators.compare import shape_names
+from lipimala.operators.learn import segmented
 
 V, Z = T.VIRAMA, T.ZWNJ
 
@@ -139,6 +141,23 @@ def test_longest_match_equals_a_naive_walk(spark):
             assert [(s.glyphs, s.unicode) for s in r.segments] == _naive(texts[r.i], TABLE)
 
 
+def test_the_joined_form_finds_long_keys_and_keeps_nulls(spark):
+    rows = spark.createDataFrame([(1, "a" * 60 + "b"), (2, None), (None, "ab"), (3, ""), (4, "xab")], "i int, t string")
+    source = spark.createDataFrame([("a" * 60, "long"), ("ab", "short"), (None, "n")], "glyphs string, unicode string")
+    forms = [segmented(rows, "t", source, limit=limit) for limit in (100, 0)]
+    got = [{(r.i, r.t): r.segments and [tuple(s) for s in r.segments] for r in form.select("i", "t", "segments").collect()} for form in forms]
+    assert got[0] == got[1] and got[0][1, "a" * 60 + "b"] == [("a" * 60, "long"), ("b", None)] and got[0][2, None] is None and len(got[0]) == 5
+
+
+def test_shape_names_with_few_and_with_many_names(spark):
+    rows = spark.createDataFrame([(1, "ab"), (2, "ba?"), (3, ""), (4, None), (5, "q")], "i int, g string")
+    names = spark.createDataFrame([("a", "ka"), ("b", "u_hook")], "glyph string, name string")
+    want = {1: "ka u_hook", 2: "u_hook ka ?", 3: "", 4: None, 5: "?"}
+    for limit in (2, 1):
+        assert {r.i: r.shapes for r in shape_names(rows, "g", names, limit=limit).collect()} == want
+    assert {r.shapes for r in shape_names(rows.where("i < 3"), "g", names.limit(0)).collect()} == {""}
+
+
 def test_render_and_coverage(spark):
     rows = TR.with_segments(spark.createDataFrame([("a", "=∞ xy#"), ("a", "q"), ("b", None), ("b", "")], "k string, t string"), "t", _mapping(spark))
     assert [r.x for r in rows.where("t <> ''").select(TR.render(F.col("segments")).alias("x")).collect()] == ["మ ⟦xy⟧న", ""]
