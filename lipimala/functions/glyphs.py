@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from lipimala.functions.telugu import nfc
+
 # The private-use range of symbol fonts, the private-use plane of shape ids, and the widths
 # and distances of the page model.
 SYMBOL_BASE, SYMBOL_FIRST, SYMBOL_LAST = 0xF000, 0xF020, 0xF0FF
@@ -34,6 +36,33 @@ def symbol_decode(text: Column, byte_chars: str | None = None) -> Column:
     return F.translate(text, "".join(map(chr, codes)), to)
 
 
+class ByteCodec:
+    """The characters of a font's bytes: an override where there is one, else what the encoding says.
+
+    ``overrides`` maps bytes to characters. A byte the encoding leaves open has no character.
+    """
+
+    def __init__(self, encoding: str = "latin-1", overrides: dict[int, str] | None = None) -> None:
+        overrides = overrides or {}
+        plain = [bytes([b]).decode(encoding, "ignore") for b in range(256)]
+        self.chars = [overrides.get(b) or plain[b] for b in range(256)]
+        self._byte = {c: b for b, c in reversed(list(enumerate(plain))) if c} | {c: b for b, c in sorted(overrides.items(), reverse=True)}
+
+    def table(self) -> str:
+        """The characters of the bytes 0x20 to 0xFF, for ``symbol_decode``; an open byte gives itself."""
+        return "".join(c or chr(b) for b, c in enumerate(self.chars))[0x20:]
+
+    def byte_of(self, char: Column) -> Column:
+        """A character's byte, overrides first; null where it has none."""
+        known = F.create_map(*(F.lit(x) for pair in self._byte.items() for x in pair))
+        return F.element_at(known, char)
+
+    def canonical(self, char: Column) -> Column:
+        """The character composed, and as that of its byte where it has one: what an override hides becomes it."""
+        changed = {c: self.chars[b] for c, b in self._byte.items() if self.chars[b] != c}
+        return F.translate(nfc(char), "".join(changed), "".join(changed.values())) if changed else nfc(char)
+
+
 def symbol_encode(text: Column, byte_chars: str) -> Column:
     """The inverse of ``symbol_decode``; null where a character is none of the bytes'."""
     to = "".join(chr(SYMBOL_FIRST + i) for i in range(len(byte_chars)))

@@ -27,6 +27,25 @@ def baseline_rows(pieces: DataFrame, page: list[str], baseline: str, order: list
     return pieces.join(placed, [*page, *order])
 
 
+def joined_rows(glyphs: DataFrame, page: list[str], piece: list[str], *, baseline: str = "baseline", left: str = "left", order: str = "glyph_no", tolerance: float = BASELINE_TOLERANCE) -> DataFrame:
+    """Glyphs in reading order: adds ``row`` and ``pos``, both from 1, and a blank between the pieces of a row.
+
+    A piece is what ``piece`` tells apart on a page, with one ``baseline`` and ``left`` edge. Pieces of a row go
+    from left to right. The blank is no legacy glyph and has the box of the glyph it stands before.
+    """
+    pieces = glyphs.groupBy(*page, *piece).agg(F.first(baseline).alias("_baseline"), F.first(left).alias("_left"))
+    placed = baseline_rows(pieces, page, "_baseline", piece, tolerance)
+    nth = F.row_number().over(Window.partitionBy(*page, "row").orderBy("_left", "_baseline", *piece))
+    placed = placed.select(*page, *piece, "row", nth.alias("_nth"))
+    rows = glyphs.join(placed, [*page, *piece])
+    w = Window.partitionBy(*page, "row")
+    first = F.row_number().over(Window.partitionBy(*page, "row", "_nth").orderBy(order)) == 1
+    rows = rows.withColumn("_blanks", F.when(first & (F.col("_nth") > 1), F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(False))))
+    rows = rows.withColumn("_blank", F.explode("_blanks"))
+    rows = rows.withColumn("char", F.when(F.col("_blank"), " ").otherwise(F.col("char"))).withColumn("is_legacy", F.col("is_legacy") & ~F.col("_blank"))
+    return rows.withColumn("pos", F.row_number().over(w.orderBy("_nth", order, F.desc("_blank")))).drop("_blanks", "_blank", "_nth")
+
+
 def islands(rows: DataFrame, line: list[str], order: str, keep: Column, name: str) -> DataFrame:
     """The rows where ``keep`` holds, with ``name``: the number, from 1, of the unbroken run they are in."""
     w = Window.partitionBy(*line).orderBy(order)

@@ -8,7 +8,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lipimala.functions.glyphs import baseline_box, font_family, relayout, symbol_decode
+from lipimala.functions.glyphs import ByteCodec, baseline_box, font_family, relayout, symbol_decode
 from lipimala.sources import schemas
 
 
@@ -38,14 +38,21 @@ def without_type3(chars: DataFrame, fonts: DataFrame) -> DataFrame:
     return chars.withColumn("family", font_family(F.col("font"))).join(undecodable, ["page", "family"], "left_anti")
 
 
+def codec_of(profile: dict) -> ByteCodec:
+    """The codec that a profile names; Latin-1 without one."""
+    return ByteCodec(profile.get("byte_encoding") or "latin-1", {int(b, 16): c for b, c in (profile.get("byte_overrides") or {}).items()})
+
+
 def decoded(chars: DataFrame, fonts: DataFrame, profile: dict) -> DataFrame:
-    """Characters as glyphs: char, box, is_legacy, width. ``profile``: fonts, ascent, descent, byte_chars and,
-    where the font needs it, type1_layout (character to character) and plain_pages."""
+    """Characters as glyphs: char, box, is_legacy, width. ``profile``: fonts, ascent, descent, byte_encoding and
+    byte_overrides (hexadecimal byte to character), or byte_chars made of them, and where the font needs it
+    type1_layout (character to character) and plain_pages. Legacy characters are canonical by the codec."""
+    codec = codec_of(profile)
     legacy = F.col("family").isin(*profile["fonts"])
     type1 = fonts.where("kind = 'Type1'").select("page", "family").distinct().withColumn("type1", F.lit(True))
     rows = chars.join(type1, ["page", "family"], "left")
     laid = relayout(F.col("char"), F.coalesce("type1", F.lit(False)) & ~F.col("page").isin(*profile.get("plain_pages", [-1])), profile.get("type1_layout", {}))
-    char = F.when(legacy, symbol_decode(laid, profile.get("byte_chars"))).otherwise(symbol_decode(F.col("char")))
+    char = F.when(legacy, codec.canonical(symbol_decode(laid, profile.get("byte_chars") or codec.table()))).otherwise(symbol_decode(F.col("char")))
     box = F.when(legacy, baseline_box(F.col("box"), F.col("origin_y"), F.col("size"), profile["ascent"], profile["descent"])).otherwise(F.col("box"))
     return rows.withColumn("char", char).withColumn("box", box).withColumn("is_legacy", legacy).withColumn("width", F.col("box.x1") - F.col("box.x0")).drop("type1")
 

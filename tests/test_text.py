@@ -175,3 +175,23 @@ def test_scanned_words(spark):
     done = TR.scan_transcode(words, spark.createDataFrame([(7, "క")], "shape_id bigint, unicode string"), ["w"])
     assert {r.w: (r.text, list(r.unmapped), r.glyphs) for r in done.collect()} == {1: ("క⟦#8#9⟧క", [8, 9], 4), 2: ("క", [], 1)}
     assert {tuple(r) for r in TR.unmapped_ids(done).collect()} == {(8, 1), (9, 1)}
+
+
+def test_byte_codec(spark):
+    codec = G.ByteCodec("mac_roman", {0xC6: "Δ", 0xD0: "-", 0xDB: "¤"})
+    assert [codec.chars[b] for b in (0x3D, 0xB0, 0xC6, 0xD0, 0xDB)] == ["=", "∞", "Δ", "-", "¤"]
+    rows = spark.createDataFrame([(c,) for c in ("=", "∆", "Δ", "-", "–", "€", "é", "క")], "c string")
+    got = {r.c: (r.b, r.k) for r in rows.select("c", codec.byte_of(F.col("c")).alias("b"), codec.canonical(F.col("c")).alias("k")).collect()}
+    assert got == {"=": (0x3D, "="), "∆": (0xC6, "Δ"), "Δ": (0xC6, "Δ"), "-": (0xD0, "-"), "–": (0xD0, "-"), "€": (0xDB, "¤"), "é": (0x8E, "é"), "క": (None, "క")}
+    assert len(codec.table()) == 224 and G.ByteCodec("cp1252").chars[0x81] == ""
+
+
+def test_pieces_of_a_row_are_joined_from_left_to_right(spark):
+    pieces = [(1, "29", 300.0, 100.0), (2, "=∞", 80.0, 100.5), (3, "x", 80.0, 120.0), (4, "y", 10.0, 103.0)]
+    rows = [("p", k, i, c, True, left, base, left + 5 * i) for k, text, left, base in pieces for i, c in enumerate(text)]
+    glyphs = spark.createDataFrame(rows, "page string, piece int, glyph_no int, char string, is_legacy boolean, left double, baseline double, box double")
+    got = S.joined_rows(glyphs, ["page"], ["piece"]).orderBy("row", "pos").collect()
+    assert [("".join(r.char for r in got if r.row == k), [r.pos for r in got if r.row == k]) for k in (1, 2, 3)] == [("=∞ 29", [1, 2, 3, 4, 5]), ("y", [1]), ("x", [1])]
+    blank = next(r for r in got if r.char == " ")
+    assert not blank.is_legacy and blank.box == 300.0
+    assert S.joined_rows(glyphs.limit(0), ["page"], ["piece"]).count() == 0
