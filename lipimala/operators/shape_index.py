@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lipimala.functions.bitmaps import CANVAS, GRID, THICK_BLOB, holes, stray_share, thick_blob, to_canvas, to_grid, unpacked
+from lipimala.functions.bitmaps import CANVAS, GRID, THICK_BLOB, grown, holes, stray_share, thick_blob, to_canvas, to_grid, unpacked
 from lipimala.runtime import maybe_broadcast, pick
 
 # Nearest shapes looked at when assigning and when looking for like ones, and their distances.
@@ -47,21 +47,17 @@ def _cells(shapes: DataFrame, around: bool) -> DataFrame:
 
 
 def _pair_distances(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Stray share of pairs; a batch's distinct grids are grown once and compared as 64-bit words."""
     for batch in batches:
-        a = np.unpackbits(np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8).reshape(-1, GRID * GRID // 8), axis=1).reshape(-1, GRID, GRID).astype(bool)
-        b = np.unpackbits(np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint8).reshape(-1, GRID * GRID // 8), axis=1).reshape(-1, GRID, GRID).astype(bool)
-        ga, gb = _grown(a), _grown(b)
-        stray = ((a & ~gb).sum((1, 2)) + (b & ~ga).sum((1, 2))) / np.maximum(1, a.sum((1, 2)) + b.sum((1, 2)))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(stray)], names=["shape_id", "other", "stray"])
-
-
-def _grown(masks: np.ndarray) -> np.ndarray:
-    out = masks.copy()
-    out[:, 1:] |= masks[:, :-1]
-    out[:, :-1] |= masks[:, 1:]
-    out[:, :, 1:] |= masks[:, :, :-1]
-    out[:, :, :-1] |= masks[:, :, 1:]
-    return out
+        ids = pa.concat_arrays([batch.column(0), batch.column(1)])
+        names, first, which = np.unique(np.asarray(ids), return_index=True, return_inverse=True)
+        held = pa.concat_arrays([batch.column(2), batch.column(3)]).take(pa.array(first)).to_pylist()
+        grids = np.frombuffer(b"".join(held), np.uint8).reshape(len(names), GRID * GRID // 8)
+        wide = np.packbits(grown(np.unpackbits(grids, axis=1).reshape(-1, GRID, GRID).astype(bool)).reshape(-1, GRID * GRID), axis=1).view(np.uint64)
+        grids, ink = np.ascontiguousarray(grids).view(np.uint64), np.bitwise_count(grids).sum(1, dtype=np.int64)
+        i, j = which[: batch.num_rows], which[batch.num_rows :]
+        stray = np.bitwise_count(grids[i] & ~wide[j]).sum(1, dtype=np.int64) + np.bitwise_count(grids[j] & ~wide[i]).sum(1, dtype=np.int64)
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(stray / np.maximum(1, ink[i] + ink[j]))], names=["shape_id", "other", "stray"])
 
 
 def gated_neighbours(queries: DataFrame, catalog: DataFrame, *, k: int = CANDIDATES, distance: float = DISTANCE) -> DataFrame:

@@ -298,7 +298,23 @@ SELECT glyphs AS recipe, s AS glyphs, unicode FROM x WHERE i = length(glyphs)"""
 w AS (SELECT *, coalesce(max(y1) FILTER (rule AND y0 < 0.15 * 800) OVER k, 0) AS t, coalesce(min(y0) FILTER (rule AND y1 > 0.85 * 800) OVER k, 800) AS l FROM q WINDOW k AS (PARTITION BY book, page))
 SELECT book, page, count(*) AS parts FROM w WHERE NOT rule AND (y0 + y1) / 2 BETWEEN t AND l GROUP BY 1, 2""",
     "keep_assignments": """WITH o AS (SELECT book, page, line, word, position, any_value(shape_id) AS shape_id, any_value(bbox) AS bbox, any_value(ink) AS ink FROM occurrences GROUP BY 1, 2, 3, 4, 5)
-SELECT book, count(*) AS parts, count(*) FILTER (shape_id < 1000 AND word % 2 = 0) AS kept FROM o GROUP BY 1""",
+SELECT book, count(*) AS parts, count(*) FILTER (shape_id IN (SELECT shape_id FROM shape_catalog) AND word % 2 = 0) AS kept FROM o GROUP BY 1""",
+    "gated_neighbours": """WITH s AS (SELECT DISTINCT shape_id, CAST(grid AS BIT) AS g, height, aspect, band, holes FROM shape_catalog WHERE octet_length(grid) = 288),
+m AS (SELECT CAST(repeat('0' || repeat('1', 47), 48) AS BIT) AS notfirst, CAST(repeat(repeat('1', 47) || '0', 48) AS BIT) AS notlast),
+b AS (SELECT s.*, bit_count(g) AS ink, g | (g << 48) | (g >> 48) | ((g << 1) & notlast) | ((g >> 1) & notfirst) AS w FROM s, m WHERE bit_count(g) > 0),
+p AS (SELECT a.shape_id, b.shape_id AS other, (bit_count(a.g & ~b.w) + bit_count(b.g & ~a.w)) / (a.ink + b.ink) AS stray FROM b a JOIN b ON a.band = b.band AND a.holes = b.holes
+  AND a.shape_id <> b.shape_id AND abs(ln(a.height / b.height)) <= 0.1 AND abs(ln(a.aspect / b.aspect)) <= 0.1),
+r AS (SELECT shape_id, other, stray, row_number() OVER (PARTITION BY shape_id ORDER BY stray, other) AS rank FROM p WHERE stray <= 0.1)
+SELECT shape_id, other, round(stray, 6) AS stray, CAST(rank AS INT) AS rank FROM r WHERE rank <= 8""",
+    "page_ranking": """WITH RECURSIVE o AS (SELECT DISTINCT book, page, line, word, position, shape_id FROM occurrences WHERE shape_id IS NOT NULL),
+u AS (SELECT book, page, list(DISTINCT shape_id) AS s FROM o GROUP BY 1, 2), n AS (SELECT book, shape_id, count(*) AS n, sum(count(*)) OVER (PARTITION BY book) AS total FROM o GROUP BY 1, 2),
+r AS (SELECT book, 0 AS rank, CAST([] AS BIGINT[]) AS fresh, CAST([] AS BIGINT[]) AS seen, CAST([] AS INT[]) AS done, CAST(NULL AS INT) AS page, CAST(0 AS BIGINT) AS shapes FROM (SELECT DISTINCT book FROM u) UNION ALL
+  SELECT book, rank + 1, f, list_concat(seen, f), list_append(done, page), page, len(s) FROM (
+    SELECT r.book, r.rank, r.seen, r.done, u.page, u.s, list_filter(u.s, lambda x: NOT list_contains(r.seen, x)) AS f FROM r JOIN u ON u.book = r.book WHERE NOT list_contains(r.done, u.page))
+  QUALIFY row_number() OVER (PARTITION BY book ORDER BY len(f) DESC, page) = 1),
+c AS (SELECT book, rank, sum(n.n / n.total) AS share FROM (SELECT book, rank, unnest(fresh) AS shape_id FROM r) JOIN n USING (book, shape_id) GROUP BY 1, 2)
+SELECT r.book, r.page, r.rank, CAST(r.shapes AS INT) AS shapes, CAST(len(r.fresh) AS INT) AS new_shapes, round(sum(coalesce(c.share, 0)) OVER (PARTITION BY r.book ORDER BY r.rank), 6) AS covered
+FROM r LEFT JOIN c USING (book, rank) WHERE rank > 0""",
     "height_percentile": f"""WITH {_PARTS}, r AS (SELECT book, CAST(y1 - y0 AS DOUBLE) AS h, row_number() OVER (PARTITION BY book ORDER BY y1 - y0) - 1 AS i, count(*) OVER (PARTITION BY book) AS n FROM p)
 SELECT book, min(h) AS percentile, round(min(h) + 0.05, 2) AS measure FROM r WHERE i = least(n - 1, CAST(floor(0.9::DOUBLE * n) AS BIGINT)) GROUP BY 1""",
     "tsv_round_trip": f"WITH {_M('e', METHODS[0])} SELECT glyphs, unicode, first_page, coalesce(first_word, '') AS first_word FROM e",
