@@ -11,6 +11,8 @@ fitting begins from rough guesses that count as a few pages seen. Labels are for
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import lru_cache
+from itertools import zip_longest
 
 import numpy as np
 import regex
@@ -27,6 +29,7 @@ _DECORATION = "-–—‐.*~_()[]|:{}<>·•"
 _STROKED = _DECORATION.replace("|", "")
 _DASH = regex.compile(r"\s[—–-]+\s")
 _CUT = regex.compile(r"[\p{L}\p{M}][-‐¬=\xad]\s*$")
+_MARKS = regex.compile(r"[,.!;?।॥]")
 _ENDED = regex.compile(r"[,.!;?।॥](?=\s|$)|॥")
 
 #: What a line's number is, what its rest is, and where it stands.
@@ -55,34 +58,44 @@ def _fit(value: str, page: int) -> int:
     return int(len(value) == len(want) and sum(x == y for x, y in zip(value, want, strict=True)) * 2 >= len(want))
 
 
-def parted(line: str, page: int | None) -> tuple[int, list[str]]:
-    """(number, rest): how well a number at an end of the line is the page's, and the other words.
+def _live(token: str) -> bool:
+    return bool(bare(token)) or "|" in token
 
-    The number may have one word before or behind it that stays with the rest.
-    """
-    tokens = [t for t in line.split() if bare(t) or "|" in t]
-    words = [bare(t) or t for t in tokens]
+
+def _number(tokens: list[str], page: int | None) -> tuple[int, int | None]:
+    """(number, place): how well one of the first two or last two tokens is the page's number, and which."""
+    there, n = [i for i in range(min(len(tokens), 4)) if _live(tokens[i])][:2], len(tokens)
+    back = [i for i in range(n - 1, max(n - 5, -1), -1) if _live(tokens[i])][:2]
+    ends = list(dict.fromkeys(x for pair in zip_longest(there, back) for x in pair if x is not None))
+    alone = len(ends) == 1 and sum(map(_live, tokens)) == 1
     best, place = NO_NUMBER, None
-    for i in dict.fromkeys((0, len(words) - 1, 1, len(words) - 2)):
-        if not 0 <= i < len(words):
-            continue
-        stroked = tokens[i].strip(_STROKED) if "|" in tokens[i] else words[i]  # a stroke may have been a one
-        values = [v for x in {words[i], stroked} if (v := _digits(x)) is not None]
+    for i in ends:
+        word = bare(tokens[i]) or tokens[i]
+        stroked = tokens[i].strip(_STROKED) if "|" in tokens[i] else word  # a stroke may have been a one
+        values = [v for x in {word, stroked} if (v := _digits(x)) is not None]
         if not values:
             continue
         fit = max(_fit(v, page) for v in values) if page is not None else 0
-        found = PAGE_NUMBER if fit == 2 else LIKE_NUMBER if fit or len(words) == 1 else NO_NUMBER
+        found = PAGE_NUMBER if fit == 2 else LIKE_NUMBER if fit or alone else NO_NUMBER
         if found > best:
             best, place = found, i
-    if best == NO_NUMBER and page is not None and words:  # a number with signs that are none of the known
-        for i in (0, len(words) - 1):
-            want = str(page)
-            if len(words[i]) != len(want) or not any(c.isdecimal() for c in words[i]):
-                continue
-            value = words[i].translate(DIGIT_LIKE)
-            if sum(x == y for x, y in zip(value, want, strict=True)) * 2 >= len(want):
+    if best == NO_NUMBER and page is not None:  # a number with signs that are none of the known
+        want = str(page)
+        for i in ends[:2]:
+            word = bare(tokens[i]) or tokens[i]
+            if len(word) == len(want) and any(c.isdecimal() for c in word) and sum(x == y for x, y in zip(word.translate(DIGIT_LIKE), want, strict=True)) * 2 >= len(want):
                 best, place = LIKE_NUMBER, i
-    return best, [w for i, w in enumerate(words) if i != place and w.strip("|")]
+    return best, place
+
+
+def parted(line: str, page: int | None) -> tuple[int, list[str]]:
+    """(number, rest): how well a number at an end of the line is the page's, and the other words.
+
+    The number may have one word before or behind it that stays with the rest.
+    """
+    tokens = line.split()
+    number, place = _number(tokens, page)
+    return number, [w for i, t in enumerate(tokens) if i != place and (w := bare(t))]
 
 
 def title_keys(line: str, page: int | None) -> list[str]:
@@ -99,19 +112,31 @@ def title_keys(line: str, page: int | None) -> list[str]:
     return [k for k in dict.fromkeys(keys) if k and not k.isdecimal()]
 
 
+@lru_cache(1 << 14)
+def _places(text: str) -> dict[str, int]:
+    """For every character a number with a bit for each place it stands at."""
+    places: dict[str, int] = {}
+    for i, c in enumerate(text):
+        places[c] = places.get(c, 0) | 1 << i
+    return places
+
+
 def distance(a: str, b: str, most: int) -> int:
-    """Edit distance, or ``most`` + 1 where it is larger."""
+    """Edit distance, or ``most`` + 1 where it is larger; a column of the table is two numbers (Myers, 1999)."""
     if abs(len(a) - len(b)) > most:
         return most + 1
-    row = np.arange(len(b) + 1)
-    letters = np.array([ord(c) for c in b])
-    step = np.arange(len(b) + 1)
-    for i, x in enumerate(a, 1):
-        new = np.concatenate([[i], np.minimum(row[1:] + 1, row[:-1] + (letters != ord(x)))])
-        row = np.minimum.accumulate(new - step) + step  # insertions run along the row
-        if row.min() > most:
-            return most + 1
-    return int(row[-1])
+    if not b:
+        return len(a)
+    places, whole, top, d = _places(b), (1 << len(b)) - 1, 1 << (len(b) - 1), len(b)
+    up, down = whole, 0  # where the column rises and falls
+    for c in a:
+        same = places.get(c, 0)
+        diagonal = (((same & up) + up) ^ up) | same | down
+        rise, fall = down | (whole & ~(diagonal | up)), up & diagonal
+        d += bool(rise & top) - bool(fall & top)
+        rise = (rise << 1 | 1) & whole
+        up, down = ((fall << 1) & whole) | (whole & ~(same | down | rise)), rise & (same | down)
+    return min(d, most + 1)
 
 
 def is_title(keys: list[str], titles: list[str]) -> bool:
@@ -125,17 +150,17 @@ def is_title(keys: list[str], titles: list[str]) -> bool:
 
 def kind_of(line: str, page: int | None, titles: list[str]) -> int:
     """The code of a line that isn't blank, but for its place."""
-    number, rest = parted(line, page)
-    words = [w for w in rest if w]
-    if not words:
+    marks, cut = len(_ENDED.findall(line)), _CUT.search(line) is not None
+    number, _ = _number(line.split(), page)
+    if cut or marks > 1:
+        return number * 4 + TEXT
+    if marks:  # a mark may be dirt
+        keys = title_keys(_MARKS.sub("", line), page)
+        return number * 4 + (TITLE if is_title(keys, titles) else TEXT)
+    if not parted(line, page)[1]:
         return number * 4 + NOTHING
     keys = title_keys(line, page)
-    if not keys and not _CUT.search(line) and sum(bool(_ENDED.search(w)) for w in line.split()) == 1:
-        keys = title_keys(regex.sub(r"[,.!;?।॥]", "", line), page)  # a mark may be dirt
-        return number * 4 + (TITLE if is_title(keys, titles) else TEXT)
-    if is_title(keys, titles):
-        return number * 4 + TITLE
-    return number * 4 + (PLAIN if keys else TEXT)
+    return number * 4 + (TITLE if is_title(keys, titles) else PLAIN if keys else TEXT)
 
 
 def codes_of(lines: list[str | None], page: int | None, titles: list[str]) -> list[int]:
