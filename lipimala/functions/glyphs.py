@@ -125,21 +125,15 @@ def readable(text: Column) -> Column:
 
 
 def edit_distance(reference: Column, found: Column) -> Column:
-    """Edit distance of two arrays with unit costs; an empty side costs the other's length."""
-    first = F.transform(F.sequence(F.lit(0), F.size(found)), lambda i: i.cast("int"))
+    """Edit distance of two arrays of texts with unit costs; an empty side costs the other's length.
 
-    def row(previous: Column, word: Column) -> Column:
-        steps = F.zip_with(F.slice(previous, 1, F.size(found)), F.slice(previous, 2, F.size(found)), lambda a, b: F.struct(a.alias("diagonal"), b.alias("up")))
-        paired = F.zip_with(steps, found, lambda s, w: F.struct(s["diagonal"].alias("diagonal"), s["up"].alias("up"), (w != word).cast("int").alias("cost")))
-
-        def cell(done: Column, x: Column) -> Column:
-            best = F.least(x["up"] + 1, F.element_at(done, -1) + 1, x["diagonal"] + x["cost"])
-            return F.concat(done, F.array(best))
-
-        return F.aggregate(paired, F.array(F.element_at(previous, 1) + 1), cell)
-
-    full = F.element_at(F.aggregate(reference, first, row), -1)
-    return F.when(F.size(found) == 0, F.size(reference)).when(F.size(reference) == 0, F.size(found)).otherwise(full)
+    Every distinct text of the two becomes one character, so that the distance of two strings does the work.
+    A null text is a text of its own; a null array has no distance.
+    """
+    plain = lambda words: F.transform(words, lambda w: F.coalesce(w, F.lit("\0")))
+    names = F.array_distinct(F.concat(plain(reference), plain(found)))
+    code = lambda w: F.decode(F.unhex(F.lpad(F.hex(F.array_position(names, w) + 0x10000), 8, "0")), "UTF-32")
+    return F.levenshtein(*(F.array_join(F.transform(plain(words), code), "") for words in (reference, found)))
 
 
 def error_rate(distance: Column, length: Column) -> Column:

@@ -65,15 +65,16 @@ def edit_distances(spark, sf_dir):
 
 
 def ground_truth(spark, sf_dir):
-    """Pages' conversions and readings against the lexicon's spelling of their words."""
-    pages = comparisons(spark, sf_dir).where("converted is not null").groupBy("book", "page").agg(*(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("wc_id", F.coalesce(c, F.lit("")).alias("t")))), lambda x: x["t"]), " ").alias(c) for c in ("converted", "ocr")))
-    truth = Q.ground_truth(pages, "converted", "converted", "ocr")
-    return truth.select("book", "page", "reference_words", "converted_word_errors", "ocr_word_errors", *(F.round(c, 6).alias(c) for c in ("ocr_wer", "ocr_cer")))
+    """Pages' conversions and readings against a proofread text: the reading where it is sure, else the conversion."""
+    rows = comparisons(spark, sf_dir).where("converted is not null").withColumn("proof", F.when(F.col("confidence") >= 80, F.coalesce("ocr", "converted")).otherwise(F.col("converted")))
+    pages = rows.groupBy("book", "page").agg(*(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("wc_id", F.coalesce(c, F.lit("")).alias("t")))), lambda x: x["t"]), " ").alias(c) for c in ("proof", "converted", "ocr")))
+    truth = Q.ground_truth(pages, "proof", "converted", "ocr")
+    return truth.select("book", "page", "reference_words", "converted_word_errors", "ocr_word_errors", *(F.round(c, 6).alias(c) for c in ("converted_wer", "converted_cer", "ocr_wer", "ocr_cer")))
 
 
 def ground_truth_total(spark, sf_dir):
     found = Q.overall(ground_truth(spark, sf_dir))
-    return found.withColumn("ocr_wer", F.round("ocr_wer", 6))
+    return found.withColumn("ocr_wer", F.round("ocr_wer", 6)).withColumn("converted_wer", F.round("converted_wer", 6))
 
 
 def output_changes(spark, sf_dir):
@@ -197,7 +198,41 @@ _GROUPED = f"""g AS (SELECT glyphs, candidate, reference, count(*) AS count, cou
 v AS (SELECT *, CASE WHEN contains(candidate, '⟦') THEN 'candidate_gap' WHEN candidate_votes > 0 AND reference_votes = 0 THEN 'old_wrong' WHEN reference_votes > 0 AND candidate_votes = 0 THEN 'new_wrong' ELSE 'human' END AS verdict FROM g)"""
 _COMP = f"{comparable_sql('ocr')} <> {comparable_sql('converted')}"
 
+
+
+def distance_sql(a: str, b: str) -> str:
+    """Edit distance of two lists of up to 127 distinct values: each becomes one byte."""
+    code = lambda x: f"array_to_string(list_transform({x}, lambda w: chr(CAST(list_position(list_distinct(list_concat({a}, {b})), w) AS INT))), '')"
+    return f"levenshtein({code(a)}, {code(b)})"
+
+
+def words_sql(text: str) -> str:
+    from lipimala.plans.text_queries import comparable_sql
+
+    return f"list_filter(string_split_regex({comparable_sql(text)}, '[\\s\\p{{Z}}\\x{{85}}]+'), lambda w: w <> '')"
+
+
+def letters_sql(text: str) -> str:
+    return f"list_filter(string_split_regex({text}, ''), lambda w: w <> '')"
+
+
+_COMPARED = "s AS (SELECT wc_id, any_value(book) AS book, any_value(page) AS page, any_value(converted) AS converted, any_value(ocr) AS ocr, any_value(confidence) AS confidence FROM word_comparisons GROUP BY 1)"
+_TRUTH = f"""WITH {_COMPARED}, t AS (SELECT book, page, string_agg(coalesce(CASE WHEN confidence >= 80 THEN coalesce(ocr, converted) ELSE converted END, ''), ' ' ORDER BY wc_id) AS proof,
+  string_agg(converted, ' ' ORDER BY wc_id) AS converted, string_agg(coalesce(ocr, ''), ' ' ORDER BY wc_id) AS ocr FROM s WHERE converted IS NOT NULL GROUP BY 1, 2),
+w AS (SELECT book, page, {words_sql('proof')} AS r, {words_sql('converted')} AS c, {words_sql('ocr')} AS o FROM t),
+l AS (SELECT *, {letters_sql("array_to_string(r, ' ')")} AS rl, {letters_sql("array_to_string(c, ' ')")} AS cl, {letters_sql("array_to_string(o, ' ')")} AS ol FROM w),
+e AS (SELECT book, page, CAST(len(r) AS INT) AS reference_words, CAST({distance_sql('r', 'c')} AS INT) AS converted_word_errors, CAST({distance_sql('r', 'o')} AS INT) AS ocr_word_errors,
+  {distance_sql('rl', 'cl')} / greatest(1, len(rl)) AS converted_cer, {distance_sql('rl', 'ol')} / greatest(1, len(rl)) AS ocr_cer FROM l)
+"""
+
 ORACLE = {
+    "ground_truth": _TRUTH + """SELECT book, page, reference_words, converted_word_errors, ocr_word_errors, round(coalesce(converted_word_errors / nullif(reference_words, 0), 0), 6) AS converted_wer,
+  round(coalesce(ocr_word_errors / nullif(reference_words, 0), 0), 6) AS ocr_wer, round(converted_cer, 6) AS converted_cer, round(ocr_cer, 6) AS ocr_cer FROM e""",
+    "ground_truth_total": _TRUTH + """, x AS (SELECT CAST(sum(reference_words) AS BIGINT) AS reference_words, CAST(sum(converted_word_errors) AS BIGINT) AS converted_word_errors, CAST(sum(ocr_word_errors) AS BIGINT) AS ocr_word_errors FROM e)
+SELECT *, round(converted_word_errors / reference_words, 6) AS converted_wer, round(ocr_word_errors / reference_words, 6) AS ocr_wer FROM x""",
+    "edit_distances": f"""WITH {_COMPARED}, x AS (SELECT wc_id, {letters_sql('converted')} AS a, {letters_sql('ocr')} AS b, string_split_regex(regexp_replace(converted, '([ -])', '\\1' || chr(1), 'g'), chr(1)) AS c,
+  string_split_regex(regexp_replace(ocr, '([ -])', '\\1' || chr(1), 'g'), chr(1)) AS d FROM s WHERE ocr IS NOT NULL AND converted IS NOT NULL)
+SELECT wc_id, CAST({distance_sql('a', 'b')} AS INT) AS characters, true AS agrees, CAST({distance_sql("list_filter(c, lambda w: w <> '' OR len(c) = 1)", "list_filter(d, lambda w: w <> '' OR len(d) = 1)")} AS INT) AS words FROM x""",
     "spatial_best_match": _PAIRS + "SELECT wc_id, ocr_no, round(overlap, 6) AS overlap FROM best WHERE k = 1 AND overlap >= 0.3",
     "spatial_compare": _PAIRS + "SELECT book, count(*) AS words, count(m.ocr_no) AS matched FROM s LEFT JOIN (SELECT wc_id, ocr_no FROM best WHERE k = 1 AND overlap >= 0.3) m USING (wc_id) GROUP BY 1",
     "learning_observations": _PAIRS + "SELECT wc_id, ocr AS ocr_text FROM best WHERE k = 1 AND overlap >= 0.5 AND regexp_full_match(ocr, '[ఀ-౿.,;:!?()''\"-]+')",

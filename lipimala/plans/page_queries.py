@@ -13,6 +13,7 @@ from lipimala.functions.glyphs import characters
 from lipimala.operators import segment as S
 from lipimala.operators import transcode as TR
 from lipimala.operators.quality import page_changes
+from lipimala.plans.measure_queries import distance_sql, letters_sql, words_sql
 from lipimala.plans.text_queries import EVENTS_SQL, MAP_SQL, METHODS, _RAW, complete_sql, events, mapping_of
 from lipimala.runtime import table
 from lipimala.sources import pages
@@ -122,6 +123,10 @@ seg AS (SELECT page, row, nth, t, i, u FROM tok LEFT JOIN m ON t = k),
 x AS (SELECT page, row, nth, replace({_RAW}, chr(2), '') AS r FROM seg GROUP BY 1, 2, 3),
 l AS (SELECT q.page, q.row, string_agg(CASE WHEN legacy THEN coalesce({complete_sql('x.r')}, '') ELSE shown END, ' ' ORDER BY nth) AS text FROM q LEFT JOIN x USING (page, row, nth) GROUP BY 1, 2)
 SELECT page, string_agg(text, chr(10) ORDER BY row) AS text FROM l GROUP BY 1""",
+    "output_diff": f"""WITH s AS (SELECT wc_id, any_value(book) AS book, any_value(page) AS page, any_value(converted) AS converted, any_value(ocr) AS ocr FROM word_comparisons GROUP BY 1),
+t AS (SELECT book, page, string_agg(converted, ' ' ORDER BY wc_id) AS a, string_agg(coalesce(ocr, ''), ' ' ORDER BY wc_id) AS b FROM s WHERE converted IS NOT NULL GROUP BY 1, 2),
+w AS (SELECT book, page, {words_sql('a')} AS a, {words_sql('b')} AS b FROM t), l AS (SELECT *, {letters_sql("array_to_string(a, '')")} AS al, {letters_sql("array_to_string(b, '')")} AS bl FROM w)
+SELECT book, page, CAST(len(a) AS INT) AS before_words, round(coalesce({distance_sql('a', 'b')} / nullif(len(a), 0), 0), 6) AS word_error_rate, round(coalesce({distance_sql('al', 'bl')} / nullif(len(al), 0), 0), 6) AS character_error_rate FROM l""",
     "page_fonts_used": """WITH p AS (SELECT count(DISTINCT (book, page_number)) AS n FROM learn_events WHERE glyphs <> '')
 SELECT family, n AS entries, xref FROM p, (VALUES ('Old', 1), ('Drawn', 2), ('Plain', 3)) f(family, xref) WHERE n > 0""",
     "canonical_glyphs": f"""WITH t(byte, c) AS (VALUES {', '.join(f'({b}, {_quoted(bytes([b]).decode("mac_roman"))})' for b in range(1, 256))}),
