@@ -107,12 +107,24 @@ def recipe_expand(spark, sf_dir):
     return R.expand(*_recipe_tables(spark, sf_dir))
 
 
+#: Names and recipes that break every rule once, and recipes that others make needless.
+_BAD_NAMES = [("§1", "twice", "క"), ("§1", "again", "ఖ"), ("§2", "several", "గ"), ("§3", "several", "ఘ"), *((f"¶{i}", "many", "చ") for i in range(9))]
+_BAD_RECIPES = [("r1", ["twice"], "ట"), ("r2", ["twice", "nobody"], "ఠ"), ("r3", ["many", "many"], "డ"), ("r4", ["twice", "again"], "త"), ("r5", ["twice", "again"], "థ")]
+_NEEDLESS = [("n1", ["one", "two"], "పబ"), ("n2", ["three", "four"], "మ")]
+
+
 def recipe_violations(spark, sf_dir):
-    return R.violations(*_recipe_tables(spark, sf_dir))
+    """What forbids compiling the mapping's names and recipes together with some that break the rules."""
+    names, recipes = _recipe_tables(spark, sf_dir)
+    names = names.unionByName(spark.createDataFrame(_BAD_NAMES, "glyph string, name string, unicode string"))
+    return R.violations(names, recipes.unionByName(spark.createDataFrame(_BAD_RECIPES, "recipe string, names array<string>, unicode string")))
 
 
 def recipe_redundant(spark, sf_dir):
-    return R.redundant(*_recipe_tables(spark, sf_dir))
+    """Recipes of the mapping, and of two more, that the other entries make needless: the first of the two is."""
+    names, recipes = _recipe_tables(spark, sf_dir)
+    names = names.unionByName(spark.createDataFrame([("\ue001", "one", "ప"), ("\ue002", "two", "బ"), ("\ue003", "three", "గ"), ("\ue004", "four", "జ")], "glyph string, name string, unicode string"))
+    return R.redundant(names, recipes.unionByName(spark.createDataFrame(_NEEDLESS, "recipe string, names array<string>, unicode string")))
 
 
 # --- page layout -------------------------------------------------------------------------------------
@@ -293,6 +305,14 @@ c AS (SELECT glyphs, unicode, unnest(range(1, length(glyphs) + 1)) AS i FROM e W
 r AS (SELECT glyphs, unicode FROM d GROUP BY 1, 2 HAVING count(*) = length(glyphs) AND product(k) <= 64),
 x AS (SELECT glyphs, unicode, 0 AS i, '' AS s FROM r UNION ALL SELECT x.glyphs, x.unicode, x.i + 1, x.s || n.g FROM x JOIN d ON d.glyphs = x.glyphs AND d.i = x.i + 1 JOIN n ON n.name = d.name)
 SELECT glyphs AS recipe, s AS glyphs, unicode FROM x WHERE i = length(glyphs)""",
+    "recipe_violations": f"""WITH {_M('e', METHODS[0])}, n(glyph, name, unicode) AS (SELECT DISTINCT glyphs, unicode, unicode FROM e WHERE length(glyphs) = 1 AND unicode <> ''
+  UNION ALL SELECT * FROM (VALUES {', '.join(f"('{a}', '{b}', '{c}')" for a, b, c in _BAD_NAMES)})), k AS (SELECT name, count(*) AS k FROM n GROUP BY 1),
+r(recipe, names, unicode) AS (VALUES {', '.join(f"('{a}', {b}, '{c}')" for a, b, c in _BAD_RECIPES)}),
+s AS (SELECT recipe, array_to_string(names, ' ') AS what, len(names) AS n, unnest(names) AS name FROM r), g AS (SELECT recipe, what, n, count(k) AS known, product(coalesce(k, 1)) AS size FROM s LEFT JOIN k USING (name) GROUP BY 1, 2, 3),
+x AS (SELECT glyph AS key, unicode FROM n UNION SELECT a.glyph || b.glyph, r.unicode FROM r JOIN g USING (recipe) JOIN n a ON a.name = names[1] JOIN n b ON b.name = names[2] WHERE n = 2 AND known = 2 AND size <= 64)
+SELECT 'glyph listed twice' AS kind, glyph AS what FROM n GROUP BY 2 HAVING count(*) > 1 UNION ALL SELECT 'name with several texts', name FROM n GROUP BY 2 HAVING count(DISTINCT unicode) > 1
+UNION ALL SELECT 'recipe of one name', what FROM g WHERE n < 2 UNION ALL SELECT 'recipe of unknown names', what FROM g WHERE known < n
+UNION ALL SELECT 'recipe of too many variants', what FROM g WHERE known = n AND size > 64 UNION ALL SELECT 'key with two texts', key FROM x GROUP BY 2 HAVING count(*) > 1""",
     "body_heights": f"WITH {_PARTS} SELECT book, page, median(y1 - y0) AS body FROM p GROUP BY 1, 2",
     "text_area": f"""WITH {_PARTS}, b AS (SELECT book, page, median(y1 - y0) AS body FROM p GROUP BY 1, 2), q AS (SELECT p.*, x1 - x0 > 8.0 * body AS rule FROM p JOIN b USING (book, page)),
 w AS (SELECT *, coalesce(max(y1) FILTER (rule AND y0 < 0.15 * 800) OVER k, 0) AS t, coalesce(min(y0) FILTER (rule AND y1 > 0.85 * 800) OVER k, 800) AS l FROM q WINDOW k AS (PARTITION BY book, page))

@@ -284,6 +284,10 @@ _SEG_SQL = _SEGMENTS + f""" SELECT ev.event_id, coalesce(replace(r, chr(2), ''),
 _NAMES_SQL = "nm AS (SELECT shape_id, min(proposal) AS unicode FROM atlas_rows WHERE proposal <> '' GROUP BY 1), oc AS (SELECT DISTINCT book, page, line, word, position, shape_id FROM occurrences WHERE shape_id IS NOT NULL)"
 
 ORACLE = {
+    # of the lexicon's letters canonical decomposition parts one only; the lookahead is a class without ర
+    "script_orders": rf"""WITH a AS (SELECT word_id, unnest([word, replace(word, chr(3144), chr(3142) || chr(3158))]) AS v FROM lexicon),
+b AS (SELECT * FROM a UNION ALL SELECT word_id, regexp_replace(v, '({C}(?:{V}[క-యఱ-హౘ-ౚ])*)({V}ర)', '{T.HOLDER}\2\1', 'g') FROM a),
+c AS (SELECT * FROM b UNION ALL SELECT word_id, regexp_replace(v, '({SUBS})({SIGN})', '\2\1', 'g') FROM b) SELECT DISTINCT word_id, v AS variant FROM c""",
     "script_normalise": f"SELECT DISTINCT word_id, {finish_sql(_DRAWN_SQL.format('word'))} AS normalised, {complete_sql(_DRAWN_SQL.format('word'))} AS finished FROM lexicon",
     "script_comparable": f"SELECT DISTINCT wc_id, {comparable_sql('converted')} AS comparable, {visible_sql('converted')} AS marked FROM word_comparisons",
     "script_denormalise": rf"SELECT word_id, regexp_replace(word, '({SUBS})({SIGN})', '\2\1', 'g') AS drawn FROM lexicon",
