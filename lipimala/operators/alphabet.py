@@ -85,6 +85,16 @@ def glyph_stats(words: DataFrame, by: list[str], glyphs: str = "glyphs", order:
     return counts.join(lists, [*by, "glyph"])
 
 
+def unit_examples(words: DataFrame, by: list[str], units: str = "units", order: str = "seq", examples: int = EXAMPLES) -> DataFrame:
+    """(``by``, glyph, units): the units of several glyphs that a glyph is in most often, the shorter and then the
+    first seen among equals. A glyph counts once in a unit; null units have none."""
+    each = words.select(*by, order, F.posexplode(units).alias("at", "unit")).where(F.length("unit") > 1)
+    counted = each.groupBy(*by, "unit").agg(F.count("*").alias("n"), F.min(F.struct(order, "at")).alias("first"))
+    spread = counted.withColumn("glyph", F.explode(F.array_distinct(characters(F.col("unit")))))
+    best = top_k(spread, [*by, "glyph"], [F.desc("n"), F.length("unit"), F.col("first")], examples)
+    return best.groupBy(*by, "glyph").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "unit"))), lambda x: x["unit"]).alias("units"))
+
+
 def zero_width(glyphs: DataFrame, by: list[str], width: str = "width") -> DataFrame:
     """(``by``, glyph, count, zero, zero_width): narrow in more than half of all cases."""
     narrow = F.count_if(F.col(width) < ZERO_WIDTH)

@@ -136,12 +136,20 @@ def grouped_occurrences(classified: DataFrame, examples: int = 4) -> DataFrame:
 
 
 def apply_suspicions(entries: DataFrame, suspicions: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(entries, changes): accepted suggestions (glyphs, suggested, status) replace texts; changes lists
-    (glyphs, before, after) of entries that differ now."""
-    wanted = suspicions.where("status = 'accepted'").groupBy("glyphs").agg(F.max("suggested").alias("suggested"))
-    joined = entries.join(wanted, "glyphs", "left")
-    changes = joined.where("suggested is not null and suggested <> unicode").select("glyphs", F.col("unicode").alias("before"), F.col("suggested").alias("after"))
-    return joined.withColumn("unicode", F.coalesce("suggested", "unicode")).drop("suggested"), changes
+    """(entries, changes): accepted suggestions (glyphs, suggested, status and, where known, page and word) that are
+    not empty replace texts or become entries; of several for one key the last in ``ordinal``, or else the greatest,
+    holds. changes lists (glyphs, before, after) of entries that differ now, before being empty for new ones."""
+    there = suspicions.columns
+    last = F.col("ordinal") if "ordinal" in there else F.col("suggested")
+    page = (F.col("page") if "page" in there else F.lit(None)).cast("int").alias("page")
+    word = (F.col("word") if "word" in there else F.lit("")).alias("word")
+    wanted = suspicions.where("status = 'accepted' and suggested <> ''").groupBy("glyphs").agg(F.max_by(F.struct("suggested", page, word), last).alias("new"))
+    joined = entries.join(wanted, "glyphs", "full")
+    differs = F.col("new").isNotNull() & ~F.col("unicode").eqNullSafe(F.col("new.suggested"))
+    changes = joined.where(differs).select("glyphs", F.coalesce("unicode", F.lit("")).alias("before"), F.col("new.suggested").alias("after"))
+    put = {"unicode": "suggested", "first_page": "page", "first_word": "word"}
+    done = joined.select("glyphs", *((F.when(differs, F.col(f"new.{put[c]}")).otherwise(F.col(c)) if c in put else F.col(c)).alias(c) for c in entries.columns if c != "glyphs"))
+    return done.select(*entries.columns), changes
 
 
 def words_with_key(words: DataFrame, entries: DataFrame, keys: DataFrame) -> DataFrame:

@@ -215,3 +215,26 @@ def rank_pages(occurrences: DataFrame, book: list[str], page: str = "page") -> D
         return result[[*book, page, "rank", "shapes", "new_shapes", "covered"]]
 
     return pairs.groupBy(*book).applyInPandas(run, f"{schema}, rank int, shapes int, new_shapes int, covered double")
+
+
+def same_shapes(shapes: DataFrame, crops: DataFrame, excluded: DataFrame | None = None, *, share: float = 0.5) -> DataFrame:
+    """(shape_id, same array<bigint>): shapes that may be the same letter, the nearest first.
+
+    Of the ``WIDE`` nearest within ``WIDE_STRAY`` those are kept from which at least ``share`` of the shape's crops
+    (shape_id, canvas) differ by no thick blob. Shapes of ``excluded`` (shape_id) are suggested to none; a shape
+    without crops has no suggestion.
+    """
+    offered = shapes if excluded is None else shapes.join(pick(excluded, "shape_id").distinct(), "shape_id", "left_anti")
+    near = gated_neighbours(shapes, offered, k=WIDE, distance=WIDE_STRAY)
+    left = crops.where(F.length("canvas") == CANVAS[0] * CANVAS[1] // 8).select("shape_id", F.col("canvas").alias("c1"))
+    right = offered.where(F.length("canvas") == CANVAS[0] * CANVAS[1] // 8).select(F.col("shape_id").alias("other"), F.col("canvas").alias("c2"))
+    pairs = near.join(left, "shape_id").join(right, "other").select("shape_id", "other", "rank", "c1", "c2")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            passes = [thick_blob(unpacked(a, CANVAS), unpacked(b, CANVAS)) <= THICK_BLOB for a, b in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(passes, pa.bool_())], names=["shape_id", "other", "rank", "passes"])
+
+    tested = pairs.mapInArrow(run, "shape_id bigint, other bigint, rank int, passes boolean")
+    kept = tested.groupBy("shape_id", "other", "rank").agg(F.avg(F.col("passes").cast("double")).alias("share")).where(F.col("share") >= share)
+    return kept.groupBy("shape_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "other"))), lambda x: x["other"]).alias("same"))

@@ -188,6 +188,12 @@ def flagged_shapes(spark, sf_dir):
     return SI.flagged(_checked(spark, sf_dir)[0])
 
 
+def same_shapes(spark, sf_dir):
+    """Like shapes of every shape, whose own canvas is the one crop; ids on the exclusion list are suggested to none."""
+    shapes = _shapes(spark, sf_dir)
+    return SI.same_shapes(shapes, shapes, shapes.where("holes is null or shape_id % 50 = 0")).select("shape_id", F.array_join("same", " ").alias("same"))
+
+
 def leader_clusters(spark, sf_dir):
     return SI.lead_clusters(_shapes(spark, sf_dir).select("shape_id", "band", "holes", "grid", "canvas", "height", "aspect"), ["shape_id"], "shape_id")
 
@@ -276,7 +282,7 @@ QUERIES = {
     for f in (
         learn_accepted, learn_pending, vote_accept, word_status, word_groups, page_progress, unseen_pages, suspicion_changes, words_with_key, confirmations,
         recipe_expand, recipe_violations, recipe_redundant, body_heights, text_area, page_layout, gated_neighbours, shape_matches, verdict_census, rival_pairs, flagged_shapes,
-        leader_clusters, keep_assignments, page_ranking, height_percentile, ink_extents, glyph_assignment, tsv_round_trip, ocr_cache, ocr_clean, run_manifest, stream_shape_counts,
+        same_shapes, leader_clusters, keep_assignments, page_ranking, height_percentile, ink_extents, glyph_assignment, tsv_round_trip, ocr_cache, ocr_clean, run_manifest, stream_shape_counts,
     )
 }
 
@@ -298,7 +304,7 @@ pat2 AS (SELECT '(?s)' || string_agg(regexp_escape(k), '|' ORDER BY length(k) DE
 tok2 AS (SELECT book, page, unnest(regexp_extract_all(glyphs, (SELECT p FROM pat2))) AS t FROM ev), b AS (SELECT book, page, coalesce(sum(CASE WHEN u IS NULL THEN length(t) END), 0) AS unmapped_after FROM tok2 LEFT JOIN m2 ON t = k GROUP BY 1, 2)
 SELECT a.book, a.page, CAST(glyphs AS BIGINT) AS glyphs, CAST(unmapped_before AS BIGINT) AS unmapped_before, CAST(coalesce(unmapped_after, 0) AS BIGINT) AS unmapped_after FROM a LEFT JOIN b ON a.book = b.book AND a.page = b.page""",
     "unseen_pages": "SELECT DISTINCT book, page FROM scan_pages p WHERE NOT EXISTS (SELECT 1 FROM ocr_words o WHERE o.book = p.book AND o.page = p.page)",
-    "suspicion_changes": f"WITH {_M('a', METHODS[0])}, {_M('b', METHODS[1])} SELECT a.glyphs, a.unicode AS before, b.unicode AS after FROM a JOIN b ON a.glyphs = b.glyphs WHERE a.unicode <> b.unicode",
+    "suspicion_changes": f"WITH {_M('a', METHODS[0])}, {_M('b', METHODS[1])} SELECT b.glyphs, coalesce(a.unicode, '') AS before, b.unicode AS after FROM (SELECT glyphs, max(unicode) AS unicode FROM b WHERE unicode <> '' GROUP BY 1) b LEFT JOIN a ON a.glyphs = b.glyphs WHERE a.unicode IS NULL OR a.unicode <> b.unicode",
     "words_with_key": _FULL + f" SELECT DISTINCT event_id AS seq FROM seg WHERE t IN (SELECT glyphs FROM mapping_entries WHERE method = '{METHODS[2]}')",
     "recipe_expand": f"""WITH RECURSIVE {_M('e', METHODS[0])}, n AS (SELECT glyphs AS g, unicode AS name FROM e WHERE length(glyphs) = 1 AND unicode <> ''), k AS (SELECT name, count(*) AS k FROM n GROUP BY 1),
 c AS (SELECT glyphs, unicode, unnest(range(1, length(glyphs) + 1)) AS i FROM e WHERE length(glyphs) > 1), d AS (SELECT c.glyphs, c.unicode, i, n.name, k FROM c JOIN n ON n.g = c.glyphs[i] JOIN k USING (name)),

@@ -148,6 +148,12 @@ def glyph_statistics(spark, sf_dir):
     return A.glyph_stats(words, ["book"], examples=3).select("book", "glyph", "count", F.array_join("words", " ").alias("words"))
 
 
+def glyph_units(spark, sf_dir):
+    """Units of a glyph, where two glyphs of a word that follow each other are a unit."""
+    words = events(spark, sf_dir).select("book", F.regexp_extract_all("glyphs", F.lit("(?s)..?"), F.lit(0)).alias("units"), F.col("event_id").alias("seq"))
+    return A.unit_examples(words, ["book"], examples=3).select("book", "glyph", F.array_join("units", " ").alias("units"))
+
+
 def zero_width_glyphs(spark, sf_dir):
     rows = occurrences(spark, sf_dir).select("book", F.col("shape_id").alias("glyph"), (F.col("bbox.x1") - F.col("bbox.x0") - 30).cast("double").alias("width"))
     return A.zero_width(rows, ["book"])
@@ -168,7 +174,7 @@ QUERIES = {
     for f in (
         spatial_best_match, spatial_compare, learning_observations, quality_by_page, confusions, edit_distances, ground_truth, ground_truth_total, output_changes,
         mapping_diff, mapping_verdicts, entry_conflicts, glyph_names, shape_ranking, alphabet_stats, alphabet_growth, systematic_sample, member_sample, majority_reading,
-        glyph_statistics, zero_width_glyphs, atlas,
+        glyph_statistics, glyph_units, zero_width_glyphs, atlas,
     )
 }
 
@@ -266,6 +272,9 @@ SELECT e.glyphs, coalesce(r.ocr_text, '') AS proposal, coalesce(r.votes, 0) AS v
 c AS (SELECT book, glyphs, n, f, unnest(regexp_extract_all(glyphs, '(?s).')) AS glyph FROM w), g AS (SELECT book, glyph, glyphs, n, f, count(*) * any_value(n) AS cnt FROM c GROUP BY book, glyph, glyphs, n, f),
 r AS (SELECT *, row_number() OVER (PARTITION BY book, glyph ORDER BY n DESC, length(glyphs), f) AS k FROM g)
 SELECT book, glyph, CAST(sum(cnt) AS BIGINT) AS count, string_agg(glyphs, ' ' ORDER BY k) FILTER (k <= 3) AS words FROM r GROUP BY 1, 2""",
+    "glyph_units": f"""WITH {EVENTS_SQL}, u AS (SELECT book, event_id, unnest(regexp_extract_all(glyphs, '(?s)..?')) AS unit, generate_subscripts(regexp_extract_all(glyphs, '(?s)..?'), 1) AS nth FROM ev),
+c AS (SELECT book, unit, count(*) AS n, min(event_id * 100000 + nth) AS f FROM u WHERE length(unit) > 1 GROUP BY 1, 2), d AS (SELECT DISTINCT book, unit, n, f, unnest(regexp_extract_all(unit, '(?s).')) AS glyph FROM c),
+r AS (SELECT *, row_number() OVER (PARTITION BY book, glyph ORDER BY n DESC, length(unit), f) AS k FROM d) SELECT book, glyph, string_agg(unit, ' ' ORDER BY k) AS units FROM r WHERE k <= 3 GROUP BY 1, 2""",
     "zero_width_glyphs": f"WITH {_OCC} SELECT book, shape_id AS glyph, count(*) AS count, count(*) FILTER (bbox.x1 - bbox.x0 - 30 < 0.5) AS zero, 2 * count(*) FILTER (bbox.x1 - bbox.x0 - 30 < 0.5) > count(*) AS zero_width FROM o GROUP BY 1, 2",
     "atlas": f"""WITH {_OCC}, ex AS (SELECT DISTINCT shape_id FROM shape_catalog WHERE grid IS NULL), c AS (SELECT book, shape_id, count(*) AS count, arg_max_null(band, page::BIGINT * 1000000000 + line * 1000000 + word * 1000 + position) AS band
   FROM o WHERE shape_id IS NOT NULL AND shape_id NOT IN (SELECT shape_id FROM ex) GROUP BY 1, 2),

@@ -87,6 +87,22 @@ def load_excluded(spark: SparkSession, path: str) -> DataFrame:
     return read_tsv(spark, path, schemas.EXCLUDED).select("shape_id").distinct()
 
 
+def load_suspicions(spark: SparkSession, path: str) -> DataFrame:
+    """Suspicions in the file's order; a page that is no number is null."""
+    return read_tsv(spark, path, schemas.SUSPICIONS)
+
+
+def load_progress(spark: SparkSession, path: str) -> DataFrame:
+    """Pages already learned from, each once: the first column of a progress file."""
+    return read_tsv(spark, path, schemas.PROGRESS).where("page is not null").dropDuplicates(["page"]).drop("ordinal")
+
+
+def save_unmapped(report: DataFrame, path: str) -> None:
+    """A report (glyphs, count) as ``unmapped`` and ``count``, most frequent first."""
+    rows = report.select(F.col("glyphs").alias("unmapped"), "count").withColumn("_down", -F.col("count"))
+    write_tsv(rows, path, ["unmapped", "count"], ["_down", "unmapped"])
+
+
 def load_type1_codes(spark: SparkSession, path: str) -> DataFrame:
     """(char, code): the confirmed byte, else the found one, both in hex; rows with neither are left out."""
     rows = read_tsv(spark, path, schemas.TYPE1_LAYOUT)

@@ -288,6 +288,31 @@ def test_a_line_like_the_header_further_down_is_data(spark, tmp_path):
     assert got == [("1", "x", 0), ("a", "b", 1), ("2", "", 2)]
 
 
+def test_suspicions_progress_and_unmapped(spark, tmp_path):
+    path = tmp_path / "s.tsv"
+    path.write_text("glyphs\tsuggested\tstatus\treason\tpage\tword\na\tఖ\taccepted\tr\t7\tw\na\tగ\taccepted\tr\t8\tv\nn\tమ\taccepted\t\t\t\nb\t\taccepted\t\tx\t\nc\tట\trejected\t\t1\t\n", encoding="utf-8")
+    entries, changes = L.apply_suspicions(_entries(spark, {"a": "క", "b": "ఘ", "c": "డ"}), tsv.load_suspicions(spark, str(path)))
+    assert {(r.glyphs, r.unicode, r.first_page, r.first_word) for r in entries.collect()} == {("a", "గ", 8, "v"), ("n", "మ", None, ""), ("b", "ఘ", None, ""), ("c", "డ", None, "")}
+    assert {tuple(r) for r in changes.collect()} == {("a", "క", "గ"), ("n", "", "మ")}
+    done = tmp_path / "p.tsv"
+    done.write_text("page\tglyphs\n3\t10\n3\t12\nx\t1\n5\t2\n", encoding="utf-8")
+    assert sorted(r.page for r in tsv.load_progress(spark, str(done)).collect()) == [3, 5]
+    tsv.save_unmapped(spark.createDataFrame([("x", 1), ("y", 5)], "glyphs string, count bigint"), str(tmp_path / "u.tsv"))
+    assert [r.value for r in spark.read.text(str(tmp_path / "u.tsv")).collect()] == ["unmapped\tcount", "y\t5", "x\t1"]
+
+
+def test_like_shapes_need_half_of_the_crops(spark):
+    rng = np.random.default_rng(8)
+    form = np.kron(rng.random((8, 8)) < 0.5, np.ones((6, 6), bool))
+    other = form.copy()
+    other[20:30, 20:30] ^= True
+    row = lambda i, f: (i, bytearray(B.packed(f)), bytearray(B.packed(B.to_canvas(f, 48))), 1.0, 1.0, "main", 1)
+    shapes = spark.createDataFrame([row(1, form), row(2, np.roll(form, 1, 0)), row(3, other)], "shape_id bigint, grid binary, canvas binary, height double, aspect double, band string, holes int")
+    crops = spark.createDataFrame([(1, row(1, form)[2]), (1, row(3, other)[2]), (2, row(3, other)[2])], "shape_id bigint, canvas binary")
+    assert {(r.shape_id, tuple(r.same)) for r in SI.same_shapes(shapes, crops).collect()} == {(1, (2, 3)), (2, (3,))}
+    assert {(r.shape_id, tuple(r.same)) for r in SI.same_shapes(shapes, crops, spark.createDataFrame([(3,)], "shape_id bigint")).collect()} == {(1, (2,))}
+
+
 def test_ocr_cache_numbers_words_by_page(spark, tmp_path):
     for page in (3, 12):
         (tmp_path / f"page-{page:03d}.json").write_text('[{"text": "a", "confidence": 9.5, "bbox": [1, 2, 3, 4]}, {"text": "b"}]', encoding="utf-8")
