@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-import hashlib
+import re
 from datetime import datetime, timezone
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lipimala.sources import schemas
 
+# Fixed value: the form of a run's stamp.
 STAMP = "%Y%m%dT%H%M%SZ"
 
 
@@ -43,47 +43,58 @@ def append_run(spark: SparkSession, path: str, run: dict) -> None:
     spark.createDataFrame([run], schemas.RUNS).write.mode("append").parquet(path)
 
 
-def archive(path: str, folder: str, moment: str) -> Path | None:
-    """Moves a final output aside under its stamp before it is written anew; nothing if there is none."""
-    source = Path(path)
-    if not source.exists():
+def _place(spark: SparkSession, path: str):
+    """(file system, path) of any file system that the session knows; nothing is done on the driver's disk alone."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()), target
+
+
+def _child(spark: SparkSession, folder: str, name: str):
+    return spark._jvm.org.apache.hadoop.fs.Path(folder, name)
+
+
+def archive(spark: SparkSession, path: str, folder: str, moment: str) -> str | None:
+    """Moves a final output aside under its stamp before it is written anew; its new path, null if there was none."""
+    files, source = _place(spark, path)
+    if not files.exists(source):
         return None
-    target = Path(folder, f"{source.stem}-{moment}{source.suffix}")
-    target.parent.mkdir(parents=True, exist_ok=True)
-    return source.rename(target)
+    name, dot, ending = source.getName().rpartition(".")
+    target = _child(spark, folder, f"{name}-{moment}.{ending}" if dot else f"{ending}-{moment}")
+    files.mkdirs(target.getParent())
+    if not files.rename(source, target):
+        raise OSError(f"{path} could not be moved to {target}")
+    return target.toString()
 
 
-def source_changed(path: str, known_sha256: str | None) -> bool:
-    digest = hashlib.sha256()
-    with open(path, "rb") as f:
-        while chunk := f.read(1 << 20):
-            digest.update(chunk)
-    return known_sha256 is not None and digest.hexdigest() != known_sha256
+def source_changed(spark: SparkSession, path: str, known_sha256: str | None) -> bool:
+    """Whether a file is no longer the one of the known digest; hashed where it is read."""
+    return known_sha256 is not None and sha256_files(spark, path).first()["sha256"] != known_sha256
 
 
-def clean(folder: str) -> int:
+def clean(spark: SparkSession, folder: str) -> int:
     """Removes a folder of intermediate files; returns how many went."""
-    gone = 0
-    for path in sorted(Path(folder).rglob("*"), key=lambda p: -len(p.parts)):
-        if path.is_dir():
-            path.rmdir()
-        else:
-            path.unlink()
-            gone += 1
-    return gone
-
-
-def approve(batch: str, verified: str, archive_folder: str) -> list[str]:
-    """Copies a batch's pages to zero-padded verified files and moves the batch to the archive."""
-    Path(verified).mkdir(parents=True, exist_ok=True)
+    files, target = _place(spark, folder)
+    if not files.exists(target):
+        return 0
+    count = files.getContentSummary(target).getFileCount()
+    files.delete(target, True)
+    return int(count)
+
+
+def approve(spark: SparkSession, batch: str, verified: str, archive_folder: str) -> list[str]:
+    """Puts a reviewed batch's pages among the verified ones, numbered with three digits, and the batch into the archive."""
+    files, source = _place(spark, batch)
+    found = files.globStatus(_child(spark, batch, "page-*.txt")) or []
+    pages = {status.getPath().getName(): status.getPath() for status in found}
+    util, conf = spark._jvm.org.apache.hadoop.fs.FileUtil, spark._jsc.hadoopConfiguration()
     done = []
-    for page in sorted(Path(batch).glob("page-*.txt")):
-        number = int("".join(c for c in page.stem.split(".")[0] if c.isdigit()))
-        target = Path(verified, f"page-{number:03d}.unicode.txt")
-        target.write_bytes(page.read_bytes())
-        done.append(target.name)
-    Path(archive_folder).mkdir(parents=True, exist_ok=True)
-    Path(batch).rename(Path(archive_folder, Path(batch).name))
+    for name in sorted(pages):
+        target = _child(spark, verified, f"page-{int(re.search('[0-9]+', name)[0]):03d}.unicode.txt")
+        files.mkdirs(target.getParent())
+        util.copy(files, pages[name], files, target, False, True, conf)
+        done.append(target.getName())
+    files.mkdirs(_place(spark, archive_folder)[1])
+    files.rename(source, _child(spark, archive_folder, source.getName()))
     return done
 
 

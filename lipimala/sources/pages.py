@@ -98,14 +98,20 @@ def load_catalog(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path).withColumn("frozen", F.lit(True)).withColumn("count", F.lit(0).cast("bigint"))
 
 
-def books(root: str) -> list[str]:
+def _listed(spark: SparkSession, pattern: str) -> list[str]:
+    """Paths that fit a pattern, on any file system the session knows."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(pattern)
+    return sorted(s.getPath().toString() for s in target.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(target) or [])
+
+
+def books(spark: SparkSession, root: str) -> list[str]:
     """Names of the folders under ``root`` that have an ``input`` folder."""
-    return sorted(p.name for p in Path(root).iterdir() if (p / "input").is_dir())
+    return [path.rsplit("/", 2)[-2] for path in _listed(spark, f"{root}/*/input")]
 
 
-def input_file(book: str) -> Path:
+def input_file(spark: SparkSession, book: str) -> str:
     """A book's one input PDF; none or several is an error."""
-    found = sorted(Path(book, "input").glob("*.pdf"))
+    found = _listed(spark, f"{book}/input/*.pdf")
     if len(found) != 1:
         raise ValueError(f"{book} has {len(found)} input files, not one")
     return found[0]
