@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -83,38 +84,43 @@ def assign(cost: np.ndarray) -> np.ndarray:
     return out
 
 
-def likeness(glyphs: DataFrame, targets: DataFrame) -> DataFrame:
-    """(glyph, target, score): mean overlap of the bitmaps (glyph, font, grid) of one font with those of
-    (target, font, grid). A font has some 200 of either, so its pairs are few."""
-    pairs = glyphs.join(targets.withColumnRenamed("grid", "other"), "font").select("glyph", "target", "grid", "other")
+def likeness(glyphs: DataFrame, targets: DataFrame, font: str = "font") -> DataFrame:
+    """(``font``, glyph, target, score): mean overlap of the bitmaps (glyph, font, grid) of one font with those of
+    (target, font, grid) of the same. A font has some 200 of either, so its pairs are few."""
+    pairs = glyphs.join(targets.withColumnRenamed("grid", "other"), font).select(font, "glyph", "target", "grid", "other")
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pairs.select(font, "glyph", "target").schema.fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for i in (2, 3))
-            both, joint = np.bitwise_count(a & b).sum(1), np.bitwise_count(a | b).sum(1)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.where(joint > 0, both / np.maximum(joint, 1), 0.0))], names=["glyph", "target", "score"])
+            a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for i in (3, 4))
+            both, joint = (np.bitwise_count(x).sum(1, dtype=np.int64) for x in (a & b, a | b))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(np.where(joint > 0, both / np.maximum(joint, 1), 0.0))], names=[*batch.schema.names[:3], "score"])
 
-    return pairs.mapInArrow(run, "glyph string, target string, score double").groupBy("glyph", "target").agg(F.avg("score").alias("score"))
+    return pairs.mapInArrow(run, f"{kinds}, score double").groupBy(font, "glyph", "target").agg(F.avg("score").alias("score"))
 
 
-def assign_glyphs(scores: DataFrame, *, sure: float = 0.8, likely: float = 0.6, margin: float = 0.1) -> DataFrame:
-    """(glyph, target, score, margin, status) of the best assignment of a font's glyphs to its codes.
+def assign_glyphs(scores: DataFrame, font: str = "font", *, sure: float = 0.8, likely: float = 0.6, margin: float = 0.1) -> DataFrame:
+    """(``font``, glyph, target, score, margin, status) of the best assignment of every font's glyphs to its codes.
 
     margin is the lead over the glyph's next best target. status: sure, likely or doubtful by score and
-    margin, duplicate where another target scores higher but went to another glyph. One font at a time,
-    whose square of some 200 glyphs is solved on the driver.
+    margin, duplicate where another target scores higher but went to another glyph. A font's square of some
+    200 glyphs is solved in one task, and fonts are solved side by side.
     """
-    rows = scores.orderBy("glyph", "target").toPandas()
-    square = rows.pivot(index="glyph", columns="target", values="score").fillna(0.0)
-    table = square.to_numpy()
-    turned = len(table) > table.shape[1]
-    chosen = assign(-(table.T if turned else table))
-    pairs = [(int(j), i) if turned else (i, int(j)) for i, j in enumerate(chosen)]
-    out = []
-    for i, j in sorted(pairs):
-        score = float(table[i, j])
-        rest = np.delete(table[i], j)
-        lead = score - float(rest.max()) if len(rest) else score
-        status = "duplicate" if lead < 0 else "sure" if score >= sure and lead >= margin else "likely" if score >= likely else "doubtful"
-        out.append((square.index[i], square.columns[j], score, lead, status))
-    return scores.sparkSession.createDataFrame(out, "glyph string, target string, score double, margin double, status string")
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in scores.select(font, "glyph", "target").schema.fields)
+
+    def solve(rows: pd.DataFrame) -> pd.DataFrame:
+        square = rows.pivot(index="glyph", columns="target", values="score").fillna(0.0).sort_index().sort_index(axis=1)
+        table = square.to_numpy()
+        turned = len(table) > table.shape[1]
+        chosen = assign(-(table.T if turned else table))
+        i, j = np.arange(len(chosen)), np.asarray(chosen, int)
+        i, j = (j, i) if turned else (i, j)
+        score = table[i, j]
+        rest = np.where(np.arange(table.shape[1]) == j[:, None], -np.inf, table[i]).max(1) if table.shape[1] > 1 else np.zeros(len(i))
+        lead = score - rest
+        status = np.select([lead < 0, (score >= sure) & (lead >= margin), score >= likely], ["duplicate", "sure", "likely"], "doubtful")
+        found = pd.DataFrame({"glyph": square.index[i], "target": square.columns[j], "score": score, "margin": lead, "status": status})
+        found.insert(0, font, rows[font].iloc[0])
+        return found.sort_values("glyph")
+
+    return scores.groupBy(font).applyInPandas(solve, f"{kinds}, score double, margin double, status string")

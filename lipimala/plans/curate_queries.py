@@ -223,13 +223,13 @@ def ink_extents(spark, sf_dir):
 
 
 def glyph_assignment(spark, sf_dir):
-    """Glyphs of all books laid on each other by how often they are used, as two fonts of one layout would be."""
-    rows = table(spark, sf_dir, "glyph_stats").where("glyph is not null").dropDuplicates(["book", "glyph"])
-    used = rows.groupBy("glyph").agg(F.avg("count").alias("mean"), F.max("count").alias("most")).na.fill(0)
-    left = used.select("glyph", F.lit("f").alias("font"), F.log1p("mean").alias("a"))
-    right = used.select(F.col("glyph").alias("target"), F.lit("f").alias("font"), F.log1p("most").alias("b"))
-    scores = left.join(right, "font").select("glyph", "target", (1 / (1 + F.abs(F.col("a") - F.col("b")))).alias("score"))
-    return P.assign_glyphs(scores).select("glyph", "target", "status")
+    """Shapes of a book with even ids laid on those with odd ids by their bitmaps, as two fonts of one layout would be."""
+    used = table(spark, sf_dir, "atlas_rows").where("book is not null").select("book", "shape_id").distinct()
+    grids = _shapes(spark, sf_dir).where("length(grid) = 288").select("shape_id", "grid")
+    rows = used.join(grids, "shape_id").select(F.col("book").alias("font"), "shape_id", "grid")
+    even, odd = (rows.where(F.col("shape_id") % 2 == k).withColumnRenamed("shape_id", name) for k, name in ((0, "glyph"), (1, "target")))
+    found = P.assign_glyphs(P.likeness(even, odd))
+    return found.select("font", "glyph", "target", F.round("score", 6).alias("score"), "status")
 
 
 # --- sources and streams -----------------------------------------------------------------------------

@@ -1,5 +1,7 @@
 """Learning, confirmations, recipes, page layout, shapes, sources and streams."""
 
+import itertools
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -209,9 +211,26 @@ def test_page_ranking(spark):
 def test_percentile_and_assignment(spark):
     rows = spark.createDataFrame([("b", 0.5)] * 18 + [("b", 0.6), ("b", 2.0), ("b", None)], "k string, v double")
     assert P.percentile(rows, ["k"], "v", 0.9).first().percentile == 0.6
-    scores = spark.createDataFrame([("a", "x", 0.9), ("a", "y", 0.2), ("b", "x", 0.95), ("b", "y", 0.1)], "glyph string, target string, score double")
-    got = {r.glyph: (r.target, r.status) for r in P.assign_glyphs(scores).collect()}
-    assert got["b"][0] != got["a"][0]
+    rng = np.random.default_rng(4)
+    tables = {"f": rng.random((4, 6)), "g": rng.random((6, 4)), "h": rng.random((1, 1))}
+    cells = [(f, f"g{i}", f"t{j}", float(x)) for f, t in tables.items() for (i, j), x in np.ndenumerate(t)]
+    got = P.assign_glyphs(spark.createDataFrame(cells, "font string, glyph string, target string, score double")).collect()
+    for f, t in tables.items():
+        small, wide = (t, False) if t.shape[0] <= t.shape[1] else (t.T, True)
+        best = max(sum(small[i, j] for i, j in enumerate(p)) for p in itertools.permutations(range(small.shape[1]), small.shape[0]))
+        mine = [r for r in got if r.font == f]
+        assert abs(sum(r.score for r in mine) - best) < 1e-9 and len({r.target for r in mine}) == len({r.glyph for r in mine}) == len(mine) == len(small)
+        for r in mine:
+            rest = [x for j, x in enumerate(t[int(r.glyph[1:])]) if f"t{j}" != r.target]
+            lead = r.score - max(rest, default=0.0)
+            assert abs(r.margin - lead) < 1e-9 and r.status == ("duplicate" if lead < 0 else "sure" if r.score >= 0.8 and lead >= 0.1 else "likely" if r.score >= 0.6 else "doubtful")
+
+
+def test_likeness_of_bitmaps(spark):
+    grid = lambda *bits: bytearray(bits)
+    left = spark.createDataFrame([("f", "a", grid(0xF0, 0)), ("g", "b", grid(0, 0))], "font string, glyph string, grid binary")
+    right = spark.createDataFrame([("f", "x", grid(0xF0, 0)), ("f", "y", grid(0xFF, 0)), ("g", "z", grid(0, 0))], "font string, target string, grid binary")
+    assert {(r.font, r.glyph, r.target, r.score) for r in P.likeness(left, right).collect()} == {("f", "a", "x", 1.0), ("f", "a", "y", 0.5), ("g", "b", "z", 0.0)}
 
 
 # --- sources, sinks, streams -------------------------------------------------------------------------
