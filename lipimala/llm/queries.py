@@ -80,7 +80,19 @@ m AS (SELECT field, term, CAST(frequency AS BIGINT) AS frequency, CAST(records A
   CASE WHEN frequency < 5 OR records <= 1 THEN 'rare' WHEN records > total * 0.5 THEN 'common' END AS mark FROM f)
 """
 
+# All pairs, in the sizes at which SQL can compare all pairs, and their connected components: what the clusters must be
+# where prints of one form are as near and those of different forms as far as in these tables.
+_FORMS = """WITH RECURSIVE s AS (SELECT DISTINCT shape_id, CAST(grid AS BIT) AS g, ln(height) AS h, ln(aspect) AS a, coalesce(band, '?') AS band FROM shape_catalog WHERE octet_length(grid) = 288),
+m AS (SELECT CAST(repeat('0' || repeat('1', 47), 48) AS BIT) AS notfirst, CAST(repeat(repeat('1', 47) || '0', 48) AS BIT) AS notlast),
+v AS (SELECT s.*, bit_count(g) AS ink, g | (g << 48) | (g >> 48) AS v FROM s WHERE bit_count(g) > 0),
+b AS (SELECT v.*, v | ((v << 1) & notlast) | ((v >> 1) & notfirst) AS w FROM v, m),
+e AS (SELECT x.shape_id AS a, y.shape_id AS b FROM b x JOIN b y ON x.band = y.band AND x.shape_id <> y.shape_id AND abs(x.h - y.h) <= 0.08 AND abs(x.a - y.a) <= 0.15
+  WHERE (bit_count(x.g & ~y.w) + bit_count(y.g & ~x.w)) / (x.ink + y.ink) <= 0.06),
+r AS (SELECT a AS shape_id, a AS cluster_id FROM e UNION SELECT e.b, r.cluster_id FROM r JOIN e ON e.a = r.shape_id WHERE r.cluster_id < e.b)
+SELECT shape_id, min(cluster_id) AS cluster_id FROM r GROUP BY 1"""
+
 ORACLE = {
+    "p3_found": _FORMS,
     "p1_found": _TERMS + "SELECT field, term, mark FROM m WHERE mark IS NOT NULL",
     "p1_terms": _TERMS + "SELECT * FROM m",
     "p6_found": """WITH RECURSIVE links AS (
