@@ -68,16 +68,6 @@ class Words:
         found.update(c for i in range(len(word) - 1) for c in self.shorter.get(word[:i] + word[i + 2 :], ()) if len(c) == len(word) - 1)
         return found
 
-    def near(self, word: str) -> bool:
-        """Whether a good word is one misread character away."""
-        if self.near_one(word):
-            return True
-        for i in range(1, len(word)):
-            a, b = word[:i], word[i:]
-            if (a in self.words and self.near_one(b)) or (b in self.words and self.near_one(a)):
-                return True
-        return False
-
     def begins(self, part: str) -> bool:
         """Whether some good word begins with ``part``."""
         return part in self.starts or any(part[:i] in self.words and part[i:] in self.starts for i in range(1, len(part)))
@@ -109,59 +99,37 @@ class Words:
 
     def across(self, a: str, b: str | None) -> tuple[bool, bool, bool]:
         """For a line's last token and the next line's first (null: none known): is a word cut there, and
-        is the first, the second token misread. Without a cut both are judged alone."""
+        is the first, the second token misread.
+
+        A word is cut where both tokens together are one good word and a sign of parting stands between them, or
+        no sign and not both are good alone. Two words of the lexicon at a hyphen are a compound, also if one of them is misread. With a sign,
+        a word that is not good together is cut as well, and the half that neither begins nor ends a good word is
+        misread. Without a cut both tokens are judged alone.
+        """
         alone = (False, self.misread(a), b is not None and self.misread(b))
         first = a.strip(MARKS.replace("-", "").replace("‐", ""))
         stem = first.rstrip(PARTING)
         sign = first[len(stem) :]
-        if not stem or not _LETTERS.search(stem[-1]) or _NUMBER.fullmatch(stem):
-            return alone
         *before, p = _HYPHEN.split(stem.lstrip(MARKS))
-        if not p:
+        if not p or not _LETTERS.search(stem[-1]) or _NUMBER.fullmatch(stem):
             return alone
-        behind = any(x not in self.words for x in before)
-        last = (b or "").strip(MARKS + "\xad") if b is not None else None
-        q, *after = _HYPHEN.split(last) if last else ("",)
-        beyond = any(x not in self.words for x in after)
-        mark_between = b is not None and b[:1] in set(MARKS)
-        if not q or mark_between or not _LETTERS.search(q[0]):
+        q, *after = _HYPHEN.split(b.strip(MARKS + "\xad")) if b else ("",)
+        behind, beyond = (any(x not in self.words for x in parts) for parts in (before, after))  # the other words of a compound
+        if not q or b[0] in MARKS or not _LETTERS.search(q[0]):  # what goes on there is unknown
             if sign and (sign != "-" or p not in self.words):
                 return True, behind or not self.begins(p), alone[2]
-            if b is None and not sign and not self.good(p) and p in self.starts and a == a.rstrip(MARKS):
+            if not sign and b is None and a == a.rstrip(MARKS) and not self.good(p) and p in self.starts:
                 return True, behind, False
-            return alone if not sign else (False, behind or not self.good(p), alone[2])
-        whole = p + q
-        if not sign:
-            if a != a.rstrip(MARKS) or not (alone[1] or alone[2]):
-                return alone
-            if self.good(whole):
-                return True, behind, beyond
-            if alone[1] and alone[2] and self.near(whole) and not (self.near(p) and self.near(q)):
-                return (True, *self._blame(p, q, behind, beyond))
-            return alone
-        if sign == "-":
-            if p in self.words and q in self.words:
-                return False, behind, beyond
-            if not self.good(whole):
-                if p in self.words and self.near(q):
-                    return False, behind, True
-                if q in self.words and self.near(p):
-                    return False, True, beyond
-        if self.good(whole):
+            return (False, behind or not self.good(p), alone[2]) if sign else alone
+        if sign == "-" and p in self.words and q in self.words:
+            return False, behind, beyond
+        if sign == "-" and not self.good(p + q) and any(x in self.words and self.near_one(y) for x, y in ((p, q), (q, p))):
+            return False, behind or p not in self.words, beyond or q not in self.words
+        if sign:
+            return True, behind or not (self.good(p + q) or self.begins(p)), beyond or not (self.good(p + q) or self.ends_with(q))
+        if (alone[1] or alone[2]) and a == a.rstrip(MARKS) and self.good(p + q):
             return True, behind, beyond
-        return (True, *self._blame(p, q, behind, beyond))
-
-    def _blame(self, p: str, q: str, behind: bool, beyond: bool) -> tuple[bool, bool]:
-        """Which part of a cut word holds the misread character."""
-        fits_a, fits_b = self.begins(p), self.ends_with(q)
-        if fits_a and fits_b:
-            near = self.near_one(p + q)
-            fits_a = any(w.startswith(p) for w in near)
-            fits_b = any(w.endswith(q) for w in near)
-            if fits_a == fits_b:
-                fits_a = len(p) < len(q)
-                fits_b = not fits_a
-        return behind or not fits_a, beyond or not fits_b
+        return alone
 
 
 _WORDS: dict[bytes, Words] = {}
