@@ -321,18 +321,19 @@ def _block_communities(total: float, resolution: float):
         inside = frame[frame["inside"]]
         links = sorted(zip(inside["u"].tolist(), inside["v"].tolist(), inside["w"].tolist(), strict=True))
         found = _moves(links, dict(zip(degree.index.tolist(), degree.tolist(), strict=True)), total, resolution)
-        return pd.DataFrame({"id": list(found.keys()), "community": list(found.values())}).astype("int64")
+        return pd.DataFrame(list(found.items())).astype("int64")  # columns by place
 
     return run
 
 
-def communities(edges: DataFrame, blocks: DataFrame | None = None, *, resolution: float = RESOLUTION) -> DataFrame:
+def communities(edges: DataFrame, blocks: DataFrame | None = None, *, resolution: float = RESOLUTION, block: int = BLOCK) -> DataFrame:
     """(id, community) of every node of the weighted edges (u, v, w), u <> v, each link given once.
 
     ``blocks`` (id, block) are sets of nodes of bounded size in which communities are formed first. Then, over
     all blocks, communities are nodes and move to the neighbouring community of highest modularity gain, a
     random half of them in each turn so that no two swap places, until none gains; what has merged becomes the
-    nodes of the next level, until a level merges nothing.
+    nodes of the next level, until a level merges nothing. What is left to move is moved in one task as soon as it
+    is no more than a block's links.
     """
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"), "w"))
     links = cut(both.groupBy("u", "v").agg(F.sum("w").alias("w")), "links")
@@ -350,7 +351,15 @@ def communities(edges: DataFrame, blocks: DataFrame | None = None, *, resolution
     turn = 0
     while True:
         open_ = links.where("u <> v")
-        if open_.isEmpty():
+        left = open_.limit(block * K + 1).count()
+        if not left:
+            break
+        if left <= block * K:
+            rest = links.join(open_.select("u").distinct(), "u", "left_semi").withColumns({"block": F.lit(0), "inside": F.lit(True)})
+            at = rest.groupBy("block").applyInPandas(_block_communities(total, resolution), "u bigint, c bigint")
+            merged = cut(member.withColumnRenamed("community", "u").join(at, "u", "left").select("id", F.coalesce("c", "u").alias("community")), "member")
+            uncut(member)
+            member = merged
             break
         count = float(links.count())
         nodes = cut(links.groupBy("u").agg(F.sum("w").alias("k"), F.count("*").alias("n")).withColumn("c", F.col("u")), "nodes")

@@ -127,11 +127,12 @@ def test_one_form_is_one_cluster(spark):
     assert {tuple(r) for r in cluster_members(spark.createDataFrame(rows, SCHEMA)).collect()} == {(0, i) for i in range(400)}
 
 
+@pytest.mark.parametrize("block", [8192, 1])
 @pytest.mark.parametrize("blocks", [None, [(i, i % 3) for i in range(40)], [(i, 0) for i in range(40)]])
-def test_communities_form_within_and_across_blocks(spark, blocks):
+def test_communities_form_within_and_across_blocks(spark, blocks, block):
     edges = [(a + o, b + o, 1.0) for o in (0, 10, 20, 30) for a in range(10) for b in range(10) if a < b and (a + b) % 3] + [(9, 10, 0.05), (29, 30, 0.05)]
     edges = spark.createDataFrame(edges, "u bigint, v bigint, w double")
-    got = {r.id: r.community for r in communities(edges, blocks and spark.createDataFrame(blocks, "id bigint, block int")).collect()}
+    got = {r.id: r.community for r in communities(edges, blocks and spark.createDataFrame(blocks, "id bigint, block int"), block=block).collect()}
     assert {k: len({got[i] for i in range(k, k + 10)}) for k in (0, 10, 20, 30)} == {0: 1, 10: 1, 20: 1, 30: 1}
     assert len(set(got.values())) == 4 and communities(edges.limit(0)).count() == 0
 
