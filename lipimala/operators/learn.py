@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from lipimala.functions.telugu import comparable, is_telugu_word
 from lipimala.operators.solver import propose, propose_confirmed
 from lipimala.operators.transcode import COMPILED, Mapping, gaps, glyph_count, gap_length, render, segments_by_join, with_segments
-from lipimala.runtime import cut, small
+from lipimala.runtime import cut, small, uncut
 
 # Contexts a proposal needs, and confidence a reading needs to cast doubt on mapped text.
 CONTEXTS, SUSPECT_CONFIDENCE = 2, 60.0
@@ -76,16 +76,26 @@ def learn_round(observed: DataFrame, state: State, voted: DataFrame) -> tuple[Da
     found = parts.select(F.col("seq").alias("key"), "segments", F.col("ocr_text").alias("target")).mapInArrow(propose, "key bigint, glyphs string, unicode string, context string")
     votes = found.withColumnRenamed("key", "seq").join(observed.select("seq", F.col("page"), F.col("ocr_text").alias("word")), "seq")
     votes = cut(votes, "votes")
-    accepted, state = accept(State(state.entries, cut(vote(state.pending, votes), "pending")))
-    return accepted, cut(voted.unionByName(votes.select("seq")), "voted"), state
+    pending = cut(vote(state.pending, votes), "pending")
+    accepted, state = accept(State(state.entries, pending))
+    voted = cut(voted.unionByName(votes.select("seq")), "voted")
+    uncut(votes)
+    uncut(pending)
+    return accepted, voted, state
 
 
 def learn_until_stable(observed: DataFrame, state: State, *, max_rounds: int = 100) -> tuple[DataFrame, State]:
     """(accepted, state) after rounds until one accepts nothing. A word votes once at most."""
     spark = observed.sparkSession
     voted, learned = spark.createDataFrame([], "seq bigint"), spark.createDataFrame([], ENTRIES)
+    given = state
     for _ in range(max_rounds):
+        before, voted_before = state, voted
         accepted, voted, state = learn_round(observed, state, voted)
+        if before is not given:  # the tables of a round end with the next, those of the caller are left alone
+            uncut(before.entries)
+            uncut(before.pending)
+            uncut(voted_before)
         if not accepted.limit(1).count():
             return learned, state
         learned = learned.unionByName(accepted)
