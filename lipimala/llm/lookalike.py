@@ -19,7 +19,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lipimala.runtime import cut, maybe_broadcast, pick
+from lipimala.runtime import cut, maybe_broadcast, pick, uncut
 
 # Letters of other scripts and the letters they print like.
 TELUGU_DOUBLES = dict(zip("ಂಃಅಆಇಒಓಔಜಣಯಱಲ೦೧೨೯", "ంఃఅఆఇఒఓఔజణయఱల౦౧౨౯", strict=True))
@@ -140,6 +140,7 @@ def consistent_forms(texts: DataFrame, key: list[str], text: str, lexicon: DataF
         known = known.unionByName(pick(lexicon, "word").select(F.col("word").alias("repaired")))
     known = known.join(maybe_broadcast(targets), "repaired", "left_semi").distinct()
     fixes = cut(wanted.join(known, "repaired", "left_semi"), f"{label}-fixes")
+    uncut(wanted)
     plain = folded.where(F.coalesce(F.size("repairs"), F.lit(0)) <= 0).select(*key, text, F.array_join("pieces", "").alias("form"))
     # only texts with a word to repair meet the fixes; what becomes of a text depends on nothing else
     mixed = folded.where(F.size("repairs") > 0)

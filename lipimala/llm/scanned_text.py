@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lipimala.llm.line_model import EDGE, LineModel, codes_of, fit, title_keys
-from lipimala.runtime import BROADCAST_ROWS, cut, maybe_broadcast, pick, small
+from lipimala.runtime import BROADCAST_ROWS, cut, maybe_broadcast, pick, small, uncut
 
 # Signs that part a word at a line's end, and marks that may stand at a word's ends.
 PARTING = "-‐¬=\xad"
@@ -372,6 +372,7 @@ def scan_noise(pages: DataFrame, ocr: DataFrame, events: DataFrame, lexicon: Dat
     coded = cut(code_pages(once, titles), "coded")
     model = fitted_model(coded)
     labelled = cut(label_pages(coded, model), "labelled")
+    uncut(coded)
     around = neighbours(labelled)
     scans = labelled.join(around, ["book", "page"]).select("book", "page", "lines", "labels", "before", "after").mapInArrow(_page_noise(known), _NOISE)
     words = pick(ocr, "book", "page", "ocr_no", "text", "bbox").select("book", "page", "ocr_no", "text", F.col("bbox.y0").alias("y0"), F.col("bbox.y1").alias("y1")).repartition("book", "page").dropDuplicates(["book", "page", "ocr_no"])
@@ -469,8 +470,10 @@ def readable_paragraphs(pages: DataFrame, lexicon: DataFrame, ocr: DataFrame | N
         sheets = words.groupBy("book", "page").agg(F.array_sort(F.collect_list(F.struct("ocr_no", "text", "y0", "y1"))).alias("words"))
         sheets = sheets.mapInArrow(_sheet_lines, "book string, page int, lines array<string>")
         every = every.unionByName(code_pages(sheets, titles).withColumn("src", F.lit("ocr_words")))
-    every = cut(every, "coded")
-    every = cut(label_pages(every, fitted_model(every.where("src = 'scan_pages'"))), "labelled")
+    coded = cut(every, "coded")
+    every = cut(label_pages(coded, fitted_model(coded.where("src = 'scan_pages'"))), "labelled")
+    uncut(coded)
+    uncut(titles)
     first = lambda c: F.coalesce(F.max(F.when(F.col("src") == "scan_pages", F.col(c))), F.max(c)).alias(c)
     around = neighbours(every.groupBy("book", "page").agg(first("head"), first("tail")))
     text = every.where("head is not null")
