@@ -11,6 +11,8 @@ from lipimala.functions.telugu import nfc
 # and distances of the page model.
 SYMBOL_BASE, SYMBOL_FIRST, SYMBOL_LAST = 0xF000, 0xF020, 0xF0FF
 SHAPE_BASE, SHAPE_LAST = 0xF0000, 0xFFFFD
+# The plane above it holds the upper digits of ids too large for one character.
+DIGIT_BASE, DIGITS = 0x100000, SHAPE_LAST - SHAPE_BASE + 1
 ZERO_WIDTH, BASELINE_TOLERANCE = 0.5, 2.0
 # Parts of the names of fonts that are no legacy text fonts.
 OTHER_FONTS = ("arial", "times", "courier", "helvetica", "calibri", "cambria", "symbol", "wingdings", "verdana", "georgia", "tahoma", "mangal")
@@ -112,15 +114,34 @@ def shape_token(shape_id: Column) -> Column:
     return F.when(code > SHAPE_LAST, F.raise_error(F.concat(F.lit("shape id outside the private use plane: "), shape_id.cast("string")))).otherwise(text)
 
 
-def shape_of_token(char: Column) -> Column:
-    return F.conv(F.hex(F.encode(char, "UTF-32")), 16, 10).cast("bigint") - SHAPE_BASE
+def _character(code: Column) -> Column:
+    return F.decode(F.unhex(F.lpad(F.hex(code.cast("bigint")), 8, "0")), "UTF-32")
+
+
+def shape_tokens(shape_id: Column) -> Column:
+    """The characters that stand for a shape of any id: its ``shape_token``, and before it, from U+100000 on, the
+    upper digits of an id that one character can't hold. A first digit 0, which no number has, marks a negative
+    id, whose other digits are those of its complement.
+    """
+    size = F.when(shape_id < 0, F.bitwise_not(shape_id.cast("bigint"))).otherwise(shape_id.cast("bigint"))
+    part = lambda i: F.call_function("div", size, F.lit(DIGITS**i).cast("bigint"))
+    upper = [F.when(size >= DIGITS**i, _character(DIGIT_BASE + part(i) % DIGITS)).otherwise("") for i in (3, 2, 1)]
+    return F.concat(F.when(shape_id < 0, chr(DIGIT_BASE)).otherwise(""), *upper, _character(SHAPE_BASE + size % DIGITS))
+
+
+def shape_of_token(token: Column) -> Column:
+    """The id that ``shape_token`` or ``shape_tokens`` wrote; null for digits that no id has."""
+    code = lambda c: F.conv(F.hex(F.encode(c, "UTF-32")), 16, 10).cast("bigint")
+    upper = F.transform(characters(F.substring(token, 1, F.length(token) - 1)), lambda c: code(c) - DIGIT_BASE)
+    size = F.try_add(F.try_multiply(F.aggregate(upper, F.lit(0).cast("bigint"), lambda n, d: F.try_add(F.try_multiply(n, F.lit(DIGITS).cast("bigint")), d)), F.lit(DIGITS).cast("bigint")), code(F.substring(token, -1, 1)) - SHAPE_BASE)
+    return F.when(F.substring(token, 1, 1) == chr(DIGIT_BASE), F.bitwise_not(size)).otherwise(size)
 
 
 def readable(text: Column) -> Column:
     """Shape characters as ``#id``; other text as it is."""
-    plane = "[\\x{F0000}-\\x{FFFFD}]"
+    plane = "[\\x{100000}-\\x{10FFFD}]{0,4}[\\x{F0000}-\\x{FFFFD}]"
     pieces = F.regexp_extract_all(text, F.lit(f"(?s){plane}|.|\\n"), F.lit(0))
-    shown = F.transform(pieces, lambda p: F.when(p.rlike(f"^{plane}$"), F.concat(F.lit("#"), shape_of_token(p).cast("string"))).otherwise(p))
+    shown = F.transform(pieces, lambda p: F.when(p.rlike(f"^{plane}$"), F.coalesce(F.concat(F.lit("#"), shape_of_token(p).cast("string")), p)).otherwise(p))
     return F.when(text.rlike(plane), F.array_join(shown, "")).otherwise(text)
 
 

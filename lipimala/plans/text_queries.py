@@ -157,7 +157,7 @@ def page_range(spark, sf_dir):
 
 def shape_tokens(spark, sf_dir):
     rows = table(spark, sf_dir, "shape_catalog").select("shape_id").distinct()
-    token = G.shape_token(F.col("shape_id"))
+    token = G.shape_tokens(F.col("shape_id"))
     return rows.select("shape_id", G.shape_of_token(token).alias("back"), G.readable(F.concat(F.lit("x"), token)).alias("shown"))
 
 

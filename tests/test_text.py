@@ -69,6 +69,14 @@ def test_small_functions(spark):
         one(spark, G.shape_token(F.lit(70_000)), t="")
 
 
+def test_shapes_of_any_id_have_tokens(spark):
+    ids = [0, 65_533, 65_534, 70_000, 65_534**2 - 1, 65_534**2, 2**63 - 1, -1, -70_000, -(2**63)]
+    rows = spark.createDataFrame([(i,) for i in ids], "id bigint").withColumn("t", G.shape_tokens(F.col("id")))
+    shown = G.readable(F.concat(F.lit("x"), "t", "t", F.lit("\U00100005y")))
+    for r in rows.select("id", G.shape_of_token(F.col("t")).alias("back"), shown.alias("shown"), F.length("t").alias("n")).collect():
+        assert r.back == r.id and r.shown == f"x#{r.id}#{r.id}\U00100005y" and (r.n == 1) == (0 <= r.id <= 65_533)
+
+
 def _distance(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
