@@ -136,17 +136,19 @@ def pages_of(lines: DataFrame, page: list[str], order: str = "line_no", text: st
 def segments_by_join(rows: DataFrame, ident: str, text: str, table: DataFrame, glyphs: str = "glyphs", unicode: str = "unicode") -> DataFrame:
     """(``ident``, segments) for mappings beyond ``COMPILED`` keys: substrings meet the table in a shuffled join.
 
-    Only substrings of lengths that keys have are offered, the longest key included. A fold over a text's
-    matches then walks it greedily. A null text has null segments.
+    Every distinct text is segmented once. Only substrings of lengths that keys have are offered, the longest key
+    included, with a digest in the text's place. A fold over a text's matches then walks it greedily. A null text
+    has null segments. No side is broadcast, so that nothing but the keys' lengths passes through the driver.
     """
     lengths = [r[0] for r in table.where(F.length(glyphs) > 0).select(F.length(glyphs)).union(table.sparkSession.sql("SELECT 1")).distinct().collect()]
+    texts = rows.where(F.length(text) > 0).select(text).distinct().withColumn("_digest", F.sha2(F.col(text), 256))
     begin = F.explode(F.sequence(F.lit(1), F.length(text)))
-    spans = rows.where(F.length(text) > 0).select(ident, text, begin.alias("at")).withColumn("n", F.explode(F.array(*map(F.lit, sorted(lengths))))).where(F.col("n") <= F.length(text) - F.col("at") + 1)
-    offered = spans.select(ident, "at", "n", F.substring(F.col(text), F.col("at"), F.col("n")).alias("_key"))
+    spans = texts.select("_digest", text, begin.alias("at")).withColumn("n", F.explode(F.array(*map(F.lit, sorted(lengths))))).where(F.col("n") <= F.length(text) - F.col("at") + 1)
+    offered = spans.select("_digest", "at", "n", F.substring(F.col(text), F.col("at"), F.col("n")).alias("_key"))
     blank = rows.sparkSession.createDataFrame([(" ", " ")], "_key string, _u string")
     known = table.where(F.col(glyphs).isNotNull() & ~F.col(glyphs).isin("", " ")).groupBy(F.col(glyphs).alias("_key")).agg(F.max(F.coalesce(F.col(unicode), F.lit(""))).alias("_u")).unionByName(blank)
-    best = offered.join(known, "_key").groupBy(ident, "at").agg(F.max_by(F.struct("n", "_u"), "n").alias("hit"))
-    hits = best.groupBy(ident).agg(F.map_from_entries(F.collect_list(F.struct("at", "hit"))).alias("hits"))
+    best = offered.join(known.hint("shuffle_merge"), "_key").groupBy("_digest", "at").agg(F.max_by(F.struct("n", "_u"), "n").alias("hit"))
+    hits = best.groupBy("_digest").agg(F.map_from_entries(F.collect_list(F.struct("at", "hit"))).alias("hits"))
     start = F.struct(F.lit(1).alias("next"), F.array().cast("array<struct<glyphs:string,unicode:string>>").alias("out"))
 
     def step(state: Column, at: Column) -> Column:
@@ -160,8 +162,12 @@ def segments_by_join(rows: DataFrame, ident: str, text: str, table: DataFrame, g
         moved = F.when(at < state["next"], state["out"]).when(hit.isNotNull(), key).otherwise(gap)
         return F.struct(F.when(at < state["next"], state["next"]).when(hit.isNotNull(), at + hit["n"]).otherwise(at + 1).alias("next"), moved.alias("out"))
 
-    places = F.when(F.length(text) > 0, F.sequence(F.lit(1), F.length(text))).otherwise(F.array().cast("array<int>"))
-    return rows.select(ident, text).join(hits, ident, "left").withColumn("segments", F.when(F.col(text).isNotNull(), F.aggregate(places, start, step, lambda s: s["out"]))).select(ident, "segments")
+    walked = F.aggregate(F.sequence(F.lit(1), F.length(text)), start, step, lambda s: s["out"])
+    found = texts.join(hits.hint("shuffle_merge"), "_digest").select(F.col(text).alias("_walked"), walked.alias("_found"))
+    none = F.array().cast("array<struct<glyphs:string,unicode:string>>")
+    gap = F.array(F.struct(F.col(text).alias("glyphs"), F.lit(None).cast("string").alias("unicode")))
+    segments = F.when(F.length(text) > 0, F.coalesce("_found", gap)).when(F.length(text) == 0, none)
+    return rows.select(ident, text).join(found.hint("shuffle_merge"), F.col(text) == F.col("_walked"), "left").select(ident, segments.alias("segments"))
 
 
 # --- scanned text ------------------------------------------------------------------------------------

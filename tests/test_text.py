@@ -149,6 +149,15 @@ def test_longest_match_equals_a_naive_walk(spark):
             assert [(s.glyphs, s.unicode) for s in r.segments] == _naive(texts[r.i], TABLE)
 
 
+def test_the_joined_form_broadcasts_nothing_and_walks_a_text_once(spark):
+    rows = spark.createDataFrame([(i // 2, "=∞Ú"[: i % 4]) for i in range(40)] + [(None, "=∞"), (7, None)], "i int, t string")
+    source = spark.createDataFrame(list(TABLE.items()), "glyphs string, unicode string")
+    joined = TR.segments_by_join(rows, "i", "t", source)
+    got = sorted(((r.i, r.segments and [tuple(s) for s in r.segments]) for r in joined.collect()), key=str)
+    assert got == sorted(((r.i, r.t and _naive(r.t, TABLE) if r.t != "" else []) for r in rows.collect()), key=str)
+    assert "Broadcast" not in joined._jdf.queryExecution().executedPlan().toString()
+
+
 def test_the_joined_form_finds_long_keys_and_keeps_nulls(spark):
     rows = spark.createDataFrame([(1, "a" * 60 + "b"), (2, None), (None, "ab"), (3, ""), (4, "xab")], "i int, t string")
     source = spark.createDataFrame([("a" * 60, "long"), ("ab", "short"), (None, "n")], "glyphs string, unicode string")
