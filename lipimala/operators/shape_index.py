@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import heapq
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,13 +12,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lipimala.functions.bitmaps import CANVAS, GRID, THICK_BLOB, grown, holes, stray_share, thick_blob, to_canvas, to_grid, unpacked
+from lipimala.functions.bitmaps import CANVAS, GRID, THICK_BLOB, grown, holes, stray_share, thick_blob, thick_blobs, to_canvas, to_grid, unpacked
 from lipimala.runtime import maybe_broadcast, pick
 
 # Nearest shapes looked at when assigning and when looking for like ones, and their distances.
 CANDIDATES, WIDE, WIDE_STRAY = 8, 16, 0.35
 #: Largest distance and log differences of height and aspect within a shape.
 DISTANCE, HEIGHT, ASPECT = 0.1, 0.1, 0.1
+#: Steps of height and of aspect that one task compares, and the bytes of bitmaps.
+TILE, GRID_BYTES, CANVAS_BYTES = 3, GRID * GRID // 8, CANVAS[0] * CANVAS[1] // 8
 
 
 def features(parts: DataFrame, ident: list[str], body: str = "body") -> DataFrame:
@@ -37,44 +40,153 @@ def features(parts: DataFrame, ident: list[str], body: str = "body") -> DataFram
     return parts.select(*ident, "mask", "x0", "y0", "x1", "y1", body).mapInArrow(run, f"{schema}, grid binary, canvas binary, height double, aspect double, holes int")
 
 
-def _cells(shapes: DataFrame, around: bool) -> DataFrame:
-    """Rows in the cells of their band, holes, height and aspect; ``around`` adds the neighbouring cells."""
-    h, a = F.floor(F.log("height") / HEIGHT).cast("int"), F.floor(F.log("aspect") / ASPECT).cast("int")
-    if not around:
-        return shapes.withColumn("cell", F.xxhash64("band", "holes", h, a))
-    steps = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)))
-    return shapes.withColumn("_s", F.explode(steps)).withColumn("cell", F.xxhash64("band", "holes", h + F.col("_s.i"), a + F.col("_s.j"))).drop("_s")
+def _tiles(shapes: DataFrame, around: bool) -> DataFrame:
+    """Rows in the tile of their band, holes, height and aspect; ``around`` adds the tiles of like measures."""
+    h, a = (F.floor(F.log(F.abs(F.col(c))) / limit) for c, limit in (("height", HEIGHT), ("aspect", ASPECT)))
+    steps = (-1, 1) if around else (0,)
+    tiles = F.array(*(F.xxhash64("band", "holes", F.floor((h + i) / TILE), F.floor((a + j) / TILE)) for i in steps for j in steps))
+    return shapes.withColumn("tile", F.explode(F.array_distinct(tiles)))
 
 
-def _pair_distances(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Stray share of pairs; a batch's distinct grids are grown once and compared as 64-bit words."""
+def _usable(shapes: DataFrame) -> DataFrame:
+    return shapes.where((F.length("grid") == GRID * GRID // 8) & (F.col("grid") != F.unhex(F.lit("00" * (GRID * GRID // 8)))) & F.col("height").isNotNull() & F.col("aspect").isNotNull() & F.col("holes").isNotNull() & F.col("band").isNotNull())
+
+
+def _squeezed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Grid and canvas in one, compressed; a canvas of another size is left out."""
     for batch in batches:
-        ids = pa.concat_arrays([batch.column(0), batch.column(1)])
-        names, first, which = np.unique(np.asarray(ids), return_index=True, return_inverse=True)
-        held = pa.concat_arrays([batch.column(2), batch.column(3)]).take(pa.array(first)).to_pylist()
-        grids = np.frombuffer(b"".join(held), np.uint8).reshape(len(names), GRID * GRID // 8)
-        wide = np.packbits(grown(np.unpackbits(grids, axis=1).reshape(-1, GRID, GRID).astype(bool)).reshape(-1, GRID * GRID), axis=1).view(np.uint64)
-        grids, ink = np.ascontiguousarray(grids).view(np.uint64), np.bitwise_count(grids).sum(1, dtype=np.int64)
-        i, j = which[: batch.num_rows], which[batch.num_rows :]
-        stray = np.bitwise_count(grids[i] & ~wide[j]).sum(1, dtype=np.int64) + np.bitwise_count(grids[j] & ~wide[i]).sum(1, dtype=np.int64)
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(stray / np.maximum(1, ink[i] + ink[j]))], names=["shape_id", "other", "stray"])
-
-
-def gated_neighbours(queries: DataFrame, catalog: DataFrame, *, k: int = CANDIDATES, distance: float = DISTANCE) -> DataFrame:
+        bits = [zlib.compress(g + c if c is not None and len(c) == CANVAS_BYTES else g, 1) for g, c in zip(batch["grid"].to_pylist(), batch["canvas"].to_pylist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(bits, pa.binary())], names=["shape_id", "band", "holes", "height", "aspect", "bits"])
+
+
+class _Side:
+    """Shapes of a tile in numpy; forms are the distinct ones among their measures and grids."""
+
+    def __init__(self, table: pa.Table, codes: dict, thick: bool) -> None:
+        self.ids = table["shape_id"].to_numpy()
+        grids = np.zeros((len(table), GRID_BYTES), np.uint8)
+        if thick:
+            self.held, self.canvas = np.zeros(len(table), bool), np.zeros((len(table), CANVAS_BYTES), np.uint8)
+        for i, x in enumerate(table["bits"]):
+            bits = np.frombuffer(zlib.decompress(x.as_py()) if thick else x.as_py(), np.uint8)
+            grids[i] = bits[:GRID_BYTES]
+            if len(bits) > GRID_BYTES:
+                self.held[i], self.canvas[i] = True, bits[GRID_BYTES:]
+        code = np.array([codes.setdefault(x, len(codes)) for x in zip(table["band"].to_pylist(), table["holes"].to_pylist(), strict=True)], np.int64)
+        measures = np.stack([table["height"].to_numpy(), table["aspect"].to_numpy(), code.astype(float)], 1)
+        key = np.concatenate([grids, np.ascontiguousarray(measures).view(np.uint8)], 1)
+        _, first, which = np.unique(np.ascontiguousarray(key).view(f"V{key.shape[1]}").ravel(), return_index=True, return_inverse=True)
+        self.rows = np.lexsort((self.ids, which))  # a form's rows lie together, the least id first
+        self.start = np.searchsorted(which[self.rows], np.arange(len(first) + 1))
+        self.code, (self.height, self.aspect) = code[first], measures[first, :2].T
+        with np.errstate(all="ignore"):
+            self.log_h, self.log_a = np.log(np.abs(self.height)), np.log(np.abs(self.aspect))
+        wide = np.packbits(grown(np.unpackbits(grids[first], axis=1).reshape(-1, GRID, GRID).astype(bool)).reshape(-1, GRID * GRID), axis=1)
+        self.grid, self.bare = np.ascontiguousarray(grids[first]).view(np.uint64), ~wide.view(np.uint64)
+        self.ink = np.bitwise_count(self.grid).sum(1, dtype=np.int64)
+
+
+def _strays(left: _Side, i: np.ndarray, right: _Side, j: np.ndarray) -> np.ndarray:
+    """Stray shares of pairs of forms; grids are compared as 64-bit words."""
+    out = np.empty(len(i))
+    for at in range(0, len(i), 4096):
+        x, y = i[at : at + 4096], j[at : at + 4096]
+        n = np.bitwise_count(left.grid[x] & right.bare[y]).sum(1, dtype=np.int64) + np.bitwise_count(right.grid[y] & left.bare[x]).sum(1, dtype=np.int64)
+        out[at : at + 4096] = n / np.maximum(1, left.ink[x] + right.ink[y])
+    return out
+
+
+def _near_forms(left: _Side, right: _Side, k: int, distance: float) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """A form of ``left``, forms of ``right``, stray shares: all that may be among its ``k`` nearest, itself not counted.
+
+    Every fourth word of two grids has at most the whole's stray ink. Of the ``k`` + 1 that stray least there the whole is
+    measured, and then only of those that stray no more there than the farthest of these does as a whole.
+    """
+    with np.errstate(all="ignore"):
+        block = np.stack([left.code, np.floor(left.log_h / HEIGHT), np.floor(left.log_a / ASPECT)], 1)
+        _, which = np.unique(block, axis=0, return_inverse=True)
+        order = np.argsort(which.ravel(), kind="stable")
+        for mine in np.split(order, np.flatnonzero(np.diff(which.ravel()[order])) + 1):
+            h, a = left.log_h[mine], left.log_a[mine]
+            there = np.flatnonzero((right.code == left.code[mine[0]]) & (right.log_h >= h.min() - HEIGHT - 1e-9) & (right.log_h <= h.max() + HEIGHT + 1e-9) & (right.log_a >= a.min() - ASPECT - 1e-9) & (right.log_a <= a.max() + ASPECT + 1e-9))
+            if not len(there):
+                continue
+            grid, bare = (np.ascontiguousarray(x[there][:, ::4].T) for x in (right.grid, right.bare))
+            room = max(1, 65_536 // len(there))
+            for some in (mine[s : s + room] for s in range(0, len(mine), room)):
+                like = (np.abs(np.log(left.height[some, None] / right.height[there])) <= HEIGHT) & (np.abs(np.log(left.aspect[some, None] / right.aspect[there])) <= ASPECT)
+                part = np.zeros(like.shape, np.uint16)
+                for w in range(len(grid)):
+                    part += np.bitwise_count(left.grid[some, 4 * w, None] & bare[w])
+                    part += np.bitwise_count(left.bare[some, 4 * w, None] & grid[w])
+                least = np.where(like, part / np.maximum(1, left.ink[some, None] + right.ink[there]), np.inf)
+                limit = np.full(len(some), distance)
+                if len(there) > k + 1:
+                    best = np.argpartition(least, k, axis=1)[:, : k + 1]
+                    whole = _strays(left, np.repeat(some, k + 1), right, there[best.ravel()]).reshape(best.shape)
+                    limit = np.minimum(distance, np.where(np.take_along_axis(least, best, 1) < np.inf, whole, np.inf).max(1))
+                r, c = np.nonzero(least <= limit[:, None])
+                stray = _strays(left, some[r], right, there[c])
+                kept = stray <= limit[r]
+                r, c, stray = r[kept], c[kept], stray[kept]
+                ends = np.searchsorted(r, np.arange(len(some) + 1))
+                for n, form in enumerate(some):
+                    if ends[n] < ends[n + 1]:
+                        yield form, there[c[ends[n] : ends[n + 1]]], stray[ends[n] : ends[n + 1]]
+
+
+def _nearest(k: int, distance: float, limit: int | None):
+    """The work on a tile: all its queries against the shapes around, with the blobs of their canvases if ``limit``."""
+
+    def run(queries: pa.Table, around: pa.Table) -> pa.Table:
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int32))]
+        if len(queries) and len(around):
+            codes, around = {}, around.rename_columns([c.removesuffix("_around") for c in around.column_names])
+            left, right = _Side(queries, codes, limit is not None), _Side(around, codes, limit is not None)
+            for form, forms, stray in _near_forms(left, right, k, distance):
+                count = np.minimum(right.start[forms + 1] - right.start[forms], k + 1)
+                at = np.repeat(right.start[forms] - np.cumsum(count) + count, count) + np.arange(count.sum())
+                rows, far = right.rows[at], np.repeat(stray, count)
+                near = np.lexsort((right.ids[rows], far))[: k + 1]
+                rows, far = rows[near], far[near]
+                for query in left.rows[left.start[form] : left.start[form + 1]]:
+                    other = np.flatnonzero(right.ids[rows] != left.ids[query])[:k]
+                    found.append((np.full(len(other), query), rows[other], far[other], np.arange(1, len(other) + 1, dtype=np.int32)))
+        i, j, stray, rank = (np.concatenate(x) for x in zip(*found, strict=True))
+        if not len(i):
+            empty = np.zeros(0, np.int64)
+            left_ids, right_ids, blobs = empty, empty, pa.array([], pa.int32())
+        else:
+            left_ids, right_ids, blobs = left.ids[i], right.ids[j], pa.nulls(len(i), pa.int32())
+            if limit is not None:
+                held, blob = left.held[i] & right.held[j], np.zeros(len(i), np.int32)
+                for some in np.array_split(np.flatnonzero(held), len(i) // 512 + 1):
+                    blob[some] = thick_blobs(left.canvas[i[some]], right.canvas[j[some]], limit)
+                blobs = pa.array(blob, mask=~held)
+        out = [pa.array(left_ids, pa.int64()), pa.array(right_ids, pa.int64()), pa.array(stray), pa.array(rank, pa.int32()), blobs]
+        return pa.table(out[: 4 + (limit is not None)], names=["shape_id", "other", "stray", "rank", "blob"][: 4 + (limit is not None)])
+
+    return run
+
+
+def gated_neighbours(queries: DataFrame, catalog: DataFrame, *, k: int = CANDIDATES, distance: float = DISTANCE, limit: int | None = None) -> DataFrame:
     """(shape_id, other, stray, rank): the ``k`` nearest catalog shapes of equal band and holes, like height
-    and aspect, within ``distance``; a shape is no neighbour of itself.
+    and aspect, within ``distance``; a shape is no neighbour of itself. With ``limit`` also blob, the size of the
+    largest thick blob by which their canvases differ, ``limit`` + 1 above it and null without two whole canvases.
 
-    The cheap gates are a join on cells, so only pairs that may match are measured. Shapes without a whole
-    grid or ink, or with a null measure, match nothing.
+    The cheap gates are tiles of like measures: a tile's shapes and those around meet in one task, and no pair
+    is ever a row but those found. Shapes without a whole grid or ink, or with a null measure, match nothing.
     """
-    usable = lambda d: d.where((F.length("grid") == GRID * GRID // 8) & (F.col("grid") != F.unhex(F.lit("00" * (GRID * GRID // 8)))) & F.col("height").isNotNull() & F.col("aspect").isNotNull() & F.col("holes").isNotNull() & F.col("band").isNotNull())
-    left = _cells(usable(queries).select("shape_id", "band", "holes", "height", "aspect", "grid"), False)
-    right = _cells(usable(catalog).select(F.col("shape_id").alias("other"), "band", "holes", F.col("height"), F.col("aspect"), F.col("grid")), True)
-    right = right.select("cell", "other", F.col("band").alias("b2"), F.col("holes").alias("n2"), F.col("height").alias("h2"), F.col("aspect").alias("a2"), F.col("grid").alias("g2"))
-    pairs = left.join(right, "cell").where((F.col("band") == F.col("b2")) & (F.col("holes") == F.col("n2")) & (F.col("shape_id") != F.col("other")) & (F.abs(F.log(F.col("height") / F.col("h2"))) <= HEIGHT) & (F.abs(F.log(F.col("aspect") / F.col("a2"))) <= ASPECT))
-    measured = pairs.select("shape_id", "other", "grid", "g2").mapInArrow(_pair_distances, "shape_id bigint, other bigint, stray double").where(F.col("stray") <= distance)
-    rank = F.row_number().over(Window.partitionBy("shape_id").orderBy("stray", "other"))
-    return measured.withColumn("rank", rank).where(F.col("rank") <= k)
+    columns = ["shape_id", "band", "holes", "height", "aspect"]
+    if limit is None:
+        bits = lambda d: _usable(d).select(*columns, F.col("grid").alias("bits"))
+    else:
+        schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in catalog.select(*columns).schema.fields)
+        bits = lambda d: _usable(d).select(*columns, "grid", "canvas").mapInArrow(_squeezed, f"{schema}, bits binary")
+    left, right = _tiles(bits(queries), False), _tiles(bits(catalog), True)
+    right = right.toDF(*(f"{c}_around" for c in right.columns))  # the two sides may come from one frame
+    schema = "shape_id bigint, other bigint, stray double, rank int" + (", blob int" if limit is not None else "")
+    return left.groupBy("tile").cogroup(right.groupBy("tile_around")).applyInArrow(_nearest(k, distance, limit), schema)
 
 
 def thick_tested(neighbours: DataFrame, queries: DataFrame, catalog: DataFrame, limit: int = THICK_BLOB) -> DataFrame:
@@ -108,20 +220,25 @@ def checks(occurrences: DataFrame, matches: DataFrame, own: str = "shape_id") ->
     return joined.withColumn("verdict", verdict).withColumn("rivals", F.array_remove("matches", F.col(own)))
 
 
-def verdict_census(checked: DataFrame) -> DataFrame:
-    return checked.groupBy("verdict").agg(F.count("*").alias("count"))
+def _rows(n: str | None):
+    """Number of occurrences: rows, or what rows of counted occurrences say in ``n``."""
+    return F.count("*") if n is None else F.sum(n)
+
+
+def verdict_census(checked: DataFrame, n: str | None = None) -> DataFrame:
+    return checked.groupBy("verdict").agg(_rows(n).alias("count"))
 
 
-def rival_pairs(checked: DataFrame, prototypes: DataFrame) -> DataFrame:
+def rival_pairs(checked: DataFrame, prototypes: DataFrame, n: str | None = None) -> DataFrame:
     """(first, second, count): pairs that share occurrences, and prototype pairs (shape_id, other) with 0."""
-    shared = checked.select("shape_id", F.explode("rivals").alias("other")).groupBy(F.least("shape_id", "other").alias("first"), F.greatest("shape_id", "other").alias("second")).agg(F.count("*").alias("count"))
-    also = prototypes.select(F.least("shape_id", "other").alias("first"), F.greatest("shape_id", "other").alias("second")).distinct().withColumn("count", F.lit(0))
+    shared = checked.withColumn("other", F.explode("rivals")).groupBy(F.least("shape_id", "other").alias("first"), F.greatest("shape_id", "other").alias("second")).agg(_rows(n).alias("count"))
+    also = prototypes.select(F.least("shape_id", "other").alias("first"), F.greatest("shape_id", "other").alias("second"), F.lit(0).alias("count"))
     return shared.unionByName(also).groupBy("first", "second").agg(F.max("count").alias("count"))
 
 
-def flagged(checked: DataFrame) -> DataFrame:
+def flagged(checked: DataFrame, n: str | None = None) -> DataFrame:
     """(shape_id, troubled): ids with occurrences that are ambiguous or drifted."""
-    return checked.where("verdict <> 'clean'").groupBy("shape_id").agg(F.count("*").alias("troubled"))
+    return checked.where("verdict <> 'clean'").groupBy("shape_id").agg(_rows(n).alias("troubled"))
 
 
 def keep_assignments(found: DataFrame, previous: DataFrame, page: list[str], catalog: DataFrame | None = None) -> DataFrame:
@@ -225,6 +342,9 @@ def same_shapes(shapes: DataFrame, crops: DataFrame, excluded: DataFrame | None
     without crops has no suggestion.
     """
     offered = shapes if excluded is None else shapes.join(pick(excluded, "shape_id").distinct(), "shape_id", "left_anti")
+    if crops is shapes:  # a shape's canvas is its only crop
+        near = gated_neighbours(shapes, offered, k=WIDE, distance=WIDE_STRAY, limit=THICK_BLOB).where(F.col("blob") <= THICK_BLOB)
+        return near.groupBy("shape_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "other"))), lambda x: x["other"]).alias("same"))
     near = gated_neighbours(shapes, offered, k=WIDE, distance=WIDE_STRAY)
     left = crops.where(F.length("canvas") == CANVAS[0] * CANVAS[1] // 8).select("shape_id", F.col("canvas").alias("c1"))
     right = offered.where(F.length("canvas") == CANVAS[0] * CANVAS[1] // 8).select(F.col("shape_id").alias("other"), F.col("canvas").alias("c2"))
@@ -232,8 +352,9 @@ def same_shapes(shapes: DataFrame, crops: DataFrame, excluded: DataFrame | None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            passes = [thick_blob(unpacked(a, CANVAS), unpacked(b, CANVAS)) <= THICK_BLOB for a, b in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(passes, pa.bool_())], names=["shape_id", "other", "rank", "passes"])
+            for part in (batch.slice(at, 512) for at in range(0, len(batch), 512)):
+                a, b = (np.frombuffer(b"".join(part.column(c).to_pylist()), np.uint8).reshape(-1, CANVAS_BYTES) for c in (3, 4))
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(thick_blobs(a, b) <= THICK_BLOB)], names=["shape_id", "other", "rank", "passes"])
 
     tested = pairs.mapInArrow(run, "shape_id bigint, other bigint, rank int, passes boolean")
     kept = tested.groupBy("shape_id", "other", "rank").agg(F.avg(F.col("passes").cast("double")).alias("share")).where(F.col("share") >= share)

@@ -345,3 +345,52 @@ def test_output_changes_by_page(spark):
     rows = spark.createDataFrame([(1, "అ ఆ ఇ", "అ ఆ ఈ"), (2, "a", "a"), (3, None, "x")], "page int, old string, new string")
     got = {r.page: (r.before_words, round(r.word_error_rate, 4), round(r.character_error_rate, 4)) for r in page_changes(rows, "old", "new").collect()}
     assert got[1] == (3, 0.3333, 0.3333) and got[2] == (1, 0.0, 0.0) and got[3][0] == 0
+
+
+def _many_shapes(spark, n=260):
+    """Noisy prints of two forms, some copies of others, in two groups of like measures."""
+    rng = np.random.default_rng(4)
+    forms = [np.zeros((B.GRID, B.GRID), bool), np.zeros((B.GRID, B.GRID), bool)]
+    forms[0][8:40, 10:16] = forms[1][20:26, 4:44] = True
+    rows = []
+    for i in range(n):
+        if i % 5 == 4:
+            rows.append((1000 - i, *rows[i // 2][1:]))
+            continue
+        grid = forms[i % 2] ^ (rng.random((B.GRID, B.GRID)) < 0.02 * rng.random())
+        canvas = np.zeros(B.CANVAS, bool)
+        canvas[30:78, 100:148] = forms[i % 2]
+        at = rng.integers(0, 9)
+        canvas[60 : 60 + at, 110 : 110 + at] ^= True
+        rows.append((1000 - i, B.packed(grid), B.packed(canvas) if i % 11 else None, float(np.exp(0.3 * rng.random())), 0.9 + 0.1 * rng.random(), "main", int(i % 3 == 0)))
+    return rows, spark.createDataFrame(rows, "shape_id bigint, grid binary, canvas binary, height double, aspect double, band string, holes int")
+
+
+def test_neighbours_of_many_like_shapes_equal_all_pairs_and_are_found_without_a_join(spark):
+    rows, shapes = _many_shapes(spark)
+    got = {(r.shape_id, r.rank): (r.other, r.stray) for r in SI.gated_neighbours(shapes, shapes, k=5, distance=0.35).collect()}
+    grids, want = {r[0]: B.unpacked(r[1], (B.GRID, B.GRID)) for r in rows}, {}
+    for a in rows:
+        like = [b for b in rows if b[0] != a[0] and b[6] == a[6] and abs(np.log(a[3] / b[3])) <= 0.1 and abs(np.log(a[4] / b[4])) <= 0.1]
+        near = sorted((float(B.stray_share(grids[a[0]], grids[b[0]][None])[0]), b[0]) for b in like)
+        want |= {(a[0], k): (other, d) for k, (d, other) in enumerate([x for x in near if x[0] <= 0.35][:5], 1)}
+    assert got == want and len(got) > 1000
+    same = SI.same_shapes(shapes, shapes)
+    canvases = spark.createDataFrame([(r[0], r[2]) for r in rows if r[2]], "shape_id bigint, canvas binary")
+    assert {r.shape_id: r.same for r in same.collect()} == {r.shape_id: r.same for r in SI.same_shapes(shapes, canvases).collect()}
+    for frame in (SI.gated_neighbours(shapes, shapes), same):
+        assert "Join" not in frame._jdf.queryExecution().executedPlan().toString()
+
+
+def test_blobs_of_many_pairs_equal_those_of_one():
+    rng = np.random.default_rng(6)
+    canvases = np.zeros((60, *B.CANVAS), bool)
+    canvases[:, 40:90, 90:150] = rng.random((60, 50, 60)) < 0.5
+    canvases[:, 50:70, 100:130] = True
+    for i in range(60):
+        canvases[i, 50 : 50 + i % 9, 100 : 100 + i % 7] = False
+    canvases[7, 0], canvases[8, :, -1], canvases[9] = True, True, False
+    data = np.packbits(canvases.reshape(60, -1), axis=1)
+    i, j = rng.integers(0, 60, (2, 300))
+    for limit in (B.THICK_BLOB, 60):
+        assert B.thick_blobs(data[i], data[j], limit).tolist() == [min(limit + 1, B.thick_blob(canvases[a], canvases[b])) for a, b in zip(i, j, strict=True)]
