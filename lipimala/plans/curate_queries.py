@@ -14,7 +14,7 @@ from lipimala.operators import scan_layout as SL
 from lipimala.operators import shape_index as SI
 from lipimala.plans.measure_queries import WC_SQL, comparisons
 from lipimala.plans.text_queries import EVENTS_SQL, METHODS, _RAW, _SEGMENTS, comparable_sql, complete_sql, events, occurrences
-from lipimala.runtime import shared_dir, table
+from lipimala.runtime import cut, shared_dir, table
 from lipimala.sources import outputs, pages, tsv
 from lipimala.streaming import ingest
 
@@ -167,25 +167,30 @@ def shape_matches(spark, sf_dir):
     return SI.best_match(SI.thick_tested(SI.gated_neighbours(shapes, shapes), shapes, shapes))
 
 
-def _checked(spark, sf_dir):
+def _near(spark, sf_dir):
     shapes = _shapes(spark, sf_dir)
-    near = SI.gated_neighbours(shapes, shapes, k=SI.WIDE, distance=SI.WIDE_STRAY)
-    own = shapes.where("grid is not null").select("shape_id", F.col("shape_id").alias("other"), F.lit(0.0).alias("stray"), F.lit(0).alias("rank"))
-    matches = SI.matching_ids(SI.thick_tested(near.unionByName(own), shapes, shapes))
-    return SI.checks(occurrences(spark, sf_dir).where("shape_id is not null").select("book", "page", "line", "word", "position", "shape_id"), matches), near
+    return SI.gated_neighbours(shapes, shapes, k=SI.WIDE, distance=SI.WIDE_STRAY, limit=SI.THICK_BLOB)
+
+
+def _checked(spark, sf_dir, near):
+    """Shapes with their occurrences n, which all have the shape's verdict; a shape's own canvas is like itself."""
+    own = _shapes(spark, sf_dir).where("grid is not null and canvas is not null").select("shape_id", F.col("shape_id").alias("other"), F.lit(0).alias("blob"))
+    matches = SI.matching_ids(near.where(F.col("blob") <= SI.THICK_BLOB).select("shape_id", "other", "blob").unionByName(own))
+    counted = occurrences(spark, sf_dir).where("shape_id is not null").groupBy("shape_id").agg(F.count("*").alias("n"))
+    return SI.checks(counted, matches)
 
 
 def verdict_census(spark, sf_dir):
-    return SI.verdict_census(_checked(spark, sf_dir)[0])
+    return SI.verdict_census(_checked(spark, sf_dir, _near(spark, sf_dir)), "n")
 
 
 def rival_pairs(spark, sf_dir):
-    checked, near = _checked(spark, sf_dir)
-    return SI.rival_pairs(checked, near)
+    near = cut(_near(spark, sf_dir), "near")
+    return SI.rival_pairs(_checked(spark, sf_dir, near), near, "n")
 
 
 def flagged_shapes(spark, sf_dir):
-    return SI.flagged(_checked(spark, sf_dir)[0])
+    return SI.flagged(_checked(spark, sf_dir, _near(spark, sf_dir)), "n")
 
 
 def same_shapes(spark, sf_dir):

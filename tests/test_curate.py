@@ -394,3 +394,15 @@ def test_blobs_of_many_pairs_equal_those_of_one():
     i, j = rng.integers(0, 60, (2, 300))
     for limit in (B.THICK_BLOB, 60):
         assert B.thick_blobs(data[i], data[j], limit).tolist() == [min(limit + 1, B.thick_blob(canvases[a], canvases[b])) for a, b in zip(i, j, strict=True)]
+
+
+def _counted(spark):
+    """Shapes checked occurrence by occurrence, and once with their occurrences counted."""
+    matches = spark.createDataFrame([(1, [1]), (2, [2, 5]), (3, [4])], "shape_id bigint, matches array<bigint>")
+    rows = spark.createDataFrame([(1,), (2,), (2,), (3,), (9,)], "shape_id bigint")
+    return SI.checks(rows, matches), SI.checks(rows.groupBy("shape_id").agg(F.count("*").alias("n")), matches)
+
+
+def test_census_of_counted_shapes_is_that_of_their_occurrences(spark):
+    each, counted = _counted(spark)
+    assert {tuple(r) for r in SI.verdict_census(counted, "n").collect()} == {tuple(r) for r in SI.verdict_census(each).collect()} == {("clean", 1), ("ambiguous", 2), ("drifted", 2)}
