@@ -406,3 +406,9 @@ def _counted(spark):
 def test_census_of_counted_shapes_is_that_of_their_occurrences(spark):
     each, counted = _counted(spark)
     assert {tuple(r) for r in SI.verdict_census(counted, "n").collect()} == {tuple(r) for r in SI.verdict_census(each).collect()} == {("clean", 1), ("ambiguous", 2), ("drifted", 2)}
+
+
+def test_rival_pairs_of_counted_shapes_are_those_of_their_occurrences(spark):
+    each, counted = _counted(spark)
+    near = spark.createDataFrame([(5, 2), (2, 5), (8, 7), (7, 8)], "shape_id bigint, other bigint")
+    assert sorted(SI.rival_pairs(counted, near, "n").collect()) == sorted(SI.rival_pairs(each, near).collect()) == [(2, 5, 2), (3, 4, 1), (7, 8, 0)]
