@@ -412,3 +412,8 @@ def test_rival_pairs_of_counted_shapes_are_those_of_their_occurrences(spark):
     each, counted = _counted(spark)
     near = spark.createDataFrame([(5, 2), (2, 5), (8, 7), (7, 8)], "shape_id bigint, other bigint")
     assert sorted(SI.rival_pairs(counted, near, "n").collect()) == sorted(SI.rival_pairs(each, near).collect()) == [(2, 5, 2), (3, 4, 1), (7, 8, 0)]
+
+
+def test_flagged_counted_shapes_are_those_of_their_occurrences(spark):
+    each, counted = _counted(spark)
+    assert sorted(SI.flagged(counted, "n").collect()) == sorted(SI.flagged(each).collect()) == [(2, 2), (3, 1), (9, 1)]
