@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lipimala.functions.bitmaps import CANVAS, GRID, THICK_BLOB, grown, holes, stray_share, thick_blob, thick_blobs, to_canvas, to_grid, unpacked
+from lipimala.functions.bitmaps import CANVAS, GRID, THICK_BLOB, grown, holes, stray_share, thick_alike, thick_blob, thick_blobs, to_canvas, to_grid, unpacked
 from lipimala.runtime import maybe_broadcast, pick
 
 # Nearest shapes looked at when assigning and when looking for like ones, and their distances.
@@ -96,36 +96,64 @@ def _strays(left: _Side, i: np.ndarray, right: _Side, j: np.ndarray) -> np.ndarr
     return out
 
 
+def _stray_pixels(left: _Side, some: np.ndarray, grid: np.ndarray, bare: np.ndarray, words: list[int]) -> np.ndarray:
+    """Stray pixels, within ``words`` of the grids, of some forms against all that ``grid`` and ``bare`` hold word by word."""
+    out = np.zeros((len(some), grid.shape[1]), np.uint16)
+    for w in words:
+        out += np.bitwise_count(left.grid[some, w, None] & bare[w])
+        out += np.bitwise_count(left.bare[some, w, None] & grid[w])
+    return out
+
+
+def _like(left: _Side, some: np.ndarray, right: _Side, there: np.ndarray) -> np.ndarray:
+    """Which pairs of forms pass the gates of height and aspect. Only next to a gate's limit the ratio itself decides."""
+    h, a = np.abs(left.log_h[some, None] - right.log_h[there]), np.abs(left.log_a[some, None] - right.log_a[there])
+    out = (h <= HEIGHT - 1e-9) & (a <= ASPECT - 1e-9)
+    r, c = np.nonzero(((h <= HEIGHT + 1e-9) & (a <= ASPECT + 1e-9)) ^ out)
+    i, j = some[r], there[c]
+    out[r, c] = (np.abs(np.log(left.height[i] / right.height[j])) <= HEIGHT) & (np.abs(np.log(left.aspect[i] / right.aspect[j])) <= ASPECT)
+    return out
+
+
 def _near_forms(left: _Side, right: _Side, k: int, distance: float) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """A form of ``left``, forms of ``right``, stray shares: all that may be among its ``k`` nearest, itself not counted.
 
     Every fourth word of two grids has at most the whole's stray ink. Of the ``k`` + 1 that stray least there the whole is
-    measured, and then only of those that stray no more there than the farthest of these does as a whole.
+    measured, and then only of those that stray no more there than the farthest of these does as a whole. A form to
+    which many are left is compared with all at once, word by word, which takes less time than to pick them out.
     """
+    words = range(GRID_BYTES // 8)
+    first, others = [w for w in words if w % 4 == 0], [w for w in words if w % 4]
     with np.errstate(all="ignore"):
-        block = np.stack([left.code, np.floor(left.log_h / HEIGHT), np.floor(left.log_a / ASPECT)], 1)
+        fine = np.clip(np.sqrt(len(left.code) / 500) // 1, 1, 4)  # the more forms the narrower the blocks that share a comparison
+        block = np.stack([left.code, np.sign(left.height), np.sign(left.aspect), np.floor(left.log_h / HEIGHT * fine), np.floor(left.log_a / ASPECT * fine)], 1)
         _, which = np.unique(block, axis=0, return_inverse=True)
         order = np.argsort(which.ravel(), kind="stable")
         for mine in np.split(order, np.flatnonzero(np.diff(which.ravel()[order])) + 1):
-            h, a = left.log_h[mine], left.log_a[mine]
-            there = np.flatnonzero((right.code == left.code[mine[0]]) & (right.log_h >= h.min() - HEIGHT - 1e-9) & (right.log_h <= h.max() + HEIGHT + 1e-9) & (right.log_a >= a.min() - ASPECT - 1e-9) & (right.log_a <= a.max() + ASPECT + 1e-9))
+            h, a, one = left.log_h[mine], left.log_a[mine], mine[0]
+            alike = (right.code == left.code[one]) & (np.sign(right.height) == np.sign(left.height[one])) & (np.sign(right.aspect) == np.sign(left.aspect[one]))
+            there = np.flatnonzero(alike & (right.log_h >= h.min() - HEIGHT - 1e-9) & (right.log_h <= h.max() + HEIGHT + 1e-9) & (right.log_a >= a.min() - ASPECT - 1e-9) & (right.log_a <= a.max() + ASPECT + 1e-9))
             if not len(there):
                 continue
-            grid, bare = (np.ascontiguousarray(x[there][:, ::4].T) for x in (right.grid, right.bare))
+            grid, bare = (np.ascontiguousarray(x[there].T) for x in (right.grid, right.bare))
             room = max(1, 65_536 // len(there))
             for some in (mine[s : s + room] for s in range(0, len(mine), room)):
-                like = (np.abs(np.log(left.height[some, None] / right.height[there])) <= HEIGHT) & (np.abs(np.log(left.aspect[some, None] / right.aspect[there])) <= ASPECT)
-                part = np.zeros(like.shape, np.uint16)
-                for w in range(len(grid)):
-                    part += np.bitwise_count(left.grid[some, 4 * w, None] & bare[w])
-                    part += np.bitwise_count(left.bare[some, 4 * w, None] & grid[w])
-                least = np.where(like, part / np.maximum(1, left.ink[some, None] + right.ink[there]), np.inf)
+                like, ink = _like(left, some, right, there), left.ink[some, None] + right.ink[there]
+                part = _stray_pixels(left, some, grid, bare, first)
+                least = np.where(like, part / ink, np.inf)
                 limit = np.full(len(some), distance)
                 if len(there) > k + 1:
                     best = np.argpartition(least, k, axis=1)[:, : k + 1]
                     whole = _strays(left, np.repeat(some, k + 1), right, there[best.ravel()]).reshape(best.shape)
                     limit = np.minimum(distance, np.where(np.take_along_axis(least, best, 1) < np.inf, whole, np.inf).max(1))
-                r, c = np.nonzero(least <= limit[:, None])
+                left_over = least <= limit[:, None]
+                many = np.flatnonzero(left_over.sum(1) > len(there) // 8)
+                if len(many):
+                    whole = np.where(like[many], (part[many] + _stray_pixels(left, some[many], grid, bare, others)) / ink[many], np.inf)
+                    if len(there) > k + 1:
+                        limit[many] = np.minimum(limit[many], np.partition(whole, k, axis=1)[:, k])
+                    left_over[many] = whole <= limit[many, None]
+                r, c = np.nonzero(left_over)
                 stray = _strays(left, some[r], right, there[c])
                 kept = stray <= limit[r]
                 r, c, stray = r[kept], c[kept], stray[kept]
@@ -136,7 +164,7 @@ def _near_forms(left: _Side, right: _Side, k: int, distance: float) -> Iterator[
 
 
 def _nearest(k: int, distance: float, limit: int | None):
-    """The work on a tile: all its queries against the shapes around, with the blobs of their canvases if ``limit``."""
+    """The work on a tile: all its queries against the shapes around, and whether their canvases are alike if ``limit``."""
 
     def run(queries: pa.Table, around: pa.Table) -> pa.Table:
         found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int32))]
@@ -155,24 +183,23 @@ def _nearest(k: int, distance: float, limit: int | None):
         i, j, stray, rank = (np.concatenate(x) for x in zip(*found, strict=True))
         if not len(i):
             empty = np.zeros(0, np.int64)
-            left_ids, right_ids, blobs = empty, empty, pa.array([], pa.int32())
+            left_ids, right_ids, alike = empty, empty, pa.array([], pa.bool_())
         else:
-            left_ids, right_ids, blobs = left.ids[i], right.ids[j], pa.nulls(len(i), pa.int32())
+            left_ids, right_ids, alike = left.ids[i], right.ids[j], pa.nulls(len(i), pa.bool_())
             if limit is not None:
-                held, blob = left.held[i] & right.held[j], np.zeros(len(i), np.int32)
-                for some in np.array_split(np.flatnonzero(held), len(i) // 512 + 1):
-                    blob[some] = thick_blobs(left.canvas[i[some]], right.canvas[j[some]], limit)
-                blobs = pa.array(blob, mask=~held)
-        out = [pa.array(left_ids, pa.int64()), pa.array(right_ids, pa.int64()), pa.array(stray), pa.array(rank, pa.int32()), blobs]
-        return pa.table(out[: 4 + (limit is not None)], names=["shape_id", "other", "stray", "rank", "blob"][: 4 + (limit is not None)])
+                held, passes = left.held[i] & right.held[j], np.zeros(len(i), bool)
+                passes[held] = thick_alike(left.canvas, right.canvas, i[held], j[held], limit)
+                alike = pa.array(passes, mask=~held)
+        out = [pa.array(left_ids, pa.int64()), pa.array(right_ids, pa.int64()), pa.array(stray), pa.array(rank, pa.int32()), alike]
+        return pa.table(out[: 4 + (limit is not None)], names=["shape_id", "other", "stray", "rank", "alike"][: 4 + (limit is not None)])
 
     return run
 
 
 def gated_neighbours(queries: DataFrame, catalog: DataFrame, *, k: int = CANDIDATES, distance: float = DISTANCE, limit: int | None = None) -> DataFrame:
     """(shape_id, other, stray, rank): the ``k`` nearest catalog shapes of equal band and holes, like height
-    and aspect, within ``distance``; a shape is no neighbour of itself. With ``limit`` also blob, the size of the
-    largest thick blob by which their canvases differ, ``limit`` + 1 above it and null without two whole canvases.
+    and aspect, within ``distance``; a shape is no neighbour of itself. With ``limit`` also alike,
+    whether no thick blob by which their canvases differ is larger, null without two whole canvases.
 
     The cheap gates are tiles of like measures: a tile's shapes and those around meet in one task, and no pair
     is ever a row but those found. Shapes without a whole grid or ink, or with a null measure, match nothing.
@@ -185,7 +212,7 @@ def gated_neighbours(queries: DataFrame, catalog: DataFrame, *, k: int = CANDIDA
         bits = lambda d: _usable(d).select(*columns, "grid", "canvas").mapInArrow(_squeezed, f"{schema}, bits binary")
     left, right = _tiles(bits(queries), False), _tiles(bits(catalog), True)
     right = right.toDF(*(f"{c}_around" for c in right.columns))  # the two sides may come from one frame
-    schema = "shape_id bigint, other bigint, stray double, rank int" + (", blob int" if limit is not None else "")
+    schema = "shape_id bigint, other bigint, stray double, rank int" + (", alike boolean" if limit is not None else "")
     return left.groupBy("tile").cogroup(right.groupBy("tile_around")).applyInArrow(_nearest(k, distance, limit), schema)
 
 
@@ -343,7 +370,7 @@ def same_shapes(shapes: DataFrame, crops: DataFrame, excluded: DataFrame | None
     """
     offered = shapes if excluded is None else shapes.join(pick(excluded, "shape_id").distinct(), "shape_id", "left_anti")
     if crops is shapes:  # a shape's canvas is its only crop
-        near = gated_neighbours(shapes, offered, k=WIDE, distance=WIDE_STRAY, limit=THICK_BLOB).where(F.col("blob") <= THICK_BLOB)
+        near = gated_neighbours(shapes, offered, k=WIDE, distance=WIDE_STRAY, limit=THICK_BLOB).where("alike")
         return near.groupBy("shape_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "other"))), lambda x: x["other"]).alias("same"))
     near = gated_neighbours(shapes, offered, k=WIDE, distance=WIDE_STRAY)
     left = crops.where(F.length("canvas") == CANVAS[0] * CANVAS[1] // 8).select("shape_id", F.col("canvas").alias("c1"))

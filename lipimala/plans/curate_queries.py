@@ -174,8 +174,8 @@ def _near(spark, sf_dir):
 
 def _checked(spark, sf_dir, near):
     """Shapes with their occurrences n, which all have the shape's verdict; a shape's own canvas is like itself."""
-    own = _shapes(spark, sf_dir).where("grid is not null and canvas is not null").select("shape_id", F.col("shape_id").alias("other"), F.lit(0).alias("blob"))
-    matches = SI.matching_ids(near.where(F.col("blob") <= SI.THICK_BLOB).select("shape_id", "other", "blob").unionByName(own))
+    own = _shapes(spark, sf_dir).where("grid is not null and canvas is not null").select("shape_id", F.col("shape_id").alias("other"))
+    matches = near.where("alike").select("shape_id", "other").unionByName(own).groupBy("shape_id").agg(F.collect_list("other").alias("matches"))
     counted = occurrences(spark, sf_dir).where("shape_id is not null").groupBy("shape_id").agg(F.count("*").alias("n"))
     return SI.checks(counted, matches)
 

@@ -3,6 +3,7 @@
 import itertools
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -417,3 +418,51 @@ def test_rival_pairs_of_counted_shapes_are_those_of_their_occurrences(spark):
 def test_flagged_counted_shapes_are_those_of_their_occurrences(spark):
     each, counted = _counted(spark)
     assert sorted(SI.flagged(counted, "n").collect()) == sorted(SI.flagged(each).collect()) == [(2, 2), (3, 1), (9, 1)]
+
+
+def test_alike_canvases_equal_those_of_one_and_clear_differences_need_no_shifts(monkeypatch):
+    rng = np.random.default_rng(9)
+    canvases = np.zeros((90, *B.CANVAS), bool)
+    for k, at in enumerate(rng.integers(0, 40, (90, 2))):
+        canvases[k, 40:100, 90:150] = np.kron(rng.random((10, 10)) < 0.5, np.ones((6, 6), bool)) if k % 3 else canvases[k // 2, 40:100, 90:150]
+        canvases[k, 45 + at[0] : 45 + at[0] + k % 9, 100 + at[1] : 100 + at[1] + k % 8] ^= True
+        canvases[k] = np.roll(canvases[k], k % 2, 1)
+    canvases[7, 0], canvases[8, :, -1], canvases[9], canvases[10] = True, True, False, canvases[9]
+    canvases[11] = canvases[12] ^ (np.arange(256) == 120) & (np.arange(128)[:, None] % 40 > 3)
+    canvases[13] = canvases[14]
+    canvases[13, 60, 90:150:2] ^= True
+    canvases[20, 50:90, 60:63] = True  # a long blob no wider than a pixel when one is taken off all round
+    data = np.packbits(canvases.reshape(90, -1), axis=1)
+    i, j = (x.ravel() for x in np.mgrid[:90, :90])
+    for limit in (B.THICK_BLOB, 4, 60):
+        want = [B.thick_blob(canvases[a], canvases[b]) <= limit for a, b in zip(i[::7], j[::7], strict=True)]
+        assert B.thick_alike(data, data, i[::7], j[::7], limit).tolist() == want and 100 < sum(want) < 1000
+    one, other = np.zeros((2, *B.CANVAS), bool)
+    one[40:80, 90:110], other[40:80, 150:170] = True, True
+    tried = []
+    monkeypatch.setattr(B, "_thick", lambda a, b, *shift, thick=B._thick: tried.append((len(a), *shift)) or thick(a, b, *shift))
+    pair = np.packbits(np.stack([one, other]).reshape(2, -1), axis=1)
+    assert not B.thick_alike(pair, pair, np.zeros(50, int), np.ones(50, int)).any() and not any(n for n, *shift in tried if shift)
+    assert B.thick_alike(pair[:0], pair, np.zeros(0, int), np.zeros(0, int)).tolist() == []
+
+
+def test_forms_to_which_many_are_left_are_compared_at_once_with_the_same_neighbours(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    grids = rng.random((400, B.GRID, B.GRID)) < 0.35  # all about as far from each other
+    height, aspect = np.exp(0.1 * rng.integers(-2, 3, 400)), -np.exp(0.15 * rng.random(400))
+    shapes = spark.createDataFrame([(i, B.packed(g), float(height[i]), float(aspect[i] * (-1) ** (i % 9)), "main", 1) for i, g in enumerate(grids)], "shape_id bigint, grid binary, height double, aspect double, band string, holes int")
+    got = {(r.shape_id, r.rank): (r.other, r.stray) for r in SI.gated_neighbours(shapes, shapes, k=5, distance=0.9).collect()}
+    want = {}
+    sign = np.array([(-1) ** (i % 9) for i in range(400)])
+    with np.errstate(invalid="ignore"):
+        for i in range(400):
+            like = np.flatnonzero((np.abs(np.log(height[i] / height)) <= 0.1) & (np.abs(np.log(aspect[i] * sign[i] / (aspect * sign))) <= 0.1))
+            like = like[like != i]
+            near = sorted(zip(B.stray_share(grids[i], grids[like]).tolist(), like.tolist(), strict=True))[:5]
+            want |= {(i, k): (other, d) for k, (d, other) in enumerate(near, 1)}
+    assert got == want and len(got) == 2000
+    picked = []
+    monkeypatch.setattr(SI, "_strays", lambda left, i, right, j, strays=SI._strays: picked.append(len(i)) or strays(left, i, right, j))
+    table = pa.table({"shape_id": np.arange(400), "band": ["main"] * 400, "holes": pa.array([1] * 400, pa.int32()), "height": np.ones(400), "aspect": np.ones(400), "bits": [B.packed(g) for g in grids]})
+    SI._nearest(5, 0.9, None)(table, table)
+    assert sum(picked) < 400 * 400 / 8
