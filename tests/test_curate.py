@@ -466,3 +466,21 @@ def test_forms_to_which_many_are_left_are_compared_at_once_with_the_same_neighbo
     table = pa.table({"shape_id": np.arange(400), "band": ["main"] * 400, "holes": pa.array([1] * 400, pa.int32()), "height": np.ones(400), "aspect": np.ones(400), "bits": [B.packed(g) for g in grids]})
     SI._nearest(5, 0.9, None)(table, table)
     assert sum(picked) < 400 * 400 / 8
+
+
+def test_rival_pairs_of_many_shapes_need_no_sizes_of_blobs(spark, tmp_path):
+    rows, shapes = _many_shapes(spark, 120)
+    shapes.write.parquet(f"{tmp_path}/shape_catalog.parquet")
+    used = [("b", 1, 1, w, 1, rows[w // 2][0], (w, 0, w + 1, 9), 5) for w in range(200)]
+    spark.createDataFrame(used, "book string, page int, line int, word int, position int, shape_id bigint, bbox struct<x0 int, y0 int, x1 int, y1 int>, ink int").write.parquet(f"{tmp_path}/occurrences.parquet")
+    assert dict(curate_queries._near(spark, str(tmp_path)).dtypes)["alike"] == "boolean"
+    grids, canvases = ({r[0]: r[n] and B.unpacked(r[n], size) for r in rows} for n, size in ((1, (B.GRID, B.GRID)), (2, B.CANVAS)))
+    counts, want = {r[0]: 2 * (n < 100) for n, r in enumerate(rows)}, {}
+    for a in rows:
+        like = [b for b in rows if b[0] != a[0] and b[6] == a[6] and abs(np.log(a[3] / b[3])) <= 0.1 and abs(np.log(a[4] / b[4])) <= 0.1]
+        near = sorted((float(B.stray_share(grids[a[0]], grids[b[0]][None])[0]), b[0]) for b in like)
+        for other in [o for d, o in near if d <= SI.WIDE_STRAY][: SI.WIDE]:
+            pair, both = (min(a[0], other), max(a[0], other)), canvases[a[0]] is not None and canvases[other] is not None
+            passes = both and B.thick_blob(canvases[a[0]], canvases[other]) <= B.THICK_BLOB
+            want[pair] = want.get(pair, 0) + counts[a[0]] * passes
+    assert {(r["first"], r["second"]): r["count"] for r in curate_queries.rival_pairs(spark, str(tmp_path)).collect()} == want and len(set(want.values())) > 2
