@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import copy
 import heapq
 import zlib
 from collections.abc import Iterator
@@ -41,11 +42,12 @@ def features(parts: DataFrame, ident: list[str], body: str = "body") -> DataFram
 
 
 def _tiles(shapes: DataFrame, around: bool) -> DataFrame:
-    """Rows in the tile of their band, holes, height and aspect; ``around`` adds the tiles of like measures."""
+    """Rows in the tile of their band, holes, height and aspect, where each asks; ``around`` adds the tiles of like measures."""
     h, a = (F.floor(F.log(F.abs(F.col(c))) / limit) for c, limit in (("height", HEIGHT), ("aspect", ASPECT)))
     steps = (-1, 1) if around else (0,)
     tiles = F.array(*(F.xxhash64("band", "holes", F.floor((h + i) / TILE), F.floor((a + j) / TILE)) for i in steps for j in steps))
-    return shapes.withColumn("tile", F.explode(F.array_distinct(tiles)))
+    own = F.xxhash64("band", "holes", F.floor(h / TILE), F.floor(a / TILE))
+    return shapes.select("*", own.alias("own"), F.explode(F.array_distinct(tiles)).alias("tile")).withColumn("asks", F.col("tile") == F.col("own")).drop("own")
 
 
 def _usable(shapes: DataFrame) -> DataFrame:
@@ -85,6 +87,16 @@ class _Side:
         self.grid, self.bare = np.ascontiguousarray(grids[first]).view(np.uint64), ~wide.view(np.uint64)
         self.ink = np.bitwise_count(self.grid).sum(1, dtype=np.int64)
 
+    def asking(self, asks: np.ndarray) -> _Side:
+        """The forms of the rows that ask; bitmaps and row numbers are those of the whole."""
+        out, kept = copy.copy(self), asks[self.rows]
+        which = np.repeat(np.arange(len(self.code)), np.diff(self.start))[kept]
+        forms = np.unique(which)
+        out.rows, out.start = self.rows[kept], np.searchsorted(which, np.append(forms, len(self.code)))
+        for name in ("code", "height", "aspect", "log_h", "log_a", "grid", "bare", "ink"):
+            setattr(out, name, getattr(self, name)[forms])
+        return out
+
 
 def _strays(left: _Side, i: np.ndarray, right: _Side, j: np.ndarray) -> np.ndarray:
     """Stray shares of pairs of forms; grids are compared as 64-bit words."""
@@ -115,8 +127,9 @@ def _like(left: _Side, some: np.ndarray, right: _Side, there: np.ndarray) -> np.
     return out
 
 
-def _near_forms(left: _Side, right: _Side, k: int, distance: float) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """A form of ``left``, forms of ``right``, stray shares: all that may be among its ``k`` nearest, itself not counted.
+def _near_forms(left: _Side, right: _Side, k: int, distance: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Pairs of forms of ``left`` and ``right`` with their stray shares: all of ``right`` that may be among the ``k`` nearest
+    of one of ``left``, itself not counted. The pairs of a form of ``left`` come together.
 
     Every fourth word of two grids has at most the whole's stray ink. Of the ``k`` + 1 that stray least there the whole is
     measured, and then only of those that stray no more there than the farthest of these does as a whole. A form to
@@ -156,42 +169,73 @@ def _near_forms(left: _Side, right: _Side, k: int, distance: float) -> Iterator[
                 r, c = np.nonzero(left_over)
                 stray = _strays(left, some[r], right, there[c])
                 kept = stray <= limit[r]
-                r, c, stray = r[kept], c[kept], stray[kept]
-                ends = np.searchsorted(r, np.arange(len(some) + 1))
-                for n, form in enumerate(some):
-                    if ends[n] < ends[n + 1]:
-                        yield form, there[c[ends[n] : ends[n + 1]]], stray[ends[n] : ends[n + 1]]
+                if kept.any():
+                    yield some[r[kept]], there[c[kept]], stray[kept]
+
+
+def _counted(start: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """``count`` numbers from each ``start`` on."""
+    return np.repeat(start - np.cumsum(count) + count, count) + np.arange(count.sum())
+
+
+def _near_rows(left: _Side, right: _Side, form: np.ndarray, forms: np.ndarray, stray: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
+    """Rows of ``left`` and ``right``, stray shares and ranks: the ``k`` nearest among the rows of pairs of forms, by share and id."""
+    count = np.minimum(right.start[forms + 1] - right.start[forms], k + 1)
+    rows, far, form = right.rows[_counted(right.start[forms], count)], np.repeat(stray, count), np.repeat(form, count)
+    near = np.lexsort((right.ids[rows], far, form))
+    rows, far, form = rows[near], far[near], form[near]
+    form, begin, count = np.unique(form, return_index=True, return_counts=True)
+    count = np.minimum(count, k + 1)
+    asked = left.start[form + 1] - left.start[form]
+    query, begin, count = left.rows[_counted(left.start[form], asked)], np.repeat(begin, asked), np.repeat(count, asked)
+    at, which = _counted(begin, count), np.repeat(np.arange(len(query)), count)
+    others = right.ids[rows[at]] != left.ids[query[which]]
+    at, which = at[others], which[others]
+    rank = np.arange(1, len(which) + 1, dtype=np.int32) - np.searchsorted(which, which).astype(np.int32)
+    kept = rank <= k
+    at, which = at[kept], which[kept]
+    return query[which], rows[at], far[at], rank[kept]
+
+
+def _found(left: _Side, right: _Side, k: int, distance: float, limit: int | None) -> pa.Table:
+    pairs = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int32))]
+    pairs += [_near_rows(left, right, *near, k) for near in _near_forms(left, right, k, distance)]
+    i, j, stray, rank = (np.concatenate(x) for x in zip(*pairs, strict=True))
+    alike = pa.nulls(len(i), pa.bool_())
+    if limit is not None and len(i):
+        held, passes = left.held[i] & right.held[j], np.zeros(len(i), bool)
+        passes[held] = thick_alike(left.canvas, right.canvas, i[held], j[held], limit)
+        alike = pa.array(passes, mask=~held)
+    out = [pa.array(left.ids[i], pa.int64()), pa.array(right.ids[j], pa.int64()), pa.array(stray), pa.array(rank, pa.int32()), alike]
+    return pa.table(out[: 4 + (limit is not None)], names=["shape_id", "other", "stray", "rank", "alike"][: 4 + (limit is not None)])
+
+
+def _none_found(limit: int | None) -> pa.Table:
+    kinds = [("shape_id", pa.int64()), ("other", pa.int64()), ("stray", pa.float64()), ("rank", pa.int32()), ("alike", pa.bool_())]
+    return pa.schema(kinds[: 4 + (limit is not None)]).empty_table()
 
 
 def _nearest(k: int, distance: float, limit: int | None):
     """The work on a tile: all its queries against the shapes around, and whether their canvases are alike if ``limit``."""
 
     def run(queries: pa.Table, around: pa.Table) -> pa.Table:
-        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int32))]
-        if len(queries) and len(around):
-            codes, around = {}, around.rename_columns([c.removesuffix("_around") for c in around.column_names])
-            left, right = _Side(queries, codes, limit is not None), _Side(around, codes, limit is not None)
-            for form, forms, stray in _near_forms(left, right, k, distance):
-                count = np.minimum(right.start[forms + 1] - right.start[forms], k + 1)
-                at = np.repeat(right.start[forms] - np.cumsum(count) + count, count) + np.arange(count.sum())
-                rows, far = right.rows[at], np.repeat(stray, count)
-                near = np.lexsort((right.ids[rows], far))[: k + 1]
-                rows, far = rows[near], far[near]
-                for query in left.rows[left.start[form] : left.start[form + 1]]:
-                    other = np.flatnonzero(right.ids[rows] != left.ids[query])[:k]
-                    found.append((np.full(len(other), query), rows[other], far[other], np.arange(1, len(other) + 1, dtype=np.int32)))
-        i, j, stray, rank = (np.concatenate(x) for x in zip(*found, strict=True))
-        if not len(i):
-            empty = np.zeros(0, np.int64)
-            left_ids, right_ids, alike = empty, empty, pa.array([], pa.bool_())
-        else:
-            left_ids, right_ids, alike = left.ids[i], right.ids[j], pa.nulls(len(i), pa.bool_())
-            if limit is not None:
-                held, passes = left.held[i] & right.held[j], np.zeros(len(i), bool)
-                passes[held] = thick_alike(left.canvas, right.canvas, i[held], j[held], limit)
-                alike = pa.array(passes, mask=~held)
-        out = [pa.array(left_ids, pa.int64()), pa.array(right_ids, pa.int64()), pa.array(stray), pa.array(rank, pa.int32()), alike]
-        return pa.table(out[: 4 + (limit is not None)], names=["shape_id", "other", "stray", "rank", "alike"][: 4 + (limit is not None)])
+        if not len(queries) or not len(around):
+            return _none_found(limit)
+        codes, around = {}, around.rename_columns([c.removesuffix("_around") for c in around.column_names])
+        return _found(_Side(queries, codes, limit is not None), _Side(around, codes, limit is not None), k, distance, limit)
+
+    return run
+
+
+def _nearest_own(k: int, distance: float, limit: int | None):
+    """The same where the queries are those of the shapes around that ask."""
+
+    def run(around: pa.Table) -> pa.Table:
+        asks = around["asks"].to_numpy()
+        if not asks.any():
+            return _none_found(limit)
+        right = _Side(around, {}, limit is not None)
+        return _found(right.asking(asks), right, k, distance, limit)
 
     return run
 
@@ -202,7 +246,8 @@ def gated_neighbours(queries: DataFrame, catalog: DataFrame, *, k: int = CANDIDA
     whether no thick blob by which their canvases differ is larger, null without two whole canvases.
 
     The cheap gates are tiles of like measures: a tile's shapes and those around meet in one task, and no pair
-    is ever a row but those found. Shapes without a whole grid or ink, or with a null measure, match nothing.
+    is ever a row but those found. Where the queries are the catalog a shape is sent once to a tile, and asks in its own.
+    Shapes without a whole grid or ink, or with a null measure, match nothing.
     """
     columns = ["shape_id", "band", "holes", "height", "aspect"]
     if limit is None:
@@ -210,10 +255,13 @@ def gated_neighbours(queries: DataFrame, catalog: DataFrame, *, k: int = CANDIDA
     else:
         schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in catalog.select(*columns).schema.fields)
         bits = lambda d: _usable(d).select(*columns, "grid", "canvas").mapInArrow(_squeezed, f"{schema}, bits binary")
-    left, right = _tiles(bits(queries), False), _tiles(bits(catalog), True)
+    found = "shape_id bigint, other bigint, stray double, rank int" + (", alike boolean" if limit is not None else "")
+    right = _tiles(bits(catalog), True)
+    if queries is catalog:
+        return right.groupBy("tile").applyInArrow(_nearest_own(k, distance, limit), found)
+    left = _tiles(bits(queries), False)
     right = right.toDF(*(f"{c}_around" for c in right.columns))  # the two sides may come from one frame
-    schema = "shape_id bigint, other bigint, stray double, rank int" + (", alike boolean" if limit is not None else "")
-    return left.groupBy("tile").cogroup(right.groupBy("tile_around")).applyInArrow(_nearest(k, distance, limit), schema)
+    return left.groupBy("tile").cogroup(right.groupBy("tile_around")).applyInArrow(_nearest(k, distance, limit), found)
 
 
 def thick_tested(neighbours: DataFrame, queries: DataFrame, catalog: DataFrame, limit: int = THICK_BLOB) -> DataFrame:
@@ -263,6 +311,13 @@ def rival_pairs(checked: DataFrame, prototypes: DataFrame, n: str | None = None)
     return shared.unionByName(also).groupBy("first", "second").agg(F.max("count").alias("count"))
 
 
+def shared_rivals(near: DataFrame, counted: DataFrame, n: str = "n") -> DataFrame:
+    """(first, second, count): ``rival_pairs`` where the neighbours (shape_id, other, alike) are the prototype pairs and, where alike,
+    the rivals of a shape's occurrences, whose number is ``n`` of ``counted`` (shape_id, n). Neighbours are read only once."""
+    shares = F.coalesce(F.sum(F.when(F.col("alike"), F.col(n))), F.lit(0))
+    return near.join(counted, "shape_id", "left").groupBy(F.least("shape_id", "other").alias("first"), F.greatest("shape_id", "other").alias("second")).agg(shares.alias("count"))
+
+
 def flagged(checked: DataFrame, n: str | None = None) -> DataFrame:
     """(shape_id, troubled): ids with occurrences that are ambiguous or drifted."""
     return checked.where("verdict <> 'clean'").groupBy("shape_id").agg(_rows(n).alias("troubled"))

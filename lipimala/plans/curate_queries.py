@@ -14,7 +14,7 @@ from lipimala.operators import scan_layout as SL
 from lipimala.operators import shape_index as SI
 from lipimala.plans.measure_queries import WC_SQL, comparisons
 from lipimala.plans.text_queries import EVENTS_SQL, METHODS, _RAW, _SEGMENTS, comparable_sql, complete_sql, events, occurrences
-from lipimala.runtime import cut, shared_dir, table
+from lipimala.runtime import once, shared_dir, table
 from lipimala.sources import outputs, pages, tsv
 from lipimala.streaming import ingest
 
@@ -167,8 +167,8 @@ def shape_matches(spark, sf_dir):
     return SI.best_match(SI.thick_tested(SI.gated_neighbours(shapes, shapes), shapes, shapes))
 
 
-def _near(spark, sf_dir):
-    shapes = _shapes(spark, sf_dir)
+def _near(spark, sf_dir, shapes=None):
+    shapes = _shapes(spark, sf_dir) if shapes is None else shapes
     return SI.gated_neighbours(shapes, shapes, k=SI.WIDE, distance=SI.WIDE_STRAY, limit=SI.THICK_BLOB)
 
 
@@ -176,8 +176,11 @@ def _checked(spark, sf_dir, near):
     """Shapes with their occurrences n, which all have the shape's verdict; a shape's own canvas is like itself."""
     own = _shapes(spark, sf_dir).where("grid is not null and canvas is not null").select("shape_id", F.col("shape_id").alias("other"))
     matches = near.where("alike").select("shape_id", "other").unionByName(own).groupBy("shape_id").agg(F.collect_list("other").alias("matches"))
-    counted = occurrences(spark, sf_dir).where("shape_id is not null").groupBy("shape_id").agg(F.count("*").alias("n"))
-    return SI.checks(counted, matches)
+    return SI.checks(_counted(spark, sf_dir), matches)
+
+
+def _counted(spark, sf_dir):
+    return occurrences(spark, sf_dir).where("shape_id is not null").groupBy("shape_id").agg(F.count("*").alias("n"))
 
 
 def verdict_census(spark, sf_dir):
@@ -185,8 +188,8 @@ def verdict_census(spark, sf_dir):
 
 
 def rival_pairs(spark, sf_dir):
-    near = cut(_near(spark, sf_dir), "near")
-    return SI.rival_pairs(_checked(spark, sf_dir, near), near, "n")
+    near = _near(spark, sf_dir, once(table(spark, sf_dir, "shape_catalog"), "shape_id"))
+    return SI.shared_rivals(near, _counted(spark, sf_dir))
 
 
 def flagged_shapes(spark, sf_dir):

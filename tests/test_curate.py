@@ -1,6 +1,7 @@
 """Learning, confirmations, recipes, page layout, shapes, sources and streams."""
 
 import itertools
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -484,3 +485,34 @@ def test_rival_pairs_of_many_shapes_need_no_sizes_of_blobs(spark, tmp_path):
             passes = both and B.thick_blob(canvases[a[0]], canvases[other]) <= B.THICK_BLOB
             want[pair] = want.get(pair, 0) + counts[a[0]] * passes
     assert {(r["first"], r["second"]): r["count"] for r in curate_queries.rival_pairs(spark, str(tmp_path)).collect()} == want and len(set(want.values())) > 2
+
+
+def test_rival_pairs_read_neighbours_once_and_send_a_shape_once_to_a_tile(spark, tmp_path):
+    rows, shapes = _many_shapes(spark, 150)
+    shapes.unionByName(shapes.where("shape_id % 7 = 0")).write.parquet(f"{tmp_path}/shape_catalog.parquet")
+    used = [("b", 1, 1, w, 1, rows[w % 90][0] if w % 4 else 100_000 + w, (w, 0, w + 1, 9), 5) for w in range(250)]
+    spark.createDataFrame([*used, *used[:40]], "book string, page int, line int, word int, position int, shape_id bigint, bbox struct<x0 int, y0 int, x1 int, y1 int>, ink int").write.parquet(f"{tmp_path}/occurrences.parquet")
+    found = curate_queries.rival_pairs(spark, str(tmp_path))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("FlatMapGroupsInArrow") == 1 and len(re.findall(r"\bMapInArrow", plan)) == 1
+    shapes = spark.read.parquet(f"{tmp_path}/shape_catalog.parquet").dropDuplicates(["shape_id"])
+    near = SI.gated_neighbours(shapes.select("*"), shapes, k=SI.WIDE, distance=SI.WIDE_STRAY, limit=B.THICK_BLOB).cache()
+    assert sorted(near.collect()) == sorted(curate_queries._near(spark, str(tmp_path)).collect())
+    want = SI.rival_pairs(curate_queries._checked(spark, str(tmp_path), near), near, "n").collect()
+    assert sorted(found.collect()) == sorted(want) and len(want) > 100 and {r["count"] > 0 for r in want} == {True, False}
+    near.unpersist()
+
+
+def test_alike_canvases_of_one_side_equal_those_of_two():
+    rng = np.random.default_rng(12)
+    canvases = np.zeros((40, *B.CANVAS), bool)
+    canvases[:, 40:100, 90:150] = np.kron(rng.random((10, 10)) < 0.5, np.ones((6, 6), bool))
+    for k, at in enumerate(rng.integers(0, 40, (40, 2))):
+        canvases[k, 45 + at[0] : 49 + at[0] + k % 9, 100 + at[1] : 104 + at[1] + k % 8] ^= True
+        canvases[k] = np.roll(canvases[k], k % 3, k % 2)
+    canvases[7, 0], canvases[8, :, -1], canvases[9] = True, True, False  # ink at an edge, where the sides may differ; none
+    data = np.packbits(canvases.reshape(40, -1), axis=1)
+    i, j = (x.ravel() for x in np.mgrid[:40, :40])
+    both = B.thick_alike(data, data, i, j)
+    assert both.tolist() == B.thick_alike(data, data.copy(), i, j).tolist() == [B.thick_blob(canvases[a], canvases[b]) <= B.THICK_BLOB for a, b in zip(i, j, strict=True)]
+    assert 0.05 < both.mean() < 0.95
